@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, suffix_dedup, token_counts, training_order
+from . import fingerprints, minhash, mixing, packing, suffix_dedup, token_counts, training_order
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,11 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_spotsigs_fingerprints": _over_documents(fingerprints.op1),
         "op2_suffix_array_dedup": _over_documents(suffix_dedup.op2),
+        "op3_hyperminhash_dedup": _over_documents(minhash.op3),
         "op4_best_fit_packing": _over_documents(packing.op4),
         "op5_token_counts": _over_documents(token_counts.op5),
+        "op6_pivotal_mixing": _over_documents(mixing.op6),
         "op10_training_order": _over_documents(training_order.op10),
     }
