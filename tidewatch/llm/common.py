@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -28,6 +29,8 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    gc.collect()  # the finished job's shuffle files go when the driver collects what refers to them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, SubstringHashes, keyed_texts, shuffle_partitions
+from .common import U64, SubstringHashes, keyed_texts, shuffle_partitions, written
 
 LENGTH, ANCHOR, SEED_GRAM = 50, 20, 20
 FLUSH_BYTES = 24 << 20
@@ -34,17 +34,17 @@ FLUSH_BYTES = 24 << 20
 SALTS = 61
 
 RANKS = "anchor long, doc_id long, salt int, shared boolean"
-RUNS = "anchor long, salt int, run long, halves long, doc_id long, first int, n int"
+RUNS = "anchor long, salt int, run long, halves long, doc_id long, first int, n int, at int"
 
 
 def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost position of the minimum of every window of ``width``."""
-    best, at, span = x, np.arange(len(x), dtype=np.int32), 1
+    """Leftmost position of the smallest of every ``width`` values, by their upper 32 bits."""
+    best, span = (x & U64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=U64), 1
     while span < width:
         step = min(span, width - span)
-        right = best[step:] < best[:-step]
-        best, at, span = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step]), span + step
-    return at
+        best = np.minimum(best[step:], best[:-step])
+        span += step
+    return (best & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def anchors(hashes: SubstringHashes, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
@@ -71,7 +71,7 @@ def _runs(data: bytes, length: int, anchor: int):
     before = hashes.of(left, at + anchor) >> U64(32)
     after = hashes.of(at, right) >> U64(32)
     # a half cut off at the document's edge holds no window, so its rank only has to be of its own
-    return (hashes.of(at, at + anchor), hashes.of(first, last + length), (before << U64(32)) | after, first, last - first + 1)
+    return (hashes.of(at, at + anchor), hashes.of(first, last + length), (before << U64(32)) | after, first, last - first + 1, at - first)
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
@@ -115,19 +115,23 @@ def _emit_ranks(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, *_, doc in _flushes(batches, length, anchor):
             order, seen = _met([h], doc)
-            h, doc = h[order].view(np.int64), doc[order]
-            once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
-            h, doc, seen = h[once], doc[once], seen[once]
+            a, d = h[order], doc[order]
+            once = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])][: len(h)]
+            order, seen = order[once], seen[once]
             shared = seen | np.r_[seen[1:], False]
-            yield from _batches({"anchor": h, "doc_id": doc, "salt": np.where(seen, 1 + doc % SALTS, 0).astype(np.int32), "shared": shared})
+            back = np.argsort(order)  # in the order of the documents, whose ids then compress well
+            order, seen, shared = order[back], seen[back], shared[back]
+            yield from _batches({"anchor": h[order].view(np.int64), "doc_id": doc[order], "salt": np.where(seen, 1 + doc[order] % SALTS, 0).astype(np.int32), "shared": shared})
 
     return run
 
 
 def _emit_runs(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, r, halves, first, n, doc in _flushes(batches, length, anchor):
+        for h, r, halves, first, n, at, doc in _flushes(batches, length, anchor):
             order, seen = _met([h, r], doc)
+            back = np.argsort(order)
+            order, seen = order[back], seen[back]
             yield from _batches(
                 {
                     "anchor": h[order].view(np.int64),
@@ -137,29 +141,35 @@ def _emit_runs(length: int, anchor: int):
                     "doc_id": doc[order],
                     "first": first[order].astype(np.int32),
                     "n": n[order].astype(np.int32),
+                    "at": at[order].astype(np.int32),
                 }
             )
 
     return run
 
 
-def _emit_windows(length: int):
+def _emit_windows(length: int, anchor: int):
+    half = (length - anchor + 1) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
                 hashes = SubstringHashes(text.as_py().encode())
                 first, n = (np.array([r[k] for r in runs]) for k in ("first", "n"))
-                anchor = np.repeat(np.array([r["anchor"] for r in runs], np.int64), n)
+                key, before, after = (np.repeat([r[k] for r in runs], n) for k in ("anchor", "before", "after"))
                 at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                left = np.repeat(first + [r["at"] for r in runs], n) - at
+                able = (before & (left >= half)) | (after & (left <= length - anchor - half))
+                key, at = key[able], at[able]
                 for a in range(0, len(at), 100_000):
                     s = at[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[a : a + 100_000]), pa.array(hashes.of(s, s + length).view(np.int64)), pa.array(np.full(len(s), doc, np.int64)), pa.array(s.astype(np.int32))], names=["anchor", "window", "doc_id", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(hashes.of(s, s + length).view(np.int64)), pa.array(np.full(len(s), doc, np.int64)), pa.array(s.astype(np.int32))], names=["anchor", "window", "doc_id", "first"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(texts dealt by doc_id, runs (doc_id, first, n) of window starts that occur in a smaller document)."""
+    """(texts dealt by doc_id; doc_id and the runs (first, n) of window starts that occur in a smaller document)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = keyed_texts(docs)
@@ -178,21 +188,22 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     ).filter("salt > 0 OR _low < _high")
     seen = F.col("salt") > 0
     even = F.col("_run") == F.col("_run2")
-    settled = runs.filter(seen | (even & (F.col("doc_id") > F.col("_low")))).select("doc_id", "first", "n")
-
-    # half ranks of the uneven anchors; a run stays whose half before or after its anchor is in two documents
+    # half ranks of the uneven anchors: a window holds the anchor with the half before it or with the half after it
     half = lambda c: Window.partitionBy("anchor", "salt", c)
-    uneven = runs.filter(~seen & ~even).select(
-        "anchor", "salt", "doc_id", "first", "n", F.shiftrightunsigned("halves", 32).alias("_before"), F.col("halves").bitwiseAND(0xFFFFFFFF).alias("_after")
-    )
-    uneven = uneven.select(
-        "*", *(x for c in ("_before", "_after") for x in (F.min("doc_id").over(half(c)).alias(f"{c}_low"), F.max("doc_id").over(half(c)).alias(f"{c}_high")))
-    ).filter("_before_low < _before_high OR _after_low < _after_high")
-    todo = uneven.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
-    windows = dealt.join(todo, "doc_id").select("doc_id", "text", "runs").mapInArrow(_emit_windows(length), "anchor long, window long, doc_id long, first int")
+    shared = lambda c: F.min("doc_id").over(half(c)) < F.max("doc_id").over(half(c))
+    runs = runs.withColumn("_before", F.shiftrightunsigned("halves", 32)).withColumn("_after", F.col("halves").bitwiseAND(0xFFFFFFFF))
+    runs = runs.withColumn("before", shared("_before")).withColumn("after", shared("_after"))
+    settled = F.when(seen | (even & (F.col("doc_id") > F.col("_low"))), F.struct("first", "n"))
+    uneven = F.when(~seen & ~even & (F.col("before") | F.col("after")), F.struct("anchor", "first", "n", "at", "before", "after"))
+    found = runs.select("doc_id", settled.alias("settled"), uneven.alias("uneven")).filter("settled IS NOT NULL OR uneven IS NOT NULL")
+    found = written(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("uneven").alias("uneven")), "repeats")
+
+    windows = dealt.join(found.filter("size(uneven) > 0"), "doc_id").select("doc_id", "text", F.col("uneven").alias("runs"))
+    windows = windows.mapInArrow(_emit_windows(length, anchor), "anchor long, window long, doc_id long, first int")
     of_window = Window.partitionBy("anchor", "window")
-    late = windows.select("doc_id", "first", F.min("doc_id").over(of_window).alias("_low")).filter("doc_id > _low").select("doc_id", "first", F.lit(1).alias("n"))
-    return dealt, settled.unionByName(late)
+    late = windows.select("doc_id", "first", F.min("doc_id").over(of_window).alias("_low")).filter("doc_id > _low").select("doc_id", F.struct("first", F.lit(1).alias("n")).alias("run"))
+    late = late.groupBy("doc_id").agg(F.collect_list("run").alias("late"))
+    return dealt, found.select("doc_id", "settled").join(late, "doc_id", "full").select("doc_id", F.concat(F.coalesce("settled", F.array()), F.coalesce("late", F.array())).alias("runs"))
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, text binary"
@@ -230,8 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     ``docs`` needs unique doc_id; null texts count as empty; documents shorter than ``length`` and
     empty tables come back unchanged; columns other than doc_id and text are ignored.
     """
-    dealt, late = repeated_windows(docs, length, anchor)
-    runs = late.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    dealt, runs = repeated_windows(docs, length, anchor)
     return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_cut(length), DIGEST)
 
 
