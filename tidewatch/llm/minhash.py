@@ -7,11 +7,14 @@ each other, in blocks, on registers: a collision-corrected estimate drops what i
 threshold, and all that is left is confirmed on full shingle sets.
 
 With BANDS bands of ROWS registers a pair at the threshold of 0.85 is missed with probability
-(1 - 0.85**ROWS)**BANDS = 3e-9, and an estimate is MARGIN below it by chance with about 1e-6.
+(1 - 0.85**ROWS)**BANDS = 5e-9, one at 0.4 becomes a candidate with 0.04. Estimates use the first
+COMPARED registers; an an
+estimate is MARGIN below it by chance with about 1e-6.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import U64, SubstringHashes, keyed_texts, mix, shuffle_partitions, written
 from .components import components
 
-WORDS, BANDS, ROWS, MANTISSA = 5, 33, 5, 10
-MARGIN, BLOCK = 0.15, 256
+WORDS, BANDS, ROWS, MANTISSA = 5, 60, 8, 10
+MARGIN, BLOCK, COMPARED = 0.15, 256, 160
 HASHES = BANDS * ROWS
 
-SIGNATURE = "doc_id long, n_shingles long, same string, registers binary"
+SIGNATURE = "doc_id long, n_shingles long, same string, registers binary, buckets array<long>"
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -45,69 +48,69 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES), dtype=U64)
-    return draw[0] * U64(2) + U64(1), draw[1]
+    draw = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES // 2), dtype=U64)
+    return draw[0] * U64(2) + U64(1), draw[1] * U64(2) + U64(1)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """Leading-zero count and mantissa of the smallest hash under each function, as 16 bits."""
-    mul, add = _multipliers()
-    low = np.full(HASHES, np.iinfo(U64).max, U64)
+    """Leading-zero count and mantissa of the smallest 32-bit hash under each function, as 16 bits."""
+    one, two = _multipliers()
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for a in range(0, len(hashes), 2048):
-            h = hashes[a : a + 2048, None] * mul
+        for a in range(0, len(hashes), 512):
+            h = hashes[a : a + 512, None] * one
+            h ^= h >> U64(32)
+            h *= two
             h ^= h >> U64(29)
-            h *= add | U64(1)
-            np.minimum(low, h.min(axis=0), out=low)
-        zeros = np.full(HASHES, 63, U64)
-        left = low.copy()
-        at = np.zeros(HASHES, U64)
-        for step in (32, 16, 8, 4, 2, 1):
-            small = left < (U64(1) << U64(64 - step))
-            at = np.where(small, at + U64(step), at)
-            left = np.where(small, left << U64(step), left)
-        zeros = np.minimum(at, U64(63))
-        mantissa = (left << U64(1)) >> U64(64 - MANTISSA)
-    return ((zeros << U64(MANTISSA)) | mantissa).astype("<u2")
+            np.minimum(low, h.view(np.uint32).min(axis=0), out=low)
+    # a float's exponent tells the leading zeros
+    value = low.astype(np.uint64)
+    zeros = 32 - np.frexp(low.astype(np.float64))[1]
+    mantissa = (value << (zeros + 1).astype(U64) & U64(0xFFFFFFFF)) >> U64(32 - MANTISSA)
+    return ((zeros.astype(U64) << U64(MANTISSA)) | mantissa).astype("<u2")
+
+
+def _buckets(regs: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of registers."""
+    regs = regs.reshape(BANDS, ROWS).astype(U64)
+    key = np.arange(BANDS, dtype=U64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + regs[:, r] + U64(1))
+    return key.view(np.int64)
 
 
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
-            n, same, regs = [], [], []
+            n, same, regs, keys = [], [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
-                same.append(hashlib.md5(s.tobytes()).hexdigest() if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.string()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "same", "registers"])
+                if len(s):
+                    r = registers(s)
+                    same.append(hashlib.md5(s.tobytes()).hexdigest())
+                    regs.append(r[:COMPARED].tobytes())
+                    keys.append(_buckets(r))
+                else:
+                    same.append(None)
+                    regs.append(None)
+                    keys.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.string()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "same", "registers", "buckets"]
+            )
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        regs = np.frombuffer(b"".join(x.as_py() for x in b.column("registers")), "<u2").reshape(-1, BANDS, ROWS).astype(U64)
-        key = np.zeros(regs.shape[:2], U64) + np.arange(BANDS, dtype=U64)
-        with np.errstate(over="ignore"):
-            for r in range(ROWS):
-                key = mix(key * U64(0x9E3779B97F4A7C15) + regs[:, :, r] + U64(1))
-        ids = np.repeat(b.column("doc_id").to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "doc_id"])
-
-
-def estimate(equal: np.ndarray, least_size) -> np.ndarray:
+def estimate(equal: np.ndarray) -> np.ndarray:
     """Jaccard estimate from the number of equal registers, less the collisions of unequal minima.
 
     Two unequal minima have the same leading zeros with probability about 1/3 and then the same
     mantissa with 2**-MANTISSA.
     """
     chance = 2.0**-MANTISSA / 3
-    return np.maximum(0, (equal / HASHES - chance) / (1 - chance))
+    return np.maximum(0, (equal / COMPARED - chance) / (1 - chance))
 
 
 def _far(threshold: float):
@@ -116,8 +119,8 @@ def _far(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), "<u2").reshape(-1, HASHES) for c in ("rx", "ry"))
-                near = estimate((x == y).sum(axis=1), 1) >= threshold - MARGIN
+                x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), "<u2").reshape(-1, COMPARED) for c in ("rx", "ry"))
+                near = estimate((x == y).sum(axis=1)) >= threshold - MARGIN
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in ("x", "y")], names=["x", "y"])
 
     return run
@@ -134,7 +137,7 @@ def _blocks(threshold: float):
             right = np.flatnonzero(part[a:z] != 1) + a
             for i in left:
                 other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (part[right] == 2))]
-                near = other[estimate((regs[other] == regs[i]).sum(axis=1), 1) >= threshold - MARGIN]
+                near = other[estimate((regs[other] == regs[i]).sum(axis=1)) >= threshold - MARGIN]
                 if len(near):
                     yield np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])
 
@@ -148,7 +151,7 @@ def _blocks(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
+            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, COMPARED))
             last = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1]
             if held and held[-1][0][-1] != cols[0][0]:
                 yield from out(held)
@@ -195,11 +198,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     texts = keyed_texts(docs)
     signed = written(texts.mapInArrow(_sign(words), SIGNATURE), "signatures")
     same = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    heads = signed.filter("same IS NOT NULL").join(same.filter("copies > 1").select("same", "head"), "same", "left").filter("head IS NULL OR head = doc_id")
-    heads = written(heads.select("doc_id", "registers"), "heads")
-    band = heads.mapInArrow(_bands, "bucket long, doc_id long")
+    heads = signed.join(same.filter("copies > 1").select("same", "head"), "same", "left").filter("same IS NOT NULL AND (head IS NULL OR head = doc_id)")
+    band = heads.select("doc_id", F.explode("buckets").alias("bucket"))
     hub = band.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     band = written(band.join(hub, "bucket"), "buckets")
+    heads = signed.select("doc_id", "registers")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose register estimate is not far below the threshold."""
@@ -209,7 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        sets = written(texts.join(wanted, "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+        # the shuffle is asked for, since ``wanted`` grows with the data
+        sets = written(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
         side = lambda a, s: sets.select(F.col("doc_id").alias(a), F.col("shingles").alias(s))
         return pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y").mapInArrow(_confirm(percent, 100), "a long, b long")
 
