@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, packing, suffix_dedup, token_counts, training_order
+from . import crf, fingerprints, lm, minhash, mixing, packing, rules, suffix_dedup, token_counts, training_order
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: op(documents(spark, sf_dir))
 
 
+def _with_labels(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_spotsigs_fingerprints": _over_documents(fingerprints.op1),
@@ -24,5 +28,8 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": _over_documents(packing.op4),
         "op5_token_counts": _over_documents(token_counts.op5),
         "op6_pivotal_mixing": _over_documents(mixing.op6),
+        "op7_ppm_scores": _over_documents(lm.op7),
+        "op8_quality_rules": _with_labels(rules.op8),
+        "op9_line_crf_quality": _with_labels(crf.op9),
         "op10_training_order": _over_documents(training_order.op10),
     }
