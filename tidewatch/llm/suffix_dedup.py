@@ -19,6 +19,7 @@ Plain doubling over every position would shuffle about 16 bytes a byte of text e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ FLUSH_BYTES = 24 << 20
 SALTS = 61
 
 RANKS = "anchor long, doc_id long, salt int, shared boolean"
-RUNS = "anchor long, salt int, run long, halves long, doc_id long, first int, n int, at int"
+RUNS = "anchor long, salt int, run long, doc_id long, first int, n int, at int"
+TEXTS = "doc_id long, packed binary"
 
 
 def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -68,25 +70,38 @@ def _runs(data: bytes, length: int, anchor: int):
     at = named[first]
     half = (length - anchor + 1) // 2
     left, right = np.maximum(at - half, 0), np.minimum(at + anchor + half, len(data))
-    before = hashes.of(left, at + anchor) >> U64(32)
-    after = hashes.of(at, right) >> U64(32)
-    # a half cut off at the document's edge holds no window, so its rank only has to be of its own
-    return (hashes.of(at, at + anchor), hashes.of(first, last + length), (before << U64(32)) | after, first, last - first + 1, at - first)
+    # the run's rank in the upper 48 bits; of the halves' ranks, which only rule windows out, 8 bits each
+    before, after = hashes.of(left, at + anchor) >> U64(56), hashes.of(at, right) >> U64(56)
+    run = (hashes.of(first, last + length) & ~U64(0xFFFF)) | (before << U64(8)) | after
+    return hashes.of(at, at + anchor), run, first, last - first + 1, at - first
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are shuffled, and only opened in Python."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([zlib.compress(t.as_py().encode(), 1) for t in b.column("text")], pa.binary())], names=["doc_id", "packed"])
+
+
+def _data(value) -> bytes:
+    value = value.as_py()
+    return value.encode() if isinstance(value, str) else zlib.decompress(value)
+
+
+def _flushes(batches: Iterator[pa.RecordBatch], length: int, anchor: int, mask: int = (1 << 64) - 1):
     """Columns of the runs of about FLUSH_BYTES of text at a time, with their documents last."""
     parts: list = []
     size = 0
     whole = lambda: [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
     for b in batches:
         wanted = b.column("ranks") if "ranks" in b.schema.names else [None] * b.num_rows
-        for doc, text, ranks in zip(b.column("doc_id").to_pylist(), b.column("text"), wanted):
-            data = text.as_py().encode()
+        for doc, text, ranks in zip(b.column("doc_id").to_pylist(), b.column(1), wanted):
+            if ranks is not None and not ranks.is_valid:
+                continue
+            data = _data(text)
             size += len(data)
             if got := _runs(data, length, anchor):
                 if ranks is not None:
-                    of = np.isin(got[0].view(np.int64), ranks.values.to_numpy())
+                    of = np.isin((got[0] & U64(mask)).view(np.int64), ranks.values.to_numpy())
                     got = tuple(c[of] for c in got)
                 parts.append((*got, np.full(len(got[0]), doc, np.int64)))
             if size >= FLUSH_BYTES and parts:
@@ -109,11 +124,12 @@ def _batches(columns: dict, size: int = 200_000) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + size]) for c in columns.values()], names=list(columns))
 
 
-def _emit_ranks(length: int, anchor: int):
+def _emit_ranks(length: int, anchor: int, mask: int):
     """(anchor, doc_id, salt, shared), once a document. shared: two documents have it here already; of these only the smallest goes on to meet others, so the rest get a salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, *_, doc in _flushes(batches, length, anchor):
+            h &= U64(mask)
             order, seen = _met([h], doc)
             a, d = h[order], doc[order]
             once = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])][: len(h)]
@@ -126,9 +142,9 @@ def _emit_ranks(length: int, anchor: int):
     return run
 
 
-def _emit_runs(length: int, anchor: int):
+def _emit_runs(length: int, anchor: int, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, r, halves, first, n, at, doc in _flushes(batches, length, anchor):
+        for h, r, first, n, at, doc in _flushes(batches, length, anchor, mask):
             order, seen = _met([h, r], doc)
             back = np.argsort(order)
             order, seen = order[back], seen[back]
@@ -137,7 +153,6 @@ def _emit_runs(length: int, anchor: int):
                     "anchor": h[order].view(np.int64),
                     "salt": np.where(seen, 1 + doc[order] % SALTS, 0).astype(np.int32),
                     "run": np.where(seen, 0, r[order].view(np.int64)),
-                    "halves": np.where(seen, 0, halves[order].view(np.int64)),
                     "doc_id": doc[order],
                     "first": first[order].astype(np.int32),
                     "n": n[order].astype(np.int32),
@@ -153,8 +168,10 @@ def _emit_windows(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
-                hashes = SubstringHashes(text.as_py().encode())
+            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("runs").to_pylist()):
+                if not runs:
+                    continue
+                hashes = SubstringHashes(_data(text))
                 first, n = (np.array([r[k] for r in runs]) for k in ("first", "n"))
                 key, before, after = (np.repeat([r[k] for r in runs], n) for k in ("anchor", "before", "after"))
                 at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -170,35 +187,38 @@ def _emit_windows(length: int, anchor: int):
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """(texts dealt by doc_id; doc_id and the runs (first, n) of window starts that occur in a smaller document)."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(docs.sparkSession)
     texts = keyed_texts(docs)
-    dealt = texts.repartition(parts, "doc_id")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    mask = ((1 << 64) - 1) ^ ((1 << max(0, 56 - size.bit_length())) - 1)  # first ranks need only some bits more than there are positions
+    dealt = texts.mapInArrow(_pack, TEXTS).repartition(parts, "doc_id")
     by = Window.partitionBy("anchor", "salt")
-    ranks = texts.mapInArrow(_emit_ranks(length, anchor), RANKS).repartition(parts, "anchor", "salt")
+    ranks = texts.mapInArrow(_emit_ranks(length, anchor, mask), RANKS).repartition(parts, "anchor", "salt")
     ranks = ranks.select("*", F.min("doc_id").over(by).alias("_low"), F.max("doc_id").over(by).alias("_high")).filter("shared OR _low < _high")
     ranks = ranks.groupBy("doc_id").agg(F.collect_list("anchor").alias("ranks"))
-    runs = dealt.join(ranks, "doc_id").select("doc_id", "text", "ranks").mapInArrow(_emit_runs(length, anchor), RUNS).repartition(parts, "anchor", "salt")
+    runs = dealt.join(ranks, "doc_id", "left").select("doc_id", "packed", "ranks").mapInArrow(_emit_runs(length, anchor, mask), RUNS).repartition(parts, "anchor", "salt")
+    rank = F.shiftright("run", 16)
     runs = runs.select(
         "*",
         F.min("doc_id").over(by).alias("_low"),
         F.max("doc_id").over(by).alias("_high"),
-        F.min("run").over(by).alias("_run"),
-        F.max("run").over(by).alias("_run2"),
+        F.min(rank).over(by).alias("_run"),
+        F.max(rank).over(by).alias("_run2"),
     ).filter("salt > 0 OR _low < _high")
     seen = F.col("salt") > 0
     even = F.col("_run") == F.col("_run2")
     # half ranks of the uneven anchors: a window holds the anchor with the half before it or with the half after it
     half = lambda c: Window.partitionBy("anchor", "salt", c)
     shared = lambda c: F.min("doc_id").over(half(c)) < F.max("doc_id").over(half(c))
-    runs = runs.withColumn("_before", F.shiftrightunsigned("halves", 32)).withColumn("_after", F.col("halves").bitwiseAND(0xFFFFFFFF))
+    runs = runs.withColumn("_before", F.shiftright("run", 8).bitwiseAND(255)).withColumn("_after", F.col("run").bitwiseAND(255))
     runs = runs.withColumn("before", shared("_before")).withColumn("after", shared("_after"))
     settled = F.when(seen | (even & (F.col("doc_id") > F.col("_low"))), F.struct("first", "n"))
     uneven = F.when(~seen & ~even & (F.col("before") | F.col("after")), F.struct("anchor", "first", "n", "at", "before", "after"))
     found = runs.select("doc_id", settled.alias("settled"), uneven.alias("uneven")).filter("settled IS NOT NULL OR uneven IS NOT NULL")
     found = written(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("uneven").alias("uneven")), "repeats")
 
-    windows = dealt.join(found.filter("size(uneven) > 0"), "doc_id").select("doc_id", "text", F.col("uneven").alias("runs"))
+    # left joins, as below: the shuffled texts are the same for both
+    windows = dealt.join(found, "doc_id", "left").select("doc_id", "packed", F.col("uneven").alias("runs"))
     windows = windows.mapInArrow(_emit_windows(length, anchor), "anchor long, window long, doc_id long, first int")
     of_window = Window.partitionBy("anchor", "window")
     late = windows.select("doc_id", "first", F.min("doc_id").over(of_window).alias("_low")).filter("doc_id > _low").select("doc_id", F.struct("first", F.lit(1).alias("n")).alias("run"))
@@ -225,8 +245,8 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("runs")):
-                data, runs = text.as_py().encode(), runs.as_py()
+            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("runs")):
+                data, runs = _data(text), runs.as_py()
                 start, end = _removed(len(data), runs, length) if runs else (np.empty(0, np.int64),) * 2
                 kept = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*start.tolist(), len(data)])) if len(start) else data
                 out.append((doc, len(data), int((end - start).sum()), len(start), kept))
@@ -242,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     empty tables come back unchanged; columns other than doc_id and text are ignored.
     """
     dealt, runs = repeated_windows(docs, length, anchor)
-    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_cut(length), DIGEST)
+    return dealt.join(runs, "doc_id", "left").select("doc_id", "packed", "runs").mapInArrow(_cut(length), DIGEST)
 
 
 def op2(docs: DataFrame) -> DataFrame:
