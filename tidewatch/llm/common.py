@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +28,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    gc.collect()  # the finished job's shuffle files go when the driver collects what refers to them
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # the job's shuffle files go when it ends, since the table is what is read on
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

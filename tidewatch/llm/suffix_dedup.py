@@ -7,11 +7,11 @@ at growing lengths, and a position leaves as soon as its rank is unique to one d
 1. Length ANCHOR. Of all positions only the content-defined anchors take part: each 50-byte window
    names one anchor among the ANCHOR-grams that it holds, by its bytes alone, so equal windows name
    equal anchors. An anchor whose rank occurs in one document only leaves with its windows.
-2. The run: the windows in a row that name the same anchor, with the bytes that they span. If all
-   runs of an anchor are equal, the smallest document keeps it and all others lose it.
-3. The rest are anchors with different runs, at the edges of repeats. Their halves are ranked (the
-   anchor with what stands before it, and after it); a window needs one of the two to occur in two
-   documents.
+2. The run: the windows in a row that name the same anchor, with the bytes that they span. Of equal
+   runs the smallest document keeps its own and all others lose theirs.
+3. What is left are the first of each run of anchors with different runs, at the edges of repeats.
+   Their halves are ranked (the anchor with what stands before it, and after it); a window needs one
+   of the two to occur in two documents.
 4. Windows that are left get ranks at the full length, past which nothing is refined.
 
 Plain doubling over every position would shuffle about 16 bytes a byte of text each round.
@@ -204,6 +204,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
         F.max("doc_id").over(by).alias("_high"),
         F.min(rank).over(by).alias("_run"),
         F.max(rank).over(by).alias("_run2"),
+        F.min("doc_id").over(Window.partitionBy("anchor", "salt", rank)).alias("_same"),
     ).filter("salt > 0 OR _low < _high")
     seen = F.col("salt") > 0
     even = F.col("_run") == F.col("_run2")
@@ -212,8 +213,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     shared = lambda c: F.min("doc_id").over(half(c)) < F.max("doc_id").over(half(c))
     runs = runs.withColumn("_before", F.shiftright("run", 8).bitwiseAND(255)).withColumn("_after", F.col("run").bitwiseAND(255))
     runs = runs.withColumn("before", shared("_before")).withColumn("after", shared("_after"))
-    settled = F.when(seen | (even & (F.col("doc_id") > F.col("_low"))), F.struct("first", "n"))
-    uneven = F.when(~seen & ~even & (F.col("before") | F.col("after")), F.struct("anchor", "first", "n", "at", "before", "after"))
+    settled = F.when(seen | (F.col("doc_id") > F.col("_same")), F.struct("first", "n"))
+    uneven = F.when(~seen & ~even & (F.col("doc_id") == F.col("_same")) & (F.col("before") | F.col("after")), F.struct("anchor", "first", "n", "at", "before", "after"))
     found = runs.select("doc_id", settled.alias("settled"), uneven.alias("uneven")).filter("settled IS NOT NULL OR uneven IS NOT NULL")
     found = written(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("uneven").alias("uneven")), "repeats")
 
