@@ -168,14 +168,15 @@ def _emit_windows(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("runs").to_pylist()):
-                if not runs:
+            for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("runs")):
+                if not runs.is_valid or not len(runs.values):
                     continue
                 hashes = SubstringHashes(_data(text))
-                first, n = (np.array([r[k] for r in runs]) for k in ("first", "n"))
-                key, before, after = (np.repeat([r[k] for r in runs], n) for k in ("anchor", "before", "after"))
+                col = lambda k: runs.values.field(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                first, n = col("first").astype(np.int64), col("n").astype(np.int64)
+                key, before, after = (np.repeat(col(k), n) for k in ("anchor", "before", "after"))
                 at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                left = np.repeat(first + [r["at"] for r in runs], n) - at
+                left = np.repeat(first + col("at"), n) - at
                 able = (before & (left >= half)) | (after & (left <= length - anchor - half))
                 key, at = key[able], at[able]
                 for a in range(0, len(at), 100_000):
@@ -230,10 +231,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, text binary"
 
 
-def _removed(n: int, runs: list, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _removed(n: int, runs: pa.StructArray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed byte ranges."""
-    first = np.array([r["first"] for r in runs], np.int64)
-    end = first + np.array([r["n"] for r in runs], np.int64) - 1 + length
+    first, count = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "n"))
+    end = first + count - 1 + length
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, end, -1)
@@ -247,8 +248,8 @@ def _cut(length: int):
         for b in batches:
             out = []
             for doc, text, runs in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("runs")):
-                data, runs = _data(text), runs.as_py()
-                start, end = _removed(len(data), runs, length) if runs else (np.empty(0, np.int64),) * 2
+                data = _data(text)
+                start, end = _removed(len(data), runs.values, length) if runs.is_valid and len(runs.values) else (np.empty(0, np.int64),) * 2
                 kept = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*start.tolist(), len(data)])) if len(start) else data
                 out.append((doc, len(data), int((end - start).sum()), len(start), kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "text"])
