@@ -7,9 +7,8 @@ each other, in blocks, on registers: a collision-corrected estimate drops what i
 threshold, and all that is left is confirmed on full shingle sets.
 
 With BANDS bands of ROWS registers a pair at the threshold of 0.85 is missed with probability
-(1 - 0.85**ROWS)**BANDS = 5e-9, one at 0.4 becomes a candidate with 0.04. Estimates use the first
-COMPARED registers; an an
-estimate is MARGIN below it by chance with about 1e-6.
+(1 - 0.85**ROWS)**BANDS = 5e-9, one at 0.4 becomes a candidate with 0.04. An
+estimate is MARGIN below it by chance with about 2e-6.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from .common import U64, SubstringHashes, keyed_texts, mix, shuffle_partitions,
 from .components import components
 
 WORDS, BANDS, ROWS, MANTISSA = 5, 60, 8, 10
-MARGIN, BLOCK, COMPARED = 0.15, 256, 160
+MARGIN, BLOCK = 0.075, 256
 HASHES = BANDS * ROWS
 
 SIGNATURE = "doc_id long, n_shingles long, same string, registers binary, buckets array<long>"
@@ -90,7 +89,7 @@ def _sign(words: int):
                 if len(s):
                     r = registers(s)
                     same.append(hashlib.md5(s.tobytes()).hexdigest())
-                    regs.append(r[:COMPARED].tobytes())
+                    regs.append(r.tobytes())
                     keys.append(_buckets(r))
                 else:
                     same.append(None)
@@ -110,7 +109,7 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     mantissa with 2**-MANTISSA.
     """
     chance = 2.0**-MANTISSA / 3
-    return np.maximum(0, (equal / COMPARED - chance) / (1 - chance))
+    return np.maximum(0, (equal / HASHES - chance) / (1 - chance))
 
 
 def _far(threshold: float):
@@ -119,7 +118,7 @@ def _far(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), "<u2").reshape(-1, COMPARED) for c in ("rx", "ry"))
+                x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), "<u2").reshape(-1, HASHES) for c in ("rx", "ry"))
                 near = estimate((x == y).sum(axis=1)) >= threshold - MARGIN
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in ("x", "y")], names=["x", "y"])
 
@@ -151,7 +150,7 @@ def _blocks(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, COMPARED))
+            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
             last = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1]
             if held and held[-1][0][-1] != cols[0][0]:
                 yield from out(held)
