@@ -6,9 +6,9 @@ meet its smallest member first, and only where components still differ after tha
 each other, in blocks, on registers: a collision-corrected estimate drops what is far below the
 threshold, and all that is left is confirmed on full shingle sets.
 
-With BANDS bands of ROWS registers a pair at the threshold of 0.85 is missed with probability
-(1 - 0.85**ROWS)**BANDS = 5e-9, one at 0.4 becomes a candidate with 0.04. An
-estimate is MARGIN below it by chance with about 2e-6.
+With BANDS bands of ROWS registers a pair at a threshold of 0.85 is missed with probability
+(1 - 0.85**ROWS)**BANDS = 5e-9 (2e-5 at 0.8), one at 0.4 becomes a candidate with 0.04. An
+estimate is MARGIN below the threshold by chance with about 2e-6.
 """
 
 from __future__ import annotations
@@ -126,17 +126,26 @@ def _far(threshold: float):
 
 
 def _blocks(threshold: float):
-    """Pairs of different components within (bucket, block pair) runs of sorted rows, on registers."""
+    """Pairs of different components within (bucket, block pair) runs of sorted rows, on registers.
+
+    A pair that shares several buckets is told in that of its first common band alone.
+    """
 
     def pairs(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, part, ids, comp, regs = (np.concatenate([r[k] for r in rows]) for k in range(5))
+        key, part, ids, comp, bucket, regs = (np.concatenate([r[k] for r in rows]) for k in range(6))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for a, z in zip(edge[:-1], edge[1:]):
             left = np.flatnonzero(part[a:z] != 2) + a
             right = np.flatnonzero(part[a:z] != 1) + a
+            band = None
             for i in left:
                 other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (part[right] == 2))]
                 near = other[estimate((regs[other] == regs[i]).sum(axis=1)) >= threshold - MARGIN]
+                if len(near):
+                    if band is None:
+                        band = int(np.argmax(_buckets(regs[i]) == bucket[a]))
+                    before = (regs[near, : band * ROWS].reshape(len(near), band, ROWS) == regs[i, : band * ROWS].reshape(band, ROWS)).all(axis=2)
+                    near = near[~before.any(axis=1)]
                 if len(near):
                     yield np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])
 
@@ -150,7 +159,7 @@ def _blocks(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
+            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("bucket").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
             last = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1]
             if held and held[-1][0][-1] != cols[0][0]:
                 yield from out(held)
@@ -225,8 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     entries = placed.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     entries = entries.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    entries = entries.select("doc_id", "component", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "registers").repartition(parts, "key").sortWithinPartitions("key")
+    entries = entries.select("doc_id", "component", "bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "bucket", "registers").repartition(parts, "key").sortWithinPartitions("key")
     more = confirmed(met.mapInArrow(_blocks(percent / 100), "x long, y long"))
 
     copies = signed.join(same.filter("copies > 1"), "same").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
@@ -235,4 +244,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(docs, percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
