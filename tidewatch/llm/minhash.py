@@ -195,7 +195,7 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked, directly or through others, by a Jaccard of ``percent`` or more.
 
     ``docs`` needs unique doc_id; documents without words (null, empty or white space) are linked
