@@ -61,12 +61,22 @@ def _text(name: str, dialect: int) -> str:
     return VIEWS[name].format(ts=_TS[dialect], k=_K[dialect], h=_H[dialect])
 
 
+def _table(name: str) -> str:
+    return "nation" if name == "timeline_v" else "events"
+
+
+def over(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """The view over given rows of its table, which may be a stream."""
+    return spark.sql(_text(name, 0).replace(f"FROM {_table(name)}", "FROM {source}"), source=rows)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = "nation" if name == "timeline_v" else "events"
-    return spark.sql(_text(name, 0).replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return over(spark, name, spark.read.parquet(f"{sf_dir}/{_table(name)}.parquet"))
 
 
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the named views (and any further CTEs at its start) in front."""
+    if not names:
+        return sql.strip()
     views = ", ".join(f"{n} AS ({_text(n, 1)})" for n in names)
     return f"WITH RECURSIVE {views}, {sql.strip().removeprefix('WITH ')}" if sql.strip().startswith("WITH ") else f"WITH {views} {sql}"

@@ -332,17 +332,28 @@ def _long(spark, sf_dir):
     return e.select(F.col("label").cast("long").alias("capture_id"), F.col("vec_id").alias("window"), F.posexplode(F.slice("embedding", 1, 3)).alias("feature", "v")).select("capture_id", "window", "feature", F.col("v").cast("double").alias("value"))
 
 
-@query()
+_SCALED = _STD + "e AS (SELECT feature, m, s < 1e-8 AS constant, CASE WHEN s < 1e-8 THEN 1.0 ELSE s END AS sc, a, b FROM f) "
+
+
+@query(_SCALED + "SELECT feature, round(m, 5) AS mean, round(sc, 5) AS scale, round((a - m) / sc - 1, 5) AS lo, round((b - m) / sc + 1, 5) AS hi, constant FROM e")
 def fit_standardiser(spark, sf_dir):
     return rounded(profile.fit_standardiser(_long(spark, sf_dir)), 5)
 
 
-@query()
+@query(
+    _LONG + """c AS (SELECT feature, quantile_cont(value, 0.5) AS centre, stddev_pop(value) AS std FROM l GROUP BY 1),
+    d AS (SELECT feature, centre, std, quantile_cont(abs(value - centre), 0.5) AS mad FROM l JOIN c USING (feature) GROUP BY 1, 2, 3)
+    SELECT feature, round(centre, 5) AS centre, round(greatest(1.4826 * mad, 0.5 * std, 1e-3 + 0.01 * abs(centre)), 5) AS scale FROM d"""
+)
 def fit_profile(spark, sf_dir):
     return rounded(profile.fit_profile(_long(spark, sf_dir)), 5)
 
 
-@query()
+@query(
+    _SCALED + """, o AS (SELECT capture_id, win, avg(CASE WHEN constant THEN CASE WHEN abs(value - m) > 1e-8 THEN 1.0 ELSE 0.0 END WHEN (value - m) / sc < (a - m) / sc - 1 OR (value - m) / sc > (b - m) / sc + 1 THEN 1.0 ELSE 0.0 END) AS share FROM l JOIN e USING (feature) GROUP BY 1, 2),
+    g AS (SELECT capture_id, quantile_cont(share, 0.5) AS mid, quantile_cont(share, 0.95) AS high, count(*) FILTER (share > 0.10) AS n FROM o GROUP BY 1)
+    SELECT capture_id, round(mid, 5) AS median_outside, round(high, 5) AS p95_outside, n AS windows_outside, CASE WHEN mid > 0.10 THEN 'outside' WHEN mid > 0.03 THEN 'marginal' ELSE 'inside' END AS verdict FROM g"""
+)
 def assess_novelty(spark, sf_dir):
     long = _long(spark, sf_dir)
     return rounded(profile.assess_novelty(long, profile.fit_standardiser(long)), 5)
@@ -402,3 +413,6 @@ def smooth_scores(spark, sf_dir):
 @query(_EP + "m AS (SELECT capture_id, max(score) AS peak FROM s GROUP BY 1) SELECT s.capture_id, min(win) AS \"window\", round(max(peak), 6) AS peak FROM s JOIN m ON s.capture_id = m.capture_id AND s.score = m.peak GROUP BY 1", "scores_v")
 def peak_window(spark, sf_dir):
     return rounded(labels.peak_window(_windowed(spark, sf_dir)))
+
+
+from . import studies  # noqa: E402, F401  registers its queries
