@@ -94,7 +94,8 @@ class SubstringHashes:
         size = 1 << max(12, n.bit_length())
         up, self.down = _powers(size)
         with np.errstate(over="ignore"):
-            terms = _byte_values()[np.frombuffer(data, np.uint8)] * up[:n]
+            terms = _byte_values().take(np.frombuffer(data, np.uint8))
+            terms *= up[:n]
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(terms, out=self.sums[1:])
 
@@ -106,10 +107,11 @@ class SubstringHashes:
         with np.errstate(over="ignore"):
             return mix(self.raw(start, end) + np.asarray(end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
-    def every(self, length: int) -> np.ndarray:
-        """Hashes of the substrings of ``length`` at every start."""
+    def every(self, length: int, final: bool = True) -> np.ndarray:
+        """Hashes of the substrings of ``length`` at every start; without the finaliser only the upper bits are of use."""
         n = len(self.sums) - 1
         if n < length:
             return np.empty(0, U64)
         with np.errstate(over="ignore"):
-            return mix((self.sums[length:] - self.sums[: n + 1 - length]) * self.down[: n + 1 - length])
+            raw = (self.sums[length:] - self.sums[: n + 1 - length]) * self.down[: n + 1 - length]
+        return mix(raw) if final else raw

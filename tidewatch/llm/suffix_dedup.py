@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, SubstringHashes, keyed_texts, shuffle_partitions, written
 
-LENGTH, ANCHOR, SEED_GRAM = 50, 20, 20
-FLUSH_BYTES = 24 << 20
+LENGTH, ANCHOR = 50, 20
+FLUSH_BYTES, CHUNK_BYTES = 24 << 20, 1 << 15
 
 SALTS = 61
 
@@ -50,30 +50,36 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(hashes: SubstringHashes, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
-    """For every window of ``length``, where the anchor starts that it names."""
-    n = len(hashes.sums) - 1
-    if n < length:
+    """For every window of ``length``, where the anchor starts that it names: the ``anchor``-gram with the smallest hash."""
+    if len(hashes.sums) <= length:
         return np.empty(0, np.int64)
-    w = length - anchor + 1
-    low = _sliding_argmin(hashes.every(SEED_GRAM), length - SEED_GRAM + 1)
-    starts = np.arange(n - length + 1)
-    return starts + (low - starts) % w  # the anchor's place in the window modulo w: fewer anchors than plain minimisers
+    return _sliding_argmin(hashes.every(anchor, final=False), length - anchor + 1)
 
 
-def _runs(data: bytes, length: int, anchor: int):
-    hashes = SubstringHashes(data)
+def _runs(texts: list[bytes], length: int, anchor: int, whole: bool = True):
+    """Columns of the runs of some texts, hashed as one string: text, anchor, then (if ``whole``) run, first, n, at."""
+    hashes = SubstringHashes(b"".join(texts))
     named = anchors(hashes, length, anchor)
-    if not len(named):
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    starts = np.flatnonzero(text[: len(named)] == text[len(text) - len(named) :])  # windows inside one text
+    if not len(starts):
         return None
-    first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
-    last = np.r_[first[1:], len(named)] - 1
-    at = named[first]
+    named = named[starts]
+    edge = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+    first, at = starts[edge], named[edge]
+    text = text[first]
+    if not whole:
+        return text, hashes.of(at, at + anchor)
+    last = starts[np.r_[edge[1:], len(starts)] - 1]
+    ends = np.cumsum(sizes)
+    low, high = (ends - sizes)[text], ends[text]
     half = (length - anchor + 1) // 2
-    left, right = np.maximum(at - half, 0), np.minimum(at + anchor + half, len(data))
+    left, right = np.maximum(at - half, low), np.minimum(at + anchor + half, high)
     # the run's rank in the upper 48 bits; of the halves' ranks, which only rule windows out, 8 bits each
     before, after = hashes.of(left, at + anchor) >> U64(56), hashes.of(at, right) >> U64(56)
     run = (hashes.of(first, last + length) & ~U64(0xFFFF)) | (before << U64(8)) | after
-    return hashes.of(at, at + anchor), run, first, last - first + 1, at - first
+    return text, hashes.of(at, at + anchor), run, first - low, last - first + 1, at - first
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,28 +93,49 @@ def _data(value) -> bytes:
     return value.encode() if isinstance(value, str) else zlib.decompress(value)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], length: int, anchor: int, mask: int = (1 << 64) - 1):
-    """Columns of the runs of about FLUSH_BYTES of text at a time, with their documents last."""
+def _chunks(batches: Iterator[pa.RecordBatch]):
+    """(doc_ids, texts, arrays of wanted ranks) of CHUNK_BYTES of text, or of one longer text, at a time: short texts share the cost of a call."""
+    docs, texts, ranks, size = [], [], [], 0
+    for b in batches:
+        wanted = b.column("ranks") if "ranks" in b.schema.names else None
+        for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column(1))):
+            if wanted is not None:
+                if not wanted[k].is_valid:
+                    continue
+                ranks.append(wanted[k].values.to_numpy())
+            docs.append(doc)
+            texts.append(_data(text))
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield docs, texts, ranks
+                docs, texts, ranks, size = [], [], [], 0
+    if docs:
+        yield docs, texts, ranks
+
+
+def _flushes(batches: Iterator[pa.RecordBatch], length: int, anchor: int, mask: int, whole: bool):
+    """Columns of the runs of about FLUSH_BYTES of text at a time: anchors under ``mask`` first, documents last.
+
+    Where ranks are given, only runs of these anchors. Ranks shared by two documents are wanted of
+    every document that has them, so a chunk's ranks may be looked up as one set.
+    """
     parts: list = []
     size = 0
-    whole = lambda: [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
-    for b in batches:
-        wanted = b.column("ranks") if "ranks" in b.schema.names else [None] * b.num_rows
-        for doc, text, ranks in zip(b.column("doc_id").to_pylist(), b.column(1), wanted):
-            if ranks is not None and not ranks.is_valid:
-                continue
-            data = _data(text)
-            size += len(data)
-            if got := _runs(data, length, anchor):
-                if ranks is not None:
-                    of = np.isin((got[0] & U64(mask)).view(np.int64), ranks.values.to_numpy())
-                    got = tuple(c[of] for c in got)
-                parts.append((*got, np.full(len(got[0]), doc, np.int64)))
-            if size >= FLUSH_BYTES and parts:
-                yield whole()
-                parts, size = [], 0
+    columns = lambda: [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
+    for docs, texts, ranks in _chunks(batches):
+        size += sum(map(len, texts))
+        if got := _runs(texts, length, anchor, whole):
+            text, rank, *rest = got
+            got = (rank & U64(mask), *rest, np.array(docs, np.int64)[text])
+            if ranks:
+                of = np.isin(got[0].view(np.int64), np.concatenate(ranks))
+                got = tuple(c[of] for c in got)
+            parts.append(got)
+        if size >= FLUSH_BYTES and parts:
+            yield columns()
+            parts, size = [], 0
     if parts:
-        yield whole()
+        yield columns()
 
 
 def _met(keys: list, doc: np.ndarray):
@@ -128,8 +155,7 @@ def _emit_ranks(length: int, anchor: int, mask: int):
     """(anchor, doc_id, salt, shared), once a document. shared: two documents have it here already; of these only the smallest goes on to meet others, so the rest get a salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, *_, doc in _flushes(batches, length, anchor):
-            h &= U64(mask)
+        for h, doc in _flushes(batches, length, anchor, mask, whole=False):
             order, seen = _met([h], doc)
             a, d = h[order], doc[order]
             once = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])][: len(h)]
@@ -144,7 +170,7 @@ def _emit_ranks(length: int, anchor: int, mask: int):
 
 def _emit_runs(length: int, anchor: int, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, r, first, n, at, doc in _flushes(batches, length, anchor, mask):
+        for h, r, first, n, at, doc in _flushes(batches, length, anchor, mask, whole=True):
             order, seen = _met([h, r], doc)
             back = np.argsort(order)
             order, seen = order[back], seen[back]
@@ -189,7 +215,7 @@ def _emit_windows(length: int, anchor: int):
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """(texts dealt by doc_id; doc_id and the runs (first, n) of window starts that occur in a smaller document)."""
     parts = shuffle_partitions(docs.sparkSession)
-    texts = keyed_texts(docs)
+    texts = keyed_texts(docs).filter("doc_id IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     mask = ((1 << 64) - 1) ^ ((1 << max(0, 56 - size.bit_length())) - 1)  # first ranks need only some bits more than there are positions
     dealt = texts.mapInArrow(_pack, TEXTS).repartition(parts, "doc_id")
@@ -260,7 +286,8 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, text binary): each document with what stays of its bytes.
 
-    ``docs`` needs unique doc_id; null texts count as empty; documents shorter than ``length`` and
+    ``docs`` needs unique doc_id, rows without one have no place in the order and are left out; null
+    texts count as empty; documents shorter than ``length`` and
     empty tables come back unchanged; columns other than doc_id and text are ignored.
     """
     dealt, runs = repeated_windows(docs, length, anchor)
