@@ -17,11 +17,17 @@ CONVERSATION = ["capture_id", "ip_a", "port_a", "ip_b", "port_b", "protocol"]
 
 
 def canonical_key(packets: DataFrame) -> DataFrame:
-    """Add the direction-free endpoints (ip_a, port_a) <= (ip_b, port_b)."""
-    a = F.struct(ip_to_int(F.col("src_ip")).alias("ip"), F.col("src_port").alias("port"))
-    b = F.struct(ip_to_int(F.col("dst_ip")).alias("ip"), F.col("dst_port").alias("port"))
-    low, high = F.least(a, b), F.greatest(a, b)
-    return packets.select("*", low["ip"].alias("ip_a"), low["port"].alias("port_a"), high["ip"].alias("ip_b"), high["port"].alias("port_b"))
+    """Add the direction-free endpoints (ip_a, port_a) <= (ip_b, port_b); an unreadable address or port counts as -1.
+
+    Addresses are parsed in a step of their own, and the keys are never null, so that neither a
+    projection nor a join's null filter repeats the parsing.
+    """
+    known = lambda c: F.coalesce(c, F.lit(-1))
+    end = lambda side: F.struct(known(ip_to_int(F.col(f"{side}_ip"))).alias("ip"), known(F.col(f"{side}_port")).alias("port"))
+    ends = packets.withColumns({"_src": end("src"), "_dst": end("dst")})
+    ends = ends.withColumns({"_low": F.least("_src", "_dst"), "_high": F.greatest("_src", "_dst")})
+    fields = {f"{f}_{side}": F.col(f"{c}.{f}") for side, c in (("a", "_low"), ("b", "_high")) for f in ("ip", "port")}
+    return ends.withColumns(fields).drop("_src", "_dst", "_low", "_high")
 
 
 def _conversation() -> Window:
@@ -70,12 +76,12 @@ def split_episodes(packets: DataFrame, active_us: int = ACTIVE_US, close_on_tear
     """Add episode within each island: active-timeout and teardown cuts."""
     island = [*CONVERSATION, "island"]
     tcp = F.col("protocol") == TCP
-    needs = F.max("ts_us") - F.min("ts_us") > active_us
+    whole = Window.partitionBy(*island)
+    needs = F.max("ts_us").over(whole) - F.min("ts_us").over(whole) > active_us
     if close_on_teardown:
-        needs = needs | F.bool_or(tcp & (F.col("tcp_flags").bitwiseAND(5) != 0))
-    long_ones = packets.groupBy(*island).agg(needs.alias("needs")).filter("needs").drop("needs")
+        needs = needs | F.bool_or(tcp & (F.col("tcp_flags").bitwiseAND(5) != 0)).over(whole)
     row = F.struct("ts_us", F.col("packet_no").cast("long").alias("packet_no"), F.col("tcp_flags").alias("flags"), "fwd", tcp.alias("tcp"))
-    cuts = packets.join(long_ones, island, "left_semi").groupBy(*island).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    cuts = packets.withColumn("_needs", needs).filter("_needs").groupBy(*island).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     cuts = cuts.select(*island, F.explode(_starts(F.col("rows"), active_us, close_on_teardown)).alias("packet_no")).withColumn("_cut", F.lit(1))
     order = Window.partitionBy(*island).orderBy("ts_us", "packet_no")
     return packets.join(cuts, [*island, "packet_no"], "left").withColumn("episode", F.sum(F.coalesce("_cut", F.lit(0))).over(order)).drop("_cut")
@@ -113,9 +119,9 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
         of(fwd, "ip_len").alias("fwd_bytes"), of(bwd, "ip_len").alias("bwd_bytes"), F.sum("ip_len").alias("total_bytes"),
         *iat,
         *(some(F.col("tcp_flags").bitwiseAND(bit) != 0).alias(f"{name.lower()}_count") for bit, name in TCP_FLAGS),
-        *stat4("ip_ttl", "ttl"), F.count_distinct("ip_ttl").alias("ttl_unique"), F.coalesce(F.avg(F.when(fwd, F.col("ip_ttl"))), F.avg("ip_ttl")).alias("fwd_ttl_mean"),
+        *stat4("ip_ttl", "ttl"), F.size(F.collect_set("ip_ttl")).cast("long").alias("ttl_unique"), F.coalesce(F.avg(F.when(fwd, F.col("ip_ttl"))), F.avg("ip_ttl")).alias("fwd_ttl_mean"),
         *stat4("tcp_window", "window"), some(F.col("tcp_window") == 0).alias("window_zero_count"),
-        *stat4("payload_len", "payload"), F.percentile("payload_len", 0.5).alias("payload_p50"), F.percentile("payload_len", 0.9).alias("payload_p90"),
+        *stat4("payload_len", "payload"), F.percentile("payload_len", F.array(F.lit(0.5), F.lit(0.9))).alias("_payload"),
         (some(F.col("payload_len") == 0) / n).alias("payload_zero_ratio"),
         F.avg("ihl").alias("header_len_mean"), F.avg("tcp_doff").alias("tcp_doff_mean"),
         some(retrans).alias("retransmission_count"), (some(retrans) / n).alias("retransmission_ratio"),
@@ -126,6 +132,7 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
     )
     span = F.greatest(F.col("flow_duration"), F.lit(1e-6))
     col = F.col
+    out = out.withColumns({"payload_p50": col("_payload")[0], "payload_p90": col("_payload")[1]}).drop("_payload")
     return out.select(
         "*",
         (col("total_bytes") / span).alias("flow_bytes_per_s"), (col("total_packets") / span).alias("flow_packets_per_s"),
