@@ -415,4 +415,4 @@ def peak_window(spark, sf_dir):
     return rounded(labels.peak_window(_windowed(spark, sf_dir)))
 
 
-from . import studies  # noqa: E402, F401  registers its queries
+from . import reports, studies  # noqa: E402, F401  register their queries
