@@ -109,25 +109,42 @@ def detect_new_peers(w: DataFrame) -> DataFrame:
     return fresh("dst_ip", "new_dst_ratio").join(fresh("dst_port", "new_dst_port_ratio"), KEY)
 
 
+def lookback(stride_us: int = WINDOW_US, history_us: int = HISTORY_US) -> tuple[F.Column, F.Column]:
+    """First and last window whose lookback holds a flow's start."""
+    since = F.col("start_us") - F.col("t0")
+    return F.floor(since / stride_us), F.least(F.floor((since + history_us) / stride_us) - 1, F.col("n_windows") - 1)
+
+
 def history_expand(w: DataFrame, stride_us: int = WINDOW_US, history_us: int = HISTORY_US) -> DataFrame:
     """Each flow once in every window whose lookback holds its start."""
-    since = F.col("start_us") - F.col("t0")
-    low, high = F.floor(since / stride_us), F.least(F.floor((since + history_us) / stride_us) - 1, F.col("n_windows") - 1)
+    low, high = lookback(stride_us, history_us)
     return w.filter(low <= high).drop("window").withColumn("window", F.explode(F.sequence(low, high)))
 
 
 def detect_beacons(w: DataFrame, stride_us: int = WINDOW_US, history_us: int = HISTORY_US) -> DataFrame:
-    """Regularity of the most regular contact over the lookback, its flows, and external hosts contacted again."""
+    """Regularity of the most regular contact over the lookback, its flows, and external hosts contacted again.
+
+    A lookback holds a contact's flows in a row, so gaps are taken once, before flows are spread over
+    windows: a flow's gap counts in the windows that hold the flow before it too. So that a busy
+    contact isn't one task, its flows are dealt by stretches of time as long as the lookback, each
+    with the stretches before and after it as guests: no lookback of a flow reaches further.
+    """
     triple = ["capture_id", "src_ip", "dst_ip", "dst_port"]
-    often = w.groupBy(*triple).agg(F.count("*").alias("in_all")).filter("in_all >= 4").drop("in_all")
-    h = history_expand(w.join(often, triple, "left_semi"), stride_us, history_us)
-    order = Window.partitionBy(*KEY, *triple[1:]).orderBy("start_us", "flow_no")
-    gap = (F.col("start_us") - F.lag("start_us").over(order)) / 1e6
-    h = h.select(*KEY, *triple[1:], "start_us", "flow_no", F.when(gap > 0, gap).alias("gap"))
-    per = h.groupBy(*KEY, *triple[1:]).agg(F.count("*").alias("n"), (F.max("start_us") - F.min("start_us")).alias("span"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.min(F.struct("start_us", "flow_no")).alias("first"))
+    low, high = lookback(stride_us, history_us)
+    stretch = Window.partitionBy(*triple, "_seat")
+    order = stretch.orderBy("start_us", "flow_no")
+    own = F.floor((F.col("start_us") - F.col("t0")) / history_us)
+    h = w.select(*triple, "start_us", "flow_no", low.alias("_low"), high.alias("_high"), own.alias("_own"), F.explode(F.sequence(own - 1, own + 1)).alias("_seat"))
+    h = h.select("*", ((F.col("start_us") - F.lag("start_us").over(order)) / 1e6).alias("_gap"), F.coalesce(F.lag("_high").over(order), F.lit(-1)).alias("_before"), F.count("*").over(stretch).alias("_near"))
+    h = h.filter("_own = _seat AND _near >= 4 AND _low <= _high").withColumn("window", F.explode(F.sequence("_low", "_high")))
+    later = F.col("window") <= F.col("_before")
+    h = h.withColumn("gap", F.when(later & (F.col("_gap") > 0), F.col("_gap")))
+    per = h.groupBy(*KEY, *triple[1:]).agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), (F.max("start_us") - F.min("start_us")).alias("span"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.max(F.when(~later, F.col("flow_no"))).alias("first_no"))
     per = per.filter("n >= 4 AND span >= 10000000 AND gaps >= 3 AND mean >= 1").withColumn("regularity", F.round(1 / (1 + F.col("std") / F.col("mean")), 9))
-    best = per.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("regularity"), "first"))).filter("r = 1").select(*KEY, F.col("regularity").alias("beacon_regularity"), F.col("n").alias("beacon_flow_count"))
-    far = history_expand(w.filter("src_in AND NOT dst_in"), stride_us, history_us).groupBy(*KEY, "dst_ip").agg(F.count("*").alias("n"))
+    best = per.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("regularity"), "first_us", "first_no"))).filter("r = 1").select(*KEY, F.col("regularity").alias("beacon_regularity"), F.col("n").alias("beacon_flow_count"))
+    # flows with the same first and last window are counted before they are spread
+    far = w.filter("src_in AND NOT dst_in").groupBy("capture_id", "dst_ip", low.alias("_low"), high.alias("_high")).agg(F.count("*").alias("c"))
+    far = far.filter("_low <= _high").withColumn("window", F.explode(F.sequence("_low", "_high"))).groupBy(*KEY, "dst_ip").agg(F.sum("c").alias("n"))
     far = far.groupBy(*KEY).agg(F.sum(F.when(F.col("n") >= 3, 1).otherwise(0)).alias("repeat_external_dst_count"))
     return best.join(far, KEY, "full")
 
@@ -138,7 +155,7 @@ def build_states(flows: DataFrame, stride_us: int = WINDOW_US, history_us: int =
     parts = [state_volume(w, stride_us), state_diversity(w), state_top_talkers(w), detect_sweeps(w), detect_new_peers(w)]
     states = reduce(lambda a, b: a.join(b, KEY, "left"), parts, window_spine(flows, stride_us))
     beacons = detect_beacons(w, stride_us, history_us)
-    lookback = [c for c in beacons.columns if c not in KEY]
+    of_beacons = [c for c in beacons.columns if c not in KEY]
     states = states.join(beacons, KEY, "left")
     empty = F.col("n_flows").isNull()
-    return states.select(*(F.when(empty, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0))).alias(c) if c in lookback else F.col(c) for c in states.columns)).fillna(0)
+    return states.select(*(F.when(empty, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0))).alias(c) if c in of_beacons else F.col(c) for c in states.columns)).fillna(0)
