@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,11 +36,9 @@ def flags_to_str(flags: Column) -> Column:
 
 
 def is_internal(ip: Column) -> Column:
-    value = ip_to_int(ip)
-    inside = F.lit(False)
-    for base, bits in PRIVATE_BLOCKS:
-        inside = inside | (F.shiftright(value, 32 - bits) == base >> (32 - bits))
-    return F.coalesce(inside, F.lit(False))
+    blocks = lambda v: reduce(or_, (F.shiftright(v, 32 - bits) == base >> (32 - bits) for base, bits in PRIVATE_BLOCKS))
+    # inside an array the address is parsed once, not once a block
+    return F.coalesce(F.exists(F.array(ip_to_int(ip)), blocks), F.lit(False))
 
 
 def service_class(port: Column, ports: tuple[int, ...]) -> Column:
