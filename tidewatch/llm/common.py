@@ -24,17 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def write(df: DataFrame, path: str, mode: str = "error", **options: str) -> None:
+    """Write ``df`` as Parquet; the job's shuffle files go when it ends, since the table is what is read on."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")  # the job's shuffle files go when it ends, since the table is what is read on
+    spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).mode(mode).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    write(df, path, **options)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Sequences are numbered as their documents are read, and a Feistel network over the smallest even
 number of bits that holds them, walked until it lands inside, permutes these numbers: each slot
-comes from its number and the key alone, without a sort or a table. Records are written by range
-partitions in slot order; every record has the same number of bytes, so a reader resumes at
-``slot * stride`` of a shard.
+comes from its number and the key alone, without a sort or a table. A shard is one uncompressed file of
+``shard_records`` records in slot order, written by one task; every record has the same number of
+bytes, so a reader resumes at ``slot % shard_records * stride`` of its shard.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, keyed_texts, mix, shared_dir, shuffle_partitions, written
+from .common import U64, keyed_texts, mix, shared_dir, shuffle_partitions, write, written
 from .tokens import default_tokenizer, encoder
 
 SEQUENCE, SHARD_RECORDS, KEY, ROUNDS, END_ID, ID_BYTES = 1024, 8192, 20240607, 6, 0, 2
+WAVES = 4
 
 
 def feistel(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -45,14 +47,23 @@ def feistel(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def stride(length: int) -> int:
+    """Bytes of a record of ``length`` ids."""
+    return ID_BYTES * length
+
+
+def shard_file(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
 def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
-    """(slot, doc_id, piece, length, payload): ids and END_ID of each document in records of ``length`` ids, zero-padded.
+    """(slot, doc_id, piece, length, payload): ids and END_ID of each document in records of up to ``length`` ids.
 
     Texts are encoded once, into a written table that fixes the numbers: the partition of ``docs``,
     then the place in it. Reading the same files with the same settings gives the same slots.
     """
     path = tokenizer or default_tokenizer()
-    stride = ID_BYTES * length
+    step = stride(length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, done = encoder(path), TaskContext.get().partitionId(), 0
@@ -63,8 +74,8 @@ def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer:
                 if ids.max() >= 1 << 8 * ID_BYTES:
                     raise ValueError(f"token ids need more than {ID_BYTES} bytes")
                 data = ids.astype(f"<u{ID_BYTES}").tobytes()
-                for k, a in enumerate(range(0, len(data), stride)):
-                    payloads.append(data[a : a + stride].ljust(stride, b"\0"))
+                for k, a in enumerate(range(0, len(data), step)):
+                    payloads.append(data[a : a + step])
                     lengths.append(min(length, len(ids) - k * length))
                     pieces.append(k)
                     doc_ids.append(doc)
@@ -85,18 +96,81 @@ def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer:
 
 
 def write_shards(docs: DataFrame, path: str, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY, tokenizer: str | None = None) -> None:
-    """Write the records to ``path`` in slot order: shard = slot div ``shard_records``, byte_offset = place in the shard's payloads.
+    """Write the records to ``path``: a file per shard = slot div ``shard_records``, and index, a table of where each record is.
 
-    doc_id must be unique and not null; null and empty texts are one END_ID; an empty table writes
-    none; columns other than doc_id and text are ignored.
+    The record of a slot is the stride(length) bytes at byte_offset of its shard's file, zero-padded.
+    A file is written under another name and renamed when it is whole; shards are written in WAVES rounds. ``path`` is a folder, on a
+    store that pyarrow opens, which all nodes share. doc_id must be unique and not null; null and
+    empty texts are one END_ID; an empty table writes no file; columns other than doc_id and text
+    are ignored.
     """
-    rows = records(docs, length, key, tokenizer).withColumn("shard", F.expr(f"slot div {shard_records}")).withColumn("byte_offset", F.expr(f"(slot % {shard_records}) * {4 * length}"))
-    rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "slot").sortWithinPartitions("slot").write.option("compression", "zstd").parquet(path)
-
-
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """Records from ``from_slot`` on; files and row groups before it are skipped by their statistics."""
-    return spark.read.parquet(path).filter(F.col("slot") >= from_slot)
+    step = stride(length)
+    store, folder = FileSystem.from_uri(path)
+    store.create_dir(folder, recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(path)
+        shard, name, out = None, None, None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                fs.move(name, f"{root}/{shard_file(shard)}")
+
+        try:
+            for b in batches:
+                for s, offset, payload in zip(b.column("shard").to_pylist(), b.column("byte_offset").to_pylist(), b.column("payload").to_pylist()):
+                    if s != shard:
+                        close()
+                        shard, name = s, f"{root}/.{shard_file(s)}-{uuid.uuid4().hex}"
+                        out = fs.open_output_stream(name, buffer_size=1 << 20)
+                    if out.tell() != offset:
+                        raise ValueError(f"shard {s} has {out.tell()} bytes before the record at {offset}")
+                    out.write(payload.ljust(step, b"\0"))
+                yield b.drop_columns(["payload"])
+            close()
+            name = None
+        finally:
+            if name is not None:  # a failed task leaves no file
+                out.close()
+                fs.delete_file(name)
+
+    rows = records(docs, length, key, tokenizer).withColumn("shard", F.expr(f"slot div {shard_records}")).withColumn("byte_offset", F.expr(f"(slot % {shard_records}) * {step}"))
+    shards = -(-rows.count() // shard_records)
+    waves = max(1, min(WAVES, shards))
+    for k in range(waves):  # the shuffle files of one wave at a time stand beside the records and the shards
+        part = rows.filter(F.col("shard") % waves == k).repartitionById(shuffle_partitions(docs.sparkSession), F.expr(f"CAST(shard div {waves} AS int)")).sortWithinPartitions("slot")
+        write(part.mapInArrow(put, INDEX), f"{path}/index", mode="append", compression="zstd")
+
+
+INDEX = "slot long, doc_id long, piece int, length int, shard long, byte_offset long"
+
+
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0, length: int = SEQUENCE) -> DataFrame:
+    """Records from ``from_slot`` on, their payloads read at their places in the shards; index files and row groups before it are skipped by their statistics."""
+    step = stride(length)
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(path)
+        shard, file = None, None
+        try:
+            for b in batches:
+                payloads = []
+                for s, offset in zip(b.column("shard").to_pylist(), b.column("byte_offset").to_pylist()):
+                    if s != shard:
+                        if file is not None:
+                            file.close()
+                        shard, file = s, fs.open_input_file(f"{root}/{shard_file(s)}")
+                    payloads.append(file.read_at(step, offset))
+                    if len(payloads[-1]) != step:
+                        raise ValueError(f"shard {s} ends within the record at {offset}")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(payloads, pa.binary())], names=[*b.schema.names, "payload"])
+        finally:
+            if file is not None:
+                file.close()
+
+    index = spark.read.schema(INDEX).parquet(f"{path}/index").filter(F.col("slot") >= from_slot)
+    return index.mapInArrow(get, f"{INDEX}, payload binary")
 
 
 def digests(rows: DataFrame) -> DataFrame:
