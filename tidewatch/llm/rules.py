@@ -50,14 +50,15 @@ def _repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Counts for every document; null texts have none of anything; other columns are ignored."""
+def statistics(docs: DataFrame, *keys: str) -> DataFrame:
+    """Counts for every document, behind its doc_id and ``keys``; null texts have none of anything; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     without = lambda chars: F.char_length(text) - F.char_length(F.translate(text, chars, ""))
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *keys,
         let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))).alias("w"),
         (F.char_length(text) - without(SPACES)).alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"),
@@ -65,7 +66,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         without("!").alias("n_bangs"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"),
     )
-    return counted.select("doc_id", *(F.col(c).cast("long").alias(n) for c, n in (("w.n", "n_words"), ("word_chars",) * 2, ("n_symbols",) * 2, ("l.d", "n_dup_lines"), ("w.r", "n_repeat_words"), ("l.n", "n_lines"), ("n_capitals",) * 2, ("n_bangs",) * 2)))
+    return counted.select("doc_id", *keys, *(F.col(c).cast("long").alias(n) for c, n in (("w.n", "n_words"), ("word_chars",) * 2, ("n_symbols",) * 2, ("l.d", "n_dup_lines"), ("w.r", "n_repeat_words"), ("l.n", "n_lines"), ("n_capitals",) * 2, ("n_bangs",) * 2)))
 
 
 def _covers(conditions: list, cell: tuple) -> bool:
@@ -142,9 +143,9 @@ def decision_list(stats: DataFrame, labels: DataFrame) -> Column:
     return keep
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of each document with base_failed and kept; repeated rows stay repeated; an empty table gives none."""
-    stats = written(statistics(docs), "statistics")
+def judge(docs: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
+    """Statistics of each document (with its ``keys``), base_failed and kept; repeated rows stay repeated; an empty table gives none."""
+    stats = written(statistics(docs, *keys), "statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & decision_list(stats, labels))
 
