@@ -120,12 +120,63 @@ def test_tokens(docs, odd, texts):
             assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len(t.encode()), len(ids), len(ids) > 512)
 
 
-def test_other_tokenizers():
+def test_other_tokenizers(spark):
     import public_tokenizers
     import sentencepiece
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    assert tokens.Encoder(path).count("It is there.") == len(sentencepiece.SentencePieceProcessor(model_file=path).encode("It is there."))
+    frame = spark.createDataFrame([(1, "It is there."), (None, "\U00011de0a \U00011de0"), (3, None)], "doc_id long, text string")
+    for path, count in (
+        (path, sentencepiece.SentencePieceProcessor(model_file=path).encode),
+        (tokens.default_tokenizer(), lambda t: Tokenizer.from_file(tokens.default_tokenizer()).encode(t, add_special_tokens=False).ids),
+    ):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, path).collect()}
+        assert got == {r.doc_id: len(count(r.text)) if r.text else 0 for r in frame.collect()}
+
+
+def test_counts_agree_for_any_chunks(docs):
+    one = sorted(token_counts.count_tokens(docs).collect())
+    assert one == sorted(token_counts.count_tokens(docs.repartition(5), chunk_bytes=5000).collect())
+
+
+def test_many_chunks_meet_common_pieces_in_parts(docs, monkeypatch):
+    one = sorted(token_counts.count_tokens(docs).collect())
+    monkeypatch.setattr(token_counts, "CHUNKS_A_SALT", 7)
+    assert one == sorted(token_counts.count_tokens(docs, chunk_bytes=5000).collect())
+
+
+def test_words_that_meet_under_powers_of_two(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = minhash.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_buckets_split_by_later_bands(docs, monkeypatch):
+    want = sorted(minhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(minhash, "SPLIT", 2)
+    assert want == sorted(minhash.near_duplicates(docs).collect())
+
+
+def test_layouts_agree(docs, odd):
+    for op in (mixing.op6, training_order.op10):
+        assert sorted(op(docs.repartition(3)).collect()) == sorted(op(docs.repartition(5)).collect())
+    twice = odd.union(odd).withColumn("doc_id", F.when(F.col("doc_id") > 30, F.col("doc_id")))
+    by = lambda r: [(v is None, v) for v in r]
+    for op in (mixing.op6, training_order.op10):
+        assert sorted(op(twice.repartition(3)).collect(), key=by) == sorted(op(twice.repartition(5)).collect(), key=by)
+
+
+def test_wide_ids(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/wide"
+    training_order.write_shards(docs, path, 64, 50, id_bytes=4)
+    rows = training_order.digests(training_order.read_shards(spark, path, length=64, id_bytes=4), 4).collect()
+    narrow = f"file://{tmp_path}/narrow"
+    training_order.write_shards(docs, narrow, 64, 50)
+    assert {(r.slot, r.ids_crc32) for r in rows} == {(r.slot, r.ids_crc32) for r in training_order.digests(training_order.read_shards(spark, narrow, length=64)).collect()}
 
 
 def test_mixing(spark, docs):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +16,11 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``, which all nodes share; local sessions alone may leave it unset and get a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -55,15 +57,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str, count: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of those with the same ``key`` (not null), and their number; a key that many rows share is met in SALTS parts."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.filter(F.col(key).isNotNull()).groupBy(key, "__salt").agg(F.min(value).alias(least), F.count("*").alias(count))
+    whole = parts.groupBy(key).agg(F.min(least).alias(least), F.sum(count).alias(count))
+    return salted.join(parts.select(key, "__salt").join(whole, key), [key, "__salt"], "left").drop("__salt")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body`` (also inside lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# --- hashes of any substring from one prefix sum -------------------------------------------------
+# --- hashes of any substring from prefix sums ----------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_BASES = (1_284_865_837, 1_812_433_253)
 
 
 @lru_cache(maxsize=4)
@@ -75,11 +90,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo _PRIME, up to one multiple: 31 bits fold onto 31."""
+    return (x & U64(_PRIME)) + (x >> U64(31))
+
+
+_KEPT: dict[int, np.ndarray] = {}
+_KEPT_SIZE = 1 << 22
+
+
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**n modulo _PRIME, at least; a table of up to _KEPT_SIZE powers stays in the process."""
+    out = _KEPT.get(base, np.ones(1, np.uint32))
+    while len(out) <= n:
+        out = np.r_[out, _fold(_fold(_fold(out.astype(U64) * U64(pow(base, len(out), _PRIME))))).astype(np.uint32)]
+    if len(out) <= _KEPT_SIZE:
+        _KEPT[base] = out
+    return out
+
+
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 
 
+@lru_cache(maxsize=1)
+def _prime_values() -> np.ndarray:
+    return np.random.default_rng(20241103).integers(1, _PRIME, (2, 256), dtype=U64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (a bijection)."""
     with np.errstate(over="ignore"):
@@ -92,31 +131,44 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SubstringHashes:
-    """Polynomial hashes modulo 2**64 of substrings of ``data``; equal substrings have equal hashes wherever they start."""
+    """Hashes of substrings of ``data``; equal substrings have equal hashes wherever they start.
 
-    def __init__(self, data: bytes):
-        n = len(data)
-        size = 1 << max(12, n.bit_length())
-        up, self.down = _powers(size)
-        with np.errstate(over="ignore"):
-            terms = _byte_values().take(np.frombuffer(data, np.uint8))
-            terms *= up[:n]
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(terms, out=self.sums[1:])
+    ``of`` is a pair of polynomials modulo 2**31 - 1: two different strings of n bytes meet with a
+    probability of about (n / 2**31)**2. ``every`` is one modulo 2**64, quicker but with known
+    collisions: it may pick positions, not tell strings apart.
+    """
 
-    def raw(self, start, end) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[end] - self.sums[start]) * self.down[start]
+    def __init__(self, data: bytes):
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.n = len(data)
+
+    @cached_property
+    def _sums(self) -> list[np.ndarray]:
+        out = []
+        for base, values in zip(_BASES, _prime_values()):
+            terms = np.zeros(self.n + 1, U64)
+            np.take(values, self.bytes, out=terms[1:])
+            terms[1:] *= _prime_powers(self.n, base)[: self.n]
+            out.append(np.cumsum(_fold(terms)))
+        return out
 
     def of(self, start, end) -> np.ndarray:
+        parts = []
+        for base, sums in zip(_BASES, self._sums):
+            down = _prime_powers(self.n, pow(base, -1, _PRIME))
+            x = _fold(_fold(sums[end] - sums[start]))
+            x = _fold(x) * down[start]
+            x = _fold(_fold(x))
+            parts.append(np.where(x >= U64(_PRIME), x - U64(_PRIME), x))
         with np.errstate(over="ignore"):
-            return mix(self.raw(start, end) + np.asarray(end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+            return mix(((parts[0] << U64(31)) | parts[1]) + np.asarray(end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
-    def every(self, length: int, final: bool = True) -> np.ndarray:
-        """Hashes of the substrings of ``length`` at every start; without the finaliser only the upper bits are of use."""
-        n = len(self.sums) - 1
-        if n < length:
+    def every(self, length: int) -> np.ndarray:
+        """Picking values, by their upper bits, of the substrings of ``length`` at every start."""
+        if self.n < length:
             return np.empty(0, U64)
+        up, down = _powers(1 << max(12, self.n.bit_length()))
+        sums = np.zeros(self.n + 1, U64)
         with np.errstate(over="ignore"):
-            raw = (self.sums[length:] - self.sums[: n + 1 - length]) * self.down[: n + 1 - length]
-        return mix(raw) if final else raw
+            np.cumsum(_byte_values().take(self.bytes) * up[: self.n], out=sums[1:])
+            return (sums[length:] - sums[: self.n + 1 - length]) * down[: self.n + 1 - length]

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_least, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (large) or smaller (not large) neighbours, and itself, to its smallest."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(low, "a")
+    joined = with_least(both, "a", "b", "m", "n").withColumn("m", F.least("a", "m"))
     moved = joined.filter("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
-        moved = moved.unionByName(low.select("a", F.col("m").alias("b")))
+        moved = moved.unionByName(joined.select("a", F.col("m").alias("b")).distinct())
     return moved.filter("a <> b").distinct()
 
 

@@ -4,40 +4,49 @@ A register keeps, of the smallest hash under one hash function, the number of le
 next MANTISSA bits, in two bytes. Bands of registers name candidate buckets; a bucket's members
 meet its smallest member first, and only where components still differ after that do members meet
 each other, in blocks, on registers: a collision-corrected estimate drops what is far below the
-threshold, and all that is left is confirmed on full shingle sets.
+threshold, and all that is left is confirmed on full shingle sets, as strings. Documents with the
+same words in the same order meet the others as one.
 
 With BANDS bands of ROWS registers a pair at a threshold of 0.85 is missed with probability
 (1 - 0.85**ROWS)**BANDS = 5e-9 (2e-5 at 0.8), one at 0.4 becomes a candidate with 0.04. An
-estimate is MARGIN below the threshold by chance with about 2e-6.
+estimate is MARGIN below the threshold by chance with about 2e-6. A bucket whose members, more than
+SPLIT of them, are still apart is split by their other bands: a pair needs two common bands there,
+which one at 0.85 lacks with 1e-7 (2e-4 at 0.8).
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SubstringHashes, keyed_texts, mix, shuffle_partitions, written
+from .common import U64, SubstringHashes, keyed_texts, mix, shuffle_partitions, with_least, written
 from .components import components
 
 WORDS, BANDS, ROWS, MANTISSA = 5, 60, 8, 10
-MARGIN, BLOCK = 0.075, 256
+MARGIN, BLOCK, SPLIT = 0.075, 256, 4096
 HASHES = BANDS * ROWS
 
 SIGNATURE = "doc_id long, n_shingles long, same string, registers binary, buckets array<long>"
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; fewer words than that are one shingle; without words none."""
-    joined = b" ".join(text.encode().lower().split())  # bytes: lower-cases A-Z only, splits at \x20 \x09-\x0D
+def normal(text: str) -> bytes:
+    """The words of a text, A-Z lower-cased, with one space between."""
+    return b" ".join(text.encode().lower().split())  # bytes: lower-cases A-Z only, splits at \x20 \x09-\x0D
+
+
+def shingles(joined: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a normal form; fewer words than that are one shingle; without words none."""
     if not joined:
         return np.empty(0, U64)
     hashes = SubstringHashes(joined)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    gaps = np.flatnonzero(hashes.bytes == 32)
     start, end = np.r_[0, gaps + 1], np.r_[gaps, len(joined)]
     if len(start) < words:
         start, end = start[:1], end[-1:]
@@ -46,6 +55,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(hashes.of(start, end))
 
 
+def shingle_set(joined: bytes, words: int = WORDS) -> frozenset:
+    """The word shingles themselves."""
+    w = joined.split(b" ")
+    return frozenset(zip(*(w[k:] for k in range(words)))) if len(w) >= words else frozenset([tuple(w)])
+
+
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES // 2), dtype=U64)
     return draw[0] * U64(2) + U64(1), draw[1] * U64(2) + U64(1)
@@ -84,11 +99,12 @@ def _sign(words: int):
         for b in batches:
             n, same, regs, keys = [], [], [], []
             for text in b.column("text"):
-                s = shingles(text.as_py(), words)
+                joined = normal(text.as_py())
+                s = shingles(joined, words)
                 n.append(len(s))
                 if len(s):
                     r = registers(s)
-                    same.append(hashlib.md5(s.tobytes()).hexdigest())
+                    same.append(hashlib.md5(joined).hexdigest())
                     regs.append(r.tobytes())
                     keys.append(_buckets(r))
                 else:
@@ -128,24 +144,27 @@ def _far(threshold: float):
 def _blocks(threshold: float):
     """Pairs of different components within (bucket, block pair) runs of sorted rows, on registers.
 
-    A pair that shares several buckets is told in that of its first common band alone.
+    A pair that shares several buckets is told in that of its first common band alone; where the
+    bucket was split by a further band, in the part of its second.
     """
 
     def pairs(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, part, ids, comp, bucket, regs = (np.concatenate([r[k] for r in rows]) for k in range(6))
+        key, part, ids, comp, bucket, other_bucket, regs = (np.concatenate([r[k] for r in rows]) for k in range(7))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for a, z in zip(edge[:-1], edge[1:]):
             left = np.flatnonzero(part[a:z] != 2) + a
             right = np.flatnonzero(part[a:z] != 1) + a
-            band = None
             for i in left:
                 other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (part[right] == 2))]
                 near = other[estimate((regs[other] == regs[i]).sum(axis=1)) >= threshold - MARGIN]
                 if len(near):
-                    if band is None:
-                        band = int(np.argmax(_buckets(regs[i]) == bucket[a]))
-                    before = (regs[near, : band * ROWS].reshape(len(near), band, ROWS) == regs[i, : band * ROWS].reshape(band, ROWS)).all(axis=2)
-                    near = near[~before.any(axis=1)]
+                    own = _buckets(regs[i])
+                    common = (regs[near].reshape(len(near), BANDS, ROWS) == regs[i].reshape(BANDS, ROWS)).all(axis=2)
+                    told = own[np.argmax(common, axis=1)] == bucket[a]
+                    if other_bucket[a]:
+                        common[np.arange(len(near)), np.argmax(common, axis=1)] = False
+                        told &= own[np.argmax(common, axis=1)] == other_bucket[a]
+                    near = near[told]
                 if len(near):
                     yield np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])
 
@@ -159,7 +178,7 @@ def _blocks(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("bucket").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
+            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("bucket").to_numpy(), b.column("other").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
             last = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1]
             if held and held[-1][0][-1] != cols[0][0]:
                 yield from out(held)
@@ -174,40 +193,52 @@ def _blocks(threshold: float):
     return run
 
 
-def _confirm(threshold_num: int, threshold_den: int):
+@lru_cache(maxsize=256)
+def _opened(packed: bytes, words: int) -> frozenset:
+    return shingle_set(zlib.decompress(packed), words)
+
+
+def _confirm(threshold_num: int, threshold_den: int, words: int):
+    """Pairs whose shingle sets, as strings, are as alike as asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sx"), b.column("sy")):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _opened(x.as_py(), words), _opened(y.as_py(), words)
+                both = len(x & y)
                 keep.append(threshold_den * both >= threshold_num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("x", "y")], names=["a", "b"])
 
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "shingles"])
+def _normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([zlib.compress(normal(t.as_py()), 1) for t in b.column("text")], pa.binary())], names=["doc_id", "shingles"])
 
-    return run
+
+def _met(rows: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """Candidates among rows (doc_id, component, bucket, other, m) of a bucket, or of its part by ``other``: its m rows meet in blocks."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    entries = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    entries = entries.select("bucket", "other", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second"))
+    side = F.when(F.col("block") == F.col("second"), 0).when(F.col("block") < F.col("second"), 1).otherwise(2)
+    entries = entries.select("doc_id", "component", "bucket", "other", F.xxhash64("bucket", "other", F.least("block", "second"), F.greatest("block", "second")).alias("key"), side.alias("side"))
+    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "bucket", "other", "registers")
+    return met.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked, directly or through others, by a Jaccard of ``percent`` or more.
 
-    ``docs`` needs unique doc_id; documents without words (null, empty or white space) are linked
-    with nothing; documents with equal shingle sets meet the others as one; an empty table gives
-    none; columns other than doc_id and text are ignored.
+    ``docs`` needs unique doc_id, not null; documents without words (null, empty or white space) are
+    linked with nothing; texts of any length are read whole; an empty table gives none; columns other than doc_id and text are ignored.
     """
-    parts = shuffle_partitions(docs.sparkSession)
     texts = keyed_texts(docs)
     signed = written(texts.mapInArrow(_sign(words), SIGNATURE), "signatures")
-    same = signed.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    heads = signed.join(same.filter("copies > 1").select("same", "head"), "same", "left").filter("same IS NOT NULL AND (head IS NULL OR head = doc_id)")
-    band = heads.select("doc_id", F.explode("buckets").alias("bucket"))
+    grouped = lambda *columns: with_least(signed.filter("same IS NOT NULL").select("doc_id", "same", *columns), "same", "doc_id", "head", "copies")
+    band = grouped("buckets").filter("head = doc_id").select("doc_id", F.explode("buckets").alias("bucket"))
     hub = band.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     band = written(band.join(hub, "bucket"), "buckets")
     heads = signed.select("doc_id", "registers")
@@ -221,9 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
         pairs = written(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
         # the shuffle is asked for, since ``wanted`` grows with the data
-        sets = written(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+        sets = written(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_normals, "doc_id long, shingles binary"), "sets")
         side = lambda a, s: sets.select(F.col("doc_id").alias(a), F.col("shingles").alias(s))
-        return pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y").mapInArrow(_confirm(percent, 100), "a long, b long")
+        return pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y").mapInArrow(_confirm(percent, 100, words), "a long, b long")
 
     stars = band.filter("doc_id <> hub").select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
     links = written(confirmed(near(stars)), "links")
@@ -231,14 +262,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
 
     # buckets whose members are still apart: their members meet in blocks
     placed = band.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    entries = placed.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    entries = entries.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    entries = entries.select("doc_id", "component", "bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "bucket", "registers").repartition(parts, "key").sortWithinPartitions("key")
-    more = confirmed(met.mapInArrow(_blocks(percent / 100), "x long, y long"))
-
-    copies = signed.join(same.filter("copies > 1"), "same").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("bucket", "m")
+    placed = written(placed.select("bucket", "doc_id", "component").join(apart, "bucket"), "apart")
+    few = placed.filter(F.col("m") <= SPLIT).withColumn("other", F.lit(0).cast("long"))
+    # a bucket that many share is split by their later bands: near copies share several bands
+    later = F.explode(F.slice("buckets", F.array_position("buckets", F.col("bucket")).cast("int") + 1, BANDS)).alias("other")
+    many = placed.filter(F.col("m") > SPLIT).join(signed.select("doc_id", "buckets"), "doc_id").select("bucket", "doc_id", "component", later)
+    parted = many.groupBy("bucket", "other").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("bucket", "other", "m")
+    many = many.join(parted, ["bucket", "other"])
+    more = confirmed(_met(few.unionByName(many), heads, percent / 100))
+
+    copies = grouped().filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     found = components(links.unionByName(more).unionByName(copies))
     return signed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -4,7 +4,7 @@ A source's rate (target words over its words) gives each of its documents floor(
 and a fractional one. Pivotal steps pair two fractions and randomly move mass between them until
 one is 0 or 1; expectations stay, and so does the sum of words. Documents of a source are paired with others
 of like size, in blocks of bounded size; each block leaves one fraction, and the blocks' remains
-are combined by a reduction tree, across sizes last. Draws are hashes of the pair: reruns agree.
+are combined by a reduction tree, across sizes last. Draws are hashes of the pair, keys of the rows themselves: reruns agree, whatever the files, partitions or cores.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, let, written
 
-WEIGHTS, MOST_COPIES, BLOCK, SEED = (5, 2, 1), 3, 32, 11
+WEIGHTS, MOST_COPIES, BLOCK, SEED, EACH = (5, 2, 1), 3, 32, 11, 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -80,8 +80,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> D
     rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.floor("rate"))
     like = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size")) * 2)).otherwise(-1).cast("int")
     row = F.struct("doc_id", "size", "whole", "source_size", "target")
-    # a key of its own for every row, repeated ones too: the written table fixes the row numbers
-    rows = rows.select("source", "size", like.alias("like"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("key"), row.alias("row"), "p")
+    # equal rows are alike: they are counted and told apart by number, so keys depend on no layout
+    rows = rows.groupBy("source", like.alias("like"), row.alias("row"), "p").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(EACH))))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + EACH, F.col("n")) - 1)))
+    rows = rows.select("source", "row.size", "like", F.xxhash64("source", "row", "number").alias("key"), "row", "p")
     rows = written(rows, "fractions")
     decided = [rows.filter("p = 0").select("row", F.lit(0).alias("extra"))]
     rows = rows.filter("p > 0")

@@ -51,9 +51,9 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(hashes: SubstringHashes, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
     """For every window of ``length``, where the anchor starts that it names: the ``anchor``-gram with the smallest hash."""
-    if len(hashes.sums) <= length:
+    if hashes.n < length:
         return np.empty(0, np.int64)
-    return _sliding_argmin(hashes.every(anchor, final=False), length - anchor + 1)
+    return _sliding_argmin(hashes.every(anchor), length - anchor + 1)
 
 
 def _runs(texts: list[bytes], length: int, anchor: int, whole: bool = True):

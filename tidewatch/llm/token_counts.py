@@ -1,36 +1,121 @@
-"""Token counts of whole texts without making their ids.
+"""Token counts of whole texts from counts of their pre-tokens, without making the texts' ids.
 
-Pieces are counted once per distinct pre-token and joined to each document's pre-tokens inside the
-task (a dictionary of bounded size): a shuffled join would move one row per document and distinct
-pre-token, several times the size of the texts.
+Texts are split into pre-tokens in chunks of about CHUNK_BYTES. A chunk gives its distinct
+pre-tokens, numbered, and for every document the (number, frequency) pairs. Over all chunks each
+distinct pre-token is encoded once; its count is joined to the chunks that have it, and the counts
+of a chunk, in the order of their numbers, meet the chunk's documents, where frequency x count is
+summed. So what is shuffled grows with the distinct pre-tokens of a chunk, not with the words.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts
+from .common import keyed_texts, written
 from .tokens import default_tokenizer, encoder
 
-LIMIT = 512
+LIMIT, CHUNK_BYTES, CHUNKS_A_SALT = 512, 16 << 20, 1000
+SPLIT = "chunk long, doc_id long, n_bytes long, pairs binary, piece string, number int"
+COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of each row; null texts count as empty; repeated rows stay repeated; an empty table gives none."""
-    path = tokenizer or default_tokenizer()
+def _pack(ids: list[int]) -> bytes:
+    """Distinct numbers, in order, as differences, then their frequencies."""
+    number, n = np.unique(np.array(ids, np.uint32), return_counts=True)
+    return zlib.compress(np.r_[np.diff(number, prepend=np.uint32(0)), n].astype("<u4").tobytes(), 1)
+
+
+def _unpack(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(pairs), "<u4")
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
+def _split(path: str, chunk_bytes: int):
+    """Rows of documents (pairs) and of a chunk's distinct pre-tokens (piece, number)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, chunk = encoder(path), TaskContext.get().partitionId() << 32
+        numbers: dict[str, int] = {}
+        size = 0
+
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            types = {"chunk": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "pairs": pa.binary(), "piece": pa.string(), "number": pa.int32()}
+            columns["chunk"] = np.full(n, chunk)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            pieces = list(numbers)
+            for a in range(0, len(pieces), 50_000):
+                part = pieces[a : a + 50_000]
+                yield rows(len(part), piece=part, number=np.arange(a, a + len(part)))
+
+        for b in batches:
+            docs, sizes, pairs = [], [], []
+            for doc, n, text in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("text")):
+                docs.append(doc)
+                sizes.append(n)
+                pairs.append(_pack([numbers.setdefault(p, len(numbers)) for p in enc.pieces(text.as_py())]))
+                size += n
+                if size >= chunk_bytes:
+                    yield rows(len(docs), doc_id=docs, n_bytes=sizes, pairs=pairs)
+                    yield from vocabulary()
+                    docs, sizes, pairs, size = [], [], [], 0
+                    numbers.clear()
+                    chunk += 1
+            yield rows(len(docs), doc_id=docs, n_bytes=sizes, pairs=pairs)
+        yield from vocabulary()
+
+    return run
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = [enc.count(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            n = [len(enc.ids(p.as_py())) // 4 for p in b.column("piece")]
+            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(n, pa.int64())], names=["piece", "n"])
+
+    return run
+
 
+def _sum(docs: pa.Table, known: pa.Table) -> pa.Table:
+    n = known.column("n").combine_chunks()[0].values.to_numpy() if known.num_rows else np.empty(0, np.int64)
+    totals = []
+    for pairs in docs.column("pairs"):
+        number, times = _unpack(pairs.as_py())
+        totals.append(int((n[number] * times).sum()))
+    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(totals, pa.int64())})
+
+
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of each row.
+
+    Null texts count as empty, with no tokens; a text longer than a chunk is a chunk of its own;
+    repeated rows and null doc_ids stay as they are; an empty table gives none; columns other than
+    doc_id and text are ignored.
+    """
+    path = tokenizer or default_tokenizer()
     texts = keyed_texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return texts.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    split = written(texts.mapInArrow(_split(path, chunk_bytes), SPLIT), "pre-tokens", compression="zstd")
+    chunks = split.filter("number = 0").count()
+    # a pre-token that all chunks have is met in parts, each of about CHUNKS_A_SALT chunks
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(1 + chunks // CHUNKS_A_SALT)).alias("salt")
+    used = split.filter("piece IS NOT NULL").select("piece", salt, "chunk", "number")
+    pieces = used.select("piece", "salt").distinct()
+    known = written(pieces.select("piece").distinct().mapInArrow(_encode(path), "piece string, n long"), "piece-counts", compression="zstd")
+    of_chunk = used.join(pieces.join(known, "piece"), ["piece", "salt"]) if chunks >= CHUNKS_A_SALT else used.join(known, "piece")
+    counts = of_chunk.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "n"))), lambda s: s["n"]).alias("n"))
+    counts = written(counts, "chunk-counts", compression="zstd")
+    of_docs = split.filter("pairs IS NOT NULL").select("chunk", "doc_id", "n_bytes", "pairs")
+    return of_docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_sum, COUNTED)
 
 
 def op5(docs: DataFrame) -> DataFrame:

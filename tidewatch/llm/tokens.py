@@ -1,8 +1,7 @@
-"""Token ids of whole texts, and counts that encode every distinct pre-token once per worker.
+"""Token ids of whole texts, and their pre-tokens.
 
 A byte-level BPE of the ``tokenizers`` JSON format is read into a Rust BPE table; other files go to
-their own library. A single space between two characters that are no white space always starts a
-pre-token, so what stands between such spaces can be counted, and remembered, on its own.
+their own library.
 """
 
 from __future__ import annotations
@@ -11,10 +10,10 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 #: The split pattern of byte-level BPE pre-tokenisation. Fixed value.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 300_000
 
 
 def default_tokenizer() -> str:
@@ -53,13 +52,16 @@ def _byte_level(path: str):
 
 
 class Encoder:
+    """Ids of whole texts, and the pre-tokens that a text falls into.
+
+    The Rust BPE table and the split pattern stand in for the library where both agree on every
+    character of a text (each character is tried once); other texts go to the library itself.
+    """
+
     def __init__(self, path: str):
         self._bpe = _byte_level(path)
-        self._counts: dict[str, int] = {}
-        self._once: set[str] = set()
-        if self._bpe is not None:
-            self._whole = lambda text: self._bpe.encode_to_numpy(text, allowed_special="all")
-        elif path.endswith(".model"):
+        self._alike: dict[str, bool] = {}
+        if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -71,37 +73,43 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self._whole = lambda text: np.asarray(model.encode(text, add_special_tokens=False).ids)
+            self._split = model.pre_tokenizer
+        if self._bpe is not None:
+            special = sorted(self._bpe.special_tokens_set, key=len, reverse=True)
+            self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+            self._pattern = regex.compile(BYTE_LEVEL_PATTERN)
+
+    def _known(self, text: str) -> bool:
+        """Whether the library splits and encodes all characters of ``text`` as the pattern and the table do."""
+        if text.isascii():
+            return True
+        chars = set(text)
+        for c in chars - self._alike.keys():
+            probe = f"a{c}1{c}!{c} a {c}"
+            widths = [z - a for _, (a, z) in self._split.pre_tokenize_str(probe)]
+            self._alike[c] = widths == list(map(len, self._pattern.findall(probe))) and list(self._whole(probe)) == self._bpe.encode_ordinary(probe)
+        return all(map(self._alike.__getitem__, chars))
 
     def ids(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        return self._whole(text).astype("<u4").tobytes() if text else b""
-
-    def count(self, text: str) -> int:
-        """Number of ids: known counts of pre-tokens joined to the pre-tokens of the text; those not known are counted together."""
         if not text:
-            return 0
-        parts = text.split(" ") if self._bpe is not None else []
-        found = list(map(self._counts.get, parts[1:]))
-        rest = [p for p, n in zip(parts[1:], found) if n is None]
-        if len(rest) == len(found) or not parts[0] or any(not p or p[0].isspace() or p[-1].isspace() for p in (parts[0], *rest)):
-            self._learn(parts)
-            return len(self._whole(text))
-        self._learn(rest)
-        return len(self._whole(" ".join((parts[0], *rest)))) + sum(filter(None, found))
-
-    def _learn(self, parts: list[str]) -> None:
-        """Remember the counts of pre-tokens that come a second time."""
-        for p in parts:
-            if p in self._counts or not p or len(p) > 64 or p[0].isspace() or p[-1].isspace():
-                continue
-            if p in self._once:
-                if len(self._counts) >= MEMO_ENTRIES:
-                    self._counts.clear()
-                self._counts[p] = len(self._whole(" " + p))
+            return b""
+        ids = self._bpe.encode_to_numpy(text, allowed_special="all") if self._bpe is not None and self._known(text) else self._whole(text)
+        return ids.astype("<u4").tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens and special strings of ``text`` in order: what is encoded on its own. For tokenizers of other kinds, the whole text."""
+        if self._bpe is None:
+            return [text] if text else []
+        found: list[str] = []
+        for part in self._special.split(text) if self._special is not None else [text]:
+            if part in self._bpe.special_tokens_set:
+                found.append(part)
+            elif self._known(part):
+                found += self._pattern.findall(part)
             else:
-                if len(self._once) >= MEMO_ENTRIES:
-                    self._once.clear()
-                self._once.add(p)
+                found += [part[a:z] for _, (a, z) in self._split.pre_tokenize_str(part)]
+        return found
 
 
 @lru_cache(maxsize=2)

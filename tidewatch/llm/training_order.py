@@ -1,6 +1,6 @@
 """Training-order materialisation: fixed-stride token records at keyed pseudo-random global slots.
 
-Sequences are numbered as their documents are read, and a Feistel network over the smallest even
+Sequences are numbered by document and piece, and a Feistel network over the smallest even
 number of bits that holds them, walked until it lands inside, permutes these numbers: each slot
 comes from its number and the key alone, without a sort or a table. A shard is one uncompressed file of
 ``shard_records`` records in slot order, written by one task; every record has the same number of
@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, keyed_texts, mix, shared_dir, shuffle_partitions, write, written
@@ -47,23 +47,24 @@ def feistel(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def stride(length: int) -> int:
+def stride(length: int, id_bytes: int = ID_BYTES) -> int:
     """Bytes of a record of ``length`` ids."""
-    return ID_BYTES * length
+    return id_bytes * length
 
 
 def shard_file(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
+def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer: str | None = None, id_bytes: int = ID_BYTES) -> DataFrame:
     """(slot, doc_id, piece, length, payload): ids and END_ID of each document in records of up to ``length`` ids.
 
-    Texts are encoded once, into a written table that fixes the numbers: the partition of ``docs``,
-    then the place in it. Reading the same files with the same settings gives the same slots.
+    Numbers follow doc_id, then piece (null doc_ids first, equal doc_ids by text): texts are dealt by
+    ranges of that order and encoded once, into a written table; a range's records start after those
+    of the ranges before it. So the key alone settles the order, however the files are split.
     """
     path = tokenizer or default_tokenizer()
-    step = stride(length)
+    step = id_bytes * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, done = encoder(path), TaskContext.get().partitionId(), 0
@@ -71,9 +72,9 @@ def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer:
             doc_ids, pieces, lengths, payloads = [], [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids = np.append(np.frombuffer(enc.ids(text.as_py()), "<u4"), END_ID)
-                if ids.max() >= 1 << 8 * ID_BYTES:
-                    raise ValueError(f"token ids need more than {ID_BYTES} bytes")
-                data = ids.astype(f"<u{ID_BYTES}").tobytes()
+                if int(ids.max()) >= 1 << 8 * id_bytes:
+                    raise ValueError(f"token ids need more than {id_bytes} bytes: set id_bytes")
+                data = ids.astype(f"<u{id_bytes}").tobytes()
                 for k, a in enumerate(range(0, len(data), step)):
                     payloads.append(data[a : a + step])
                     lengths.append(min(length, len(ids) - k * length))
@@ -86,25 +87,27 @@ def records(docs: DataFrame, length: int = SEQUENCE, key: int = KEY, tokenizer:
             )
             done += n
 
-    encoded = written(keyed_texts(docs).mapInArrow(cut, "part int, local long, doc_id long, piece int, length int, payload binary"), "records", compression="zstd")
-    parts = encoded.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = encoded.count()
-    slot = F.pandas_udf(lambda index: pd.Series(feistel(index.to_numpy(), total, key)), "long")
-    numbered = encoded.join(F.broadcast(parts.select("part", before.alias("before"))), "part")
-    return numbered.select(slot(F.col("before") + F.col("local")).alias("slot"), "doc_id", "piece", "length", "payload")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
+    dealt = keyed_texts(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    encoded = written(dealt.mapInArrow(cut, "part int, local long, doc_id long, piece int, length int, payload binary"), "records", compression="zstd")
+    sizes = dict(encoded.groupBy("part").count().collect())  # a row per range, of which there are spark.sql.shuffle.partitions
+    ends = np.cumsum([sizes.get(k, 0) for k in range(max(sizes, default=-1) + 1)])
+    before, total = np.r_[0, ends], int(ends[-1]) if len(ends) else 0
+    slot = F.pandas_udf(lambda part, local: pd.Series(feistel(before[part.to_numpy()] + local.to_numpy(), total, key)), "long")
+    return encoded.select(slot("part", "local").alias("slot"), "doc_id", "piece", "length", "payload")
 
 
-def write_shards(docs: DataFrame, path: str, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY, tokenizer: str | None = None) -> None:
+def write_shards(docs: DataFrame, path: str, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY, tokenizer: str | None = None, id_bytes: int = ID_BYTES) -> None:
     """Write the records to ``path``: a file per shard = slot div ``shard_records``, and index, a table of where each record is.
 
     The record of a slot is the stride(length) bytes at byte_offset of its shard's file, zero-padded.
     A file is written under another name and renamed when it is whole; shards are written in WAVES rounds. ``path`` is a folder, on a
-    store that pyarrow opens, which all nodes share. doc_id must be unique and not null; null and
-    empty texts are one END_ID; an empty table writes no file; columns other than doc_id and text
-    are ignored.
+    store that pyarrow opens, which all nodes share. Null doc_ids come first; rows of one doc_id are
+    ordered by text; null and empty texts are one END_ID; texts of any length are cut into as many
+    records as they fill; an empty table writes no file; columns other than doc_id and text are
+    ignored. ``id_bytes`` is the width of an id, 2 or 4; ids that need more raise.
     """
-    step = stride(length)
+    step = stride(length, id_bytes)
     store, folder = FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
 
@@ -135,7 +138,7 @@ def write_shards(docs: DataFrame, path: str, length: int = SEQUENCE, shard_recor
                 out.close()
                 fs.delete_file(name)
 
-    rows = records(docs, length, key, tokenizer).withColumn("shard", F.expr(f"slot div {shard_records}")).withColumn("byte_offset", F.expr(f"(slot % {shard_records}) * {step}"))
+    rows = records(docs, length, key, tokenizer, id_bytes).withColumn("shard", F.expr(f"slot div {shard_records}")).withColumn("byte_offset", F.expr(f"(slot % {shard_records}) * {step}"))
     shards = -(-rows.count() // shard_records)
     waves = max(1, min(WAVES, shards))
     for k in range(waves):  # the shuffle files of one wave at a time stand beside the records and the shards
@@ -146,9 +149,9 @@ def write_shards(docs: DataFrame, path: str, length: int = SEQUENCE, shard_recor
 INDEX = "slot long, doc_id long, piece int, length int, shard long, byte_offset long"
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0, length: int = SEQUENCE) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0, length: int = SEQUENCE, id_bytes: int = ID_BYTES) -> DataFrame:
     """Records from ``from_slot`` on, their payloads read at their places in the shards; index files and row groups before it are skipped by their statistics."""
-    step = stride(length)
+    step = stride(length, id_bytes)
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(path)
@@ -173,12 +176,12 @@ def read_shards(spark: SparkSession, path: str, from_slot: int = 0, length: int
     return index.mapInArrow(get, f"{INDEX}, payload binary")
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     """The records without their payloads, with the checksum of their ids as they stand in the shards."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = [zlib.crc32(np.frombuffer(p.as_py(), f"<u{ID_BYTES}")[:n].astype("<u4")) for p, n in zip(b.column("payload"), b.column("length").to_pylist())]
+            sums = [zlib.crc32(np.frombuffer(p.as_py(), f"<u{id_bytes}")[:n].astype("<u4")) for p, n in zip(b.column("payload"), b.column("length").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "length", "slot", "shard", "byte_offset")), pa.array(sums, pa.int64())], names=["doc_id", "piece", "length", "slot", "shard", "byte_offset", "ids_crc32"])
 
     return rows.mapInArrow(crc, "doc_id long, piece int, length int, slot long, shard long, byte_offset long, ids_crc32 long")
