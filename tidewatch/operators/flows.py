@@ -2,15 +2,18 @@
 
 Idle gaps always end a flow, so idle islands come from window functions. Only islands that outlast
 the active timeout, or TCP islands with RST or FIN, can be cut further; these alone are folded, in
-time order, and the fold returns no more than the packets that start an episode.
+time order, as a stream that keeps the state of one episode and returns the packets that start one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ip_to_int, safe_div
+from ..functions.expressions import flow_id, ip_to_int, is_internal, safe_div
 from ..schema import ACTIVE_US, IDLE_US, TCP, TCP_FLAGS, WELL_KNOWN_PORTS
 
 CONVERSATION = ["capture_id", "ip_a", "port_a", "ip_b", "port_b", "protocol"]
@@ -46,44 +49,41 @@ def split_idle(packets: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
     return packets.withColumn("_cut", (F.coalesce(gap, F.lit(0)) > idle_us).cast("int")).withColumn("island", F.sum("_cut").over(_conversation())).drop("_cut")
 
 
-def _starts(rows: Column, active_us: int, close: bool) -> Column:
-    """packet_no of the packets that start an episode after the first one of an island."""
-
-    def step(s: Column, p: Column) -> Column:
-        cut = ~s["first"] & ((p["ts_us"] - s["start"] > active_us) | s["closed"])
-        fresh = cut | s["first"]
-        keep = lambda name, value: F.when(fresh, value).otherwise(s[name])
-        grace, fin_f, fin_b = keep("grace", F.lit(False)), keep("fin_f", F.lit(False)), keep("fin_b", F.lit(False))
-        rst = p["tcp"] & (p["flags"].bitwiseAND(4) != 0) if close else F.lit(False)
-        fin = p["tcp"] & (p["flags"].bitwiseAND(1) != 0) & ~rst if close else F.lit(False)
-        fin_f, fin_b = fin_f | (fin & p["fwd"]), fin_b | (fin & ~p["fwd"])
-        return F.struct(
-            F.lit(False).alias("first"),
-            keep("start", p["ts_us"]).alias("start"),
-            fin_f.alias("fin_f"),
-            fin_b.alias("fin_b"),
-            (grace | (fin & fin_f & fin_b)).alias("grace"),
-            (keep("closed", F.lit(False)) | grace | rst).alias("closed"),
-            F.when(cut, F.concat(s["out"], F.array(p["packet_no"]))).otherwise(s["out"]).alias("out"),
-        )
-
-    no = F.lit(False)
-    start = F.struct(F.lit(True).alias("first"), F.lit(0).cast("long").alias("start"), no.alias("fin_f"), no.alias("fin_b"), no.alias("grace"), no.alias("closed"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+def _cuts(active_us: int, close: bool):
+    """The packets that start an episode after the first one of an island, from packets in the order of islands and time; what is kept is the state of one episode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, fin_fwd, fin_bwd, grace, closed = 0, False, False, False, False
+        for b in batches:
+            cuts = []
+            for first, ts, flags, fwd, tcp in zip(*(b.column(c).to_pylist() for c in ("_first", "ts_us", "tcp_flags", "fwd", "_tcp"))):
+                cut = not first and (closed or ts - start > active_us)
+                if first or cut:
+                    start, fin_fwd, fin_bwd, grace, closed = ts, False, False, False, False
+                cuts.append(cut)
+                rst = close and tcp and bool(flags & 4)
+                fin = close and tcp and bool(flags & 1) and not rst
+                fin_fwd, fin_bwd = fin_fwd or (fin and fwd), fin_bwd or (fin and not fwd)
+                closed = closed or grace or rst  # the packet after the second FIN is admitted, and closes
+                grace = grace or (fin and fin_fwd and fin_bwd)
+            yield b.filter(pa.array(cuts, pa.bool_())).drop_columns(["_first", "ts_us", "tcp_flags", "fwd", "_tcp"])
+
+    return run
 
 
 def split_episodes(packets: DataFrame, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    """Add episode within each island: active-timeout and teardown cuts."""
+    """Add episode within each island: active-timeout and teardown cuts. Null flags count as 0."""
     island = [*CONVERSATION, "island"]
     tcp = F.col("protocol") == TCP
     whole = Window.partitionBy(*island)
+    order = whole.orderBy("ts_us", "packet_no")
     needs = F.max("ts_us").over(whole) - F.min("ts_us").over(whole) > active_us
     if close_on_teardown:
         needs = needs | F.bool_or(tcp & (F.col("tcp_flags").bitwiseAND(5) != 0)).over(whole)
-    row = F.struct("ts_us", F.col("packet_no").cast("long").alias("packet_no"), F.col("tcp_flags").alias("flags"), "fwd", tcp.alias("tcp"))
-    cuts = packets.withColumn("_needs", needs).filter("_needs").groupBy(*island).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    cuts = cuts.select(*island, F.explode(_starts(F.col("rows"), active_us, close_on_teardown)).alias("packet_no")).withColumn("_cut", F.lit(1))
-    order = Window.partitionBy(*island).orderBy("ts_us", "packet_no")
+    rows = packets.select(*island, "packet_no", "ts_us", F.coalesce("tcp_flags", F.lit(0)).alias("tcp_flags"), "fwd", F.coalesce(tcp, F.lit(False)).alias("_tcp"), (F.row_number().over(order) == 1).alias("_first"), needs.alias("_needs"))
+    rows = rows.filter("_needs").drop("_needs").sortWithinPartitions(*island, "ts_us", "packet_no")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*island, "packet_no").dtypes)
+    cuts = rows.mapInArrow(_cuts(active_us, close_on_teardown), schema).withColumn("_cut", F.lit(1))
     return packets.join(cuts, [*island, "packet_no"], "left").withColumn("episode", F.sum(F.coalesce("_cut", F.lit(0))).over(order)).drop("_cut")
 
 
@@ -111,9 +111,9 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
     first = lambda c: F.min_by(c, F.struct("ts_us", "packet_no")).alias(c)
     retrans = (F.col("_kind") == 1) & F.col("_again")
     stat4 = lambda c, name: [f(F.col(c)).alias(f"{name}_{k}") for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))]
-    iat = [F.coalesce(f(F.when(cond, F.col(c) / 1e6)), F.lit(0.0)).alias(f"{pre}iat_{k}") for pre, cond, c in (("", F.lit(True), "_gap"), ("fwd_", fwd, "_way_gap"), ("bwd_", bwd, "_way_gap")) for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))]
+    iat = [(F.coalesce(f(F.when(cond, F.col(c))), F.lit(0)) / 1e6).alias(f"{pre}iat_{k}") for pre, cond, c in (("", F.lit(True), "_gap"), ("fwd_", fwd, "_way_gap"), ("bwd_", bwd, "_way_gap")) for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))]
     out = p.groupBy(*key).agg(
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), first("src_ip"), first("dst_ip"), first("src_port"), first("dst_port"),
+        first("packet_no"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), first("src_ip"), first("dst_ip"), first("src_port"), first("dst_port"),
         ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("flow_duration"),
         some(fwd).alias("fwd_packets"), some(bwd).alias("bwd_packets"), n.alias("total_packets"),
         of(fwd, "ip_len").alias("fwd_bytes"), of(bwd, "ip_len").alias("bwd_bytes"), F.sum("ip_len").alias("total_bytes"),
@@ -142,7 +142,8 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
         safe_div(col("fwd_bytes"), col("fwd_packets")).alias("fwd_mean_packet_size"), safe_div(col("bwd_bytes"), col("bwd_packets")).alias("bwd_mean_packet_size"),
         *((col(f"{k}_count") / col("total_packets")).alias(f"{k}_ratio") for k in ("syn", "rst", "ack", "psh")),
         col("dst_port").isin(*WELL_KNOWN_PORTS).cast("int").alias("is_wellknown_dst_port"),
-    )
+        flow_id(col("src_ip"), col("src_port"), col("dst_ip"), col("dst_port"), col("protocol"), col("start_us")).alias("flow_id"),
+    ).withColumnRenamed("packet_no", "flow_no")
 
 
 def packets_in_episodes(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
@@ -150,15 +151,15 @@ def packets_in_episodes(packets: DataFrame, idle_us: int = IDLE_US, active_us: i
 
 
 def assemble_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    """One row per flow; an empty packet table gives the same columns and no rows."""
+    """One row per flow, numbered (flow_no) by its first packet; an empty packet table gives the same columns and no rows."""
     return flow_features(packets_in_episodes(packets, idle_us, active_us, close_on_teardown), [*CONVERSATION, "island", "episode"])
 
 
-def rank_hosts(packets: DataFrame) -> DataFrame:
-    """Private hosts by the packets that they take part in: rank 1 is the victim, the next 12 (no .0 or .255) are peers."""
-    from ..functions.expressions import is_internal
-
+def rank_hosts(packets: DataFrame, peers: int = 12) -> DataFrame:
+    """Private hosts by the packets that they take part in: rank 1 is the victim, then ``peers`` others that are no .0 or .255 address."""
     hosts = packets.select("capture_id", F.explode(F.array("src_ip", "dst_ip")).alias("host")).filter(is_internal(F.col("host")))
     counts = hosts.groupBy("capture_id", "host").agg(F.count("*").alias("n_packets"))
-    rank = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("n_packets"), "host"))
-    return counts.withColumn("host_rank", rank).filter((F.col("host_rank") <= 13) & ~F.col("host").rlike(r"\.(0|255)$"))
+    order = Window.partitionBy("capture_id").orderBy(F.desc("n_packets"), "host")
+    victims = counts.withColumn("host_rank", F.row_number().over(order)).filter("host_rank = 1")
+    rest = counts.filter(~F.col("host").rlike(r"\.(0|255)$")).join(victims.select("capture_id", F.col("host").alias("_victim")), "capture_id").filter("host <> _victim").drop("_victim")
+    return victims.unionByName(rest.withColumn("host_rank", F.row_number().over(order) + 1).filter(F.col("host_rank") <= peers + 1))

@@ -52,10 +52,9 @@ def flag_summary(counts: dict[str, Column]) -> Column:
 
 
 def flagged_flows(flows: DataFrame, peaks: DataFrame, limit: int = 25) -> DataFrame:
-    """The flows most worth a look in each capture's peak window; ``peaks`` has capture_id, window."""
-    ratio = lambda c: F.col(c) / F.greatest(F.col("total_packets"), F.lit(1))
-    size = F.col("fwd_bytes") + F.col("bwd_bytes")
-    score = 2.0 * ratio("syn_count") + 1.5 * ratio("rst_count") + F.log1p(size) / 20.0
+    """The flows most worth a look in each capture's peak window; ``flows`` has their window and ratios, ``peaks`` capture_id, window."""
+    size = F.log1p(F.col("total_bytes")) / 20.0
+    score = 2.0 * F.col("syn_ratio") + 1.5 * F.col("rst_ratio") + F.col("payload_zero_ratio") + size + F.col("retransmission_ratio")
     rows = flows.join(peaks.select("capture_id", "window"), ["capture_id", "window"]).withColumn("score", F.round(score, 9))
     place = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("score"), "flow_no"))
     return rows.withColumn("place", place).filter(F.col("place") <= limit)

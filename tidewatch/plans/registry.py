@@ -30,14 +30,34 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
+EDGE = 0.37771234
+
+
+def steady(df: DataFrame, digits: int = 5) -> DataFrame:
+    """Doubles cut to cells whose edges no short fraction meets, so that a last digit of the sums never decides; see STEADY."""
+    cell = lambda c: F.floor(c * float(10**digits) + F.lit(EDGE)).cast("double") / float(10**digits)
+    return df.select(*(cell(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def STEADY(x: str, digits: int = 5) -> str:  # noqa: N802
+    """The SQL of ``steady``."""
+    return f"floor(CAST({x} AS DOUBLE) * 1e{digits} + {EDGE}::DOUBLE) / 1e{digits}"
+
+
 def _in(ports: tuple) -> str:
     return f"({', '.join(map(str, ports))})"
 
 
 _INT = lambda c: f"(list_reduce([CAST(x AS BIGINT) FOR x IN string_split({c}, '.')], lambda a, b: a * 256 + b))"
 _INSIDE = lambda c: "(" + " OR ".join(f"({_INT(c)} >> {32 - b}) = {n >> (32 - b)}" for n, b in schema.PRIVATE_BLOCKS) + ")"
-W = f"""WITH t AS (SELECT capture_id, min(start_us) t0, CAST(floor((max(start_us) - min(start_us)) / 30000000) AS BIGINT) + 1 AS n_windows FROM flows_v GROUP BY 1),
-w AS (SELECT f.*, t.t0, t.n_windows, CAST(floor((start_us - t0) / 30000000) AS BIGINT) AS win, {_INSIDE('src_ip')} AS src_in, {_INSIDE('dst_ip')} AS dst_in FROM flows_v f JOIN t USING (capture_id)) """
+
+def windows_sql(flows: str) -> str:
+    """CTEs t (grid of each capture) and w (flows with their window) over a table of flows."""
+    return f"""WITH t AS (SELECT capture_id, min(start_us) t0, CAST(floor((max(start_us) - min(start_us)) / 30000000) AS BIGINT) + 1 AS n_windows FROM {flows} GROUP BY 1),
+w AS (SELECT f.*, t.t0, t.n_windows, CAST(floor((start_us - t0) / 30000000) AS BIGINT) AS win, {_INSIDE('src_ip')} AS src_in, {_INSIDE('dst_ip')} AS dst_in FROM {flows} f JOIN t USING (capture_id)) """
+
+
+W = windows_sql("flows_v")
 _G = "GROUP BY capture_id, win"
 
 
@@ -105,142 +125,6 @@ z AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY capture_id, conv, ep ORDER
 """
 
 
-@query(
-    _FLOW + """SELECT capture_id, min(ts_us) AS start_us, arg_min(src_ip, (ts_us, packet_no)) AS src_ip, arg_min(dst_port, (ts_us, packet_no)) AS dst_port, arg_min(src_port, (ts_us, packet_no)) AS src_port,
-  count(*) AS total_packets, count(*) FILTER (fwd) AS fwd_packets, CAST(sum(ip_len) AS BIGINT) AS total_bytes, CAST(coalesce(sum(ip_len) FILTER (fwd), 0) AS BIGINT) AS fwd_bytes,
-  round((max(ts_us) - min(ts_us)) / 1e6, 6) AS flow_duration, round(coalesce(avg(g1 / 1e6), 0), 6) AS iat_mean, round(coalesce(stddev_pop(g1 / 1e6), 0), 4) AS iat_std, round(coalesce(max(g2 / 1e6) FILTER (fwd), 0), 6) AS fwd_iat_max, round(coalesce(min(g2 / 1e6) FILTER (NOT fwd), 0), 6) AS bwd_iat_min,
-  count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 16 <> 0) AS ack_count, round(avg(ip_ttl), 6) AS ttl_mean, count(DISTINCT ip_ttl) AS ttl_unique, round(coalesce(avg(ip_ttl) FILTER (fwd), avg(ip_ttl)), 6) AS fwd_ttl_mean,
-  count(*) FILTER (tcp_window = 0) AS window_zero_count, round(quantile_cont(payload_len, 0.5), 6) AS payload_p50, round(quantile_cont(payload_len, 0.9), 6) AS payload_p90, round(count(*) FILTER (payload_len = 0) / count(*), 6) AS payload_zero_ratio,
-  count(*) FILTER (kind = 1 AND again) AS retransmission_count, count(*) FILTER (kind = 1 AND NOT again AND tcp_seq < highest) AS out_of_order_count, count(*) FILTER (kind = 2 AND tcp_ack = last_ack) AS dup_ack_count,
-  count(*) FILTER (ip_flags & 1 <> 0 OR frag_offset > 0) AS frag_packet_count, round(count(*) FILTER (ip_flags & 2 <> 0) / count(*), 6) AS df_ratio FROM z GROUP BY capture_id, conv, ep""",
-    "packets_v",
-)
-def assemble_flows(spark, sf_dir):
-    f = flows.assemble_flows(fixtures.view(spark, sf_dir, "packets_v")).withColumn("iat_std", F.round("iat_std", 4))
-    return rounded(f.select("capture_id", "start_us", "src_ip", "dst_port", "src_port", "total_packets", "fwd_packets", "total_bytes", "fwd_bytes", "flow_duration", "iat_mean", "iat_std", "fwd_iat_max", "bwd_iat_min", "syn_count", "ack_count", "ttl_mean", "ttl_unique", "fwd_ttl_mean", "window_zero_count", "payload_p50", "payload_p90", "payload_zero_ratio", "retransmission_count", "out_of_order_count", "dup_ack_count", "frag_packet_count", "df_ratio"))
-
-
-@query(
-    f"""WITH h AS (SELECT capture_id, unnest([src_ip, dst_ip]) AS host FROM packets_v), c AS (SELECT capture_id, host, count(*) AS n_packets FROM h WHERE {_INSIDE('host')} GROUP BY 1, 2),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY n_packets DESC, host) AS INTEGER) AS host_rank FROM c) SELECT * FROM r WHERE host_rank <= 13 AND NOT regexp_matches(host, '\\.(0|255)$')""",
-    "packets_v",
-)
-def rank_hosts(spark, sf_dir):
-    return flows.rank_hosts(fixtures.view(spark, sf_dir, "packets_v"))
-
-
-_SH = lambda c: f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6)"
-_DNS = f"(dst_port IN {_in(schema.DNS_PORTS)} OR src_port IN {_in(schema.DNS_PORTS)})"
-_LOG = lambda x: f"round(ln(1 + {x}), 6)"
-
-
-@query(
-    W + f"""SELECT capture_id, win AS "window", count(*) AS n_flows, CAST(sum(fwd_bytes + bwd_bytes) AS BIGINT) AS total_bytes, CAST(sum(total_packets) AS BIGINT) AS n_packets, {_LOG('count(*)')} AS log_n_flows, {_LOG('sum(total_packets)')} AS log_n_packets, {_LOG('sum(fwd_bytes + bwd_bytes)')} AS log_n_bytes,
-    {_LOG('sum(fwd_bytes + bwd_bytes) / 30')} AS log_bytes_per_s, {_LOG('sum(total_packets) / 30')} AS log_packets_per_s, {_LOG('count(*) / 30')} AS log_flows_per_s, {_LOG('sum(fwd_bytes + bwd_bytes) / count(*)')} AS log_mean_flow_bytes, round(sum(fwd_bytes + bwd_bytes) / count(*), 6) AS mean_flow_bytes, round(sum(total_packets) / count(*), 6) AS mean_flow_packets,
-    {_SH('protocol = 6')} AS tcp_share, {_SH('protocol = 17')} AS udp_share, {_SH('protocol = 1')} AS icmp_share, {_SH('src_in AND dst_in')} AS internal_flow_share, {_SH('src_in AND NOT dst_in')} AS external_flow_share, {_SH('NOT src_in AND dst_in')} AS inbound_flow_share,
-    round(sum(CASE WHEN src_in AND NOT dst_in THEN fwd_bytes WHEN NOT src_in AND dst_in THEN bwd_bytes ELSE 0 END) / sum(fwd_bytes + bwd_bytes), 6) AS outbound_bytes_ratio, {_SH(f'dst_port IN {_in(schema.AUTH_PORTS)}')} AS auth_service_share, {_SH(f'dst_port IN {_in(schema.ADMIN_PORTS)}')} AS admin_service_share, {_SH(f'dst_port IN {_in(schema.WEB_PORTS)}')} AS web_service_share,
-    {_SH('syn_count > 0 AND ack_count = 0')} AS half_open_ratio, {_SH('rst_count > 0')} AS rst_share, {_SH(_DNS)} AS dns_share, {_LOG(f'coalesce(avg(fwd_bytes) FILTER ({_DNS}), 0)')} AS log_dns_query_size, {_SH('rst_count > 0 AND total_packets > 12')} AS rst_injection_ratio FROM w {_G}""",
-    "flows_v",
-)
-def state_volume(spark, sf_dir):
-    return rounded(windows.state_volume(_w(spark, sf_dir)))
-
-
-@query(
-    W + f"""SELECT a.*, top1_src_flow_share, top1_src_byte_share, top1_dst_flow_share FROM (SELECT capture_id, win AS "window", count(DISTINCT src_ip) AS distinct_src, count(DISTINCT dst_ip) AS distinct_dst, count(DISTINCT dst_port) AS distinct_dst_ports, count(DISTINCT src_port) AS distinct_src_ports FROM w {_G}) a
-    JOIN (SELECT capture_id, win, round(max(n) / sum(n), 6) AS top1_src_flow_share, round(max(b) / sum(b), 6) AS top1_src_byte_share FROM (SELECT capture_id, win, src_ip, count(*) n, sum(fwd_bytes + bwd_bytes) b FROM w {_G}, src_ip) {_G}) s ON a.capture_id = s.capture_id AND a."window" = s.win
-    JOIN (SELECT capture_id, win, round(max(n) / sum(n), 6) AS top1_dst_flow_share FROM (SELECT capture_id, win, dst_ip, count(*) n FROM w {_G}, dst_ip) {_G}) d ON a.capture_id = d.capture_id AND a."window" = d.win""",
-    "flows_v",
-)
-def state_diversity(spark, sf_dir):
-    w = _w(spark, sf_dir)
-    return rounded(windows.state_diversity(w).join(windows.state_top_talkers(w), windows.KEY))
-
-
-@query(
-    W + f"""SELECT capture_id, win AS "window", {', '.join(f'round({f}({c}), 5) AS {c}__{k}' for c in ('fwd_bytes', 'total_packets', 'fwd_ttl_mean') for f, k in (('avg', 'mean'), ('stddev_pop', 'std'), ('max', 'max')))} FROM (SELECT capture_id, win, CAST(fwd_bytes AS DOUBLE) fwd_bytes, CAST(total_packets AS DOUBLE) total_packets, CAST(fwd_ttl_mean AS DOUBLE) fwd_ttl_mean FROM w) {_G}""",
-    "flows_v",
-)
-def state_distribution(spark, sf_dir):
-    return rounded(windows.state_distribution(_w(spark, sf_dir), ("fwd_bytes", "total_packets", "fwd_ttl_mean")), 5)
-
-
-_SWEEP = """tr AS (SELECT capture_id, win, src_ip, dst_ip, dst_port, count(*) n, bool_or(src_in AND dst_in) AS inn FROM w GROUP BY ALL),
-pr AS (SELECT capture_id, win, src_ip, dst_ip, count(*) AS ports, list_sort(list(dst_port)) AS l FROM tr GROUP BY ALL),
-be AS (SELECT *, row_number() OVER (PARTITION BY capture_id, win ORDER BY ports DESC, src_ip, dst_ip) AS r FROM pr),
-b1 AS (SELECT capture_id, win, ports AS max_ports_per_src_dst, CASE WHEN ports < 3 THEN 0.0 ELSE len(list_filter(range(1, ports), lambda i: l[i + 1] - l[i] = 1)) / (ports - 1) END AS seq FROM be WHERE r = 1),
-fa AS (SELECT capture_id, win, max(n) AS same_port_fanout FROM (SELECT capture_id, win, src_ip, dst_port, count(*) n FROM tr GROUP BY ALL) GROUP BY 1, 2),
-co AS (SELECT capture_id, win, max(n) AS max_srcs_per_dst_service FROM (SELECT capture_id, win, dst_ip, dst_port, count(*) n FROM tr GROUP BY ALL) GROUP BY 1, 2),
-inn AS (SELECT capture_id, win, max(n) AS distinct_internal_dsts FROM (SELECT capture_id, win, src_ip, count(DISTINCT CASE WHEN inn THEN dst_ip END) n FROM tr GROUP BY ALL) GROUP BY 1, 2),
-dg AS (SELECT capture_id, win, avg(n) AS mean_d, max(n) AS max_d FROM (SELECT capture_id, win, host, count(*) n FROM (SELECT capture_id, win, unnest([src_ip, dst_ip]) AS host FROM w) GROUP BY ALL) GROUP BY 1, 2),
-tt AS (SELECT capture_id, win, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS ttl FROM (SELECT capture_id, win, src_ip, count(DISTINCT fwd_ttl_mean) n FROM w GROUP BY ALL) GROUP BY 1, 2),
-sv AS (SELECT capture_id, win, max(n) AS mf FROM tr GROUP BY 1, 2) """
-
-
-@query(
-    W.rstrip() + ", " + _SWEEP + """SELECT capture_id, win AS "window", max_ports_per_src_dst, round(seq, 6) AS sequential_port_ratio, mf AS max_flows_per_src_dst_port, same_port_fanout, max_srcs_per_dst_service, distinct_internal_dsts, round(mean_d, 6) AS graph_mean_degree, CAST(max_d AS BIGINT) AS graph_max_degree, round(ttl, 6) AS ttl_inconsistency
-    FROM b1 JOIN fa USING (capture_id, win) JOIN co USING (capture_id, win) JOIN inn USING (capture_id, win) JOIN dg USING (capture_id, win) JOIN tt USING (capture_id, win) JOIN sv USING (capture_id, win)""",
-    "flows_v",
-)
-def detect_sweeps(spark, sf_dir):
-    return rounded(windows.detect_sweeps(_w(spark, sf_dir)))
-
-
-@query(
-    W.rstrip() + """, a AS (SELECT DISTINCT capture_id, win, dst_ip FROM w), a2 AS (SELECT *, min(win) OVER (PARTITION BY capture_id, dst_ip) = win AS f FROM a), p AS (SELECT DISTINCT capture_id, win, dst_port FROM w), p2 AS (SELECT *, min(win) OVER (PARTITION BY capture_id, dst_port) = win AS f FROM p)
-    SELECT x.capture_id, x.win AS "window", new_dst_ratio, new_dst_port_ratio FROM (SELECT capture_id, win, round(avg(CASE WHEN f THEN 1.0 ELSE 0.0 END), 6) AS new_dst_ratio FROM a2 GROUP BY 1, 2) x JOIN (SELECT capture_id, win, round(avg(CASE WHEN f THEN 1.0 ELSE 0.0 END), 6) AS new_dst_port_ratio FROM p2 GROUP BY 1, 2) y USING (capture_id, win)""",
-    "flows_v",
-)
-def detect_new_peers(spark, sf_dir):
-    return rounded(windows.detect_new_peers(_w(spark, sf_dir)))
-
-
-@query(
-    W.rstrip() + """, h AS (SELECT w.* EXCLUDE (win), unnest(range(CAST(floor((start_us - t0) / 30000000) AS BIGINT), least(CAST(floor((start_us - t0 + 600000000) / 30000000) AS BIGINT), n_windows))) AS win FROM w),
-    g AS (SELECT *, (start_us - lag(start_us) OVER (PARTITION BY capture_id, win, src_ip, dst_ip, dst_port ORDER BY start_us, flow_no)) / 1e6 AS gap FROM h),
-    p AS (SELECT capture_id, win, src_ip, dst_ip, dst_port, count(*) AS n, max(start_us) - min(start_us) AS span, count(gap) FILTER (gap > 0) AS gaps, avg(gap) FILTER (gap > 0) AS m, stddev_pop(gap) FILTER (gap > 0) AS s, min((start_us, flow_no)) AS f FROM g GROUP BY ALL),
-    b AS (SELECT *, round(1 / (1 + s / m), 9) AS reg FROM p WHERE n >= 4 AND span >= 10000000 AND gaps >= 3 AND m >= 1), r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, win ORDER BY reg DESC, f) AS k FROM b),
-    e AS (SELECT capture_id, win, count(*) FILTER (n >= 3) AS rep FROM (SELECT capture_id, win, dst_ip, count(*) n FROM h WHERE src_in AND NOT dst_in GROUP BY ALL) GROUP BY 1, 2)
-    SELECT coalesce(r1.capture_id, e.capture_id) AS capture_id, coalesce(r1.win, e.win) AS "window", round(reg, 6) AS beacon_regularity, n AS beacon_flow_count, rep AS repeat_external_dst_count FROM (SELECT * FROM r WHERE k = 1) r1 FULL JOIN e ON r1.capture_id = e.capture_id AND r1.win = e.win""",
-    "flows_v",
-)
-def detect_beacons(spark, sf_dir):
-    return rounded(windows.detect_beacons(_w(spark, sf_dir)))
-
-
-@query()
-def build_states(spark, sf_dir):
-    return rounded(windows.build_states(fixtures.view(spark, sf_dir, "flows_v")))
-
-
-def _rule_sql() -> str:
-    terms: dict[str, list] = {}
-    for stage, feature, op, limit, weight in schema.RULES:
-        if feature in ("mean_flow_packets", "rst_share", "auth_service_share", "internal_flow_share", "admin_service_share", "mean_flow_bytes", "external_flow_share", "outbound_bytes_ratio", "total_bytes", "half_open_ratio", "n_flows"):
-            up = f"({feature} - {limit} * 0.82) / ({limit} * 0.36)"
-            terms.setdefault(stage, []).append(f"{weight} * greatest(0.0, least(1.0, {up if op == '>' else f'1 - {up}'}))")
-    total = {s: sum(r[4] for r in schema.RULES if r[0] == s) for s in terms}
-    return " UNION ALL ".join(f"SELECT capture_id, win AS \"window\", '{s}' AS stage, round(({' + '.join(t)}) / {total[s]}, 6) AS score FROM v" for s, t in terms.items())
-
-
-@query(
-    W.rstrip() + f""", v AS (SELECT capture_id, win, count(*) AS n_flows, sum(fwd_bytes + bwd_bytes) AS total_bytes, sum(fwd_bytes + bwd_bytes) / count(*) AS mean_flow_bytes, sum(total_packets) / count(*) AS mean_flow_packets, avg(CASE WHEN rst_count > 0 THEN 1.0 ELSE 0 END) AS rst_share, avg(CASE WHEN dst_port IN {_in(schema.AUTH_PORTS)} THEN 1.0 ELSE 0 END) AS auth_service_share, avg(CASE WHEN dst_port IN {_in(schema.ADMIN_PORTS)} THEN 1.0 ELSE 0 END) AS admin_service_share, avg(CASE WHEN src_in AND dst_in THEN 1.0 ELSE 0 END) AS internal_flow_share, avg(CASE WHEN src_in AND NOT dst_in THEN 1.0 ELSE 0 END) AS external_flow_share,
-    sum(CASE WHEN src_in AND NOT dst_in THEN fwd_bytes WHEN NOT src_in AND dst_in THEN bwd_bytes ELSE 0 END) / sum(fwd_bytes + bwd_bytes) AS outbound_bytes_ratio, avg(CASE WHEN syn_count > 0 AND ack_count = 0 THEN 1.0 ELSE 0 END) AS half_open_ratio FROM w {_G}) """ + _rule_sql(),
-    "flows_v",
-)
-def score_stages(spark, sf_dir):
-    return rounded(labels.score_stages(windows.state_volume(_w(spark, sf_dir))))
-
-
-@query()
-def window_verdicts(spark, sf_dir):
-    w = _w(spark, sf_dir)
-    states = windows.build_states(fixtures.view(spark, sf_dir, "flows_v"))
-    scores = labels.score_stages(states)
-    forecasts = labels.label_windows_flows(w).select("capture_id", "window", (F.col("stage") / 6).alias("probability"), F.element_at(F.array(*map(F.lit, schema.STAGES)), F.col("stage") + 1).alias("stage"))
-    return rounded(labels.verdicts(forecasts, scores))
-
-
 _SI = _INDEX.format(f"({_stage_sql('label')})")
 
 
@@ -305,10 +189,11 @@ def build_sequences(spark, sf_dir):
     return s.select("capture_id", "window", text(F.col("context")).alias("context"), "target_state", text(F.col("target_stage")).alias("target_stage"), F.round(samples.ewma(F.col("context")), 6).alias("ewma"))
 
 
-@query(_SEQ + """, i AS (SELECT capture_id, win, row_number() OVER (PARTITION BY capture_id ORDER BY win) - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM k), b AS (SELECT *, n - round_even(n * 0.15, 0) - round_even(n * 0.25, 0) AS e1, n - round_even(n * 0.25, 0) AS e2 FROM i)
-SELECT capture_id, win AS "window", CASE WHEN i < e1 - 2 THEN 'train' WHEN i >= e1 AND i < e2 - 2 THEN 'val' WHEN i >= e2 THEN 'test' END AS split FROM b WHERE i < e1 - 2 OR (i >= e1 AND i < e2 - 2) OR i >= e2""", "flows_v")
+@query(_SEQ + """, i AS (SELECT capture_id, win, row_number() OVER (PARTITION BY capture_id ORDER BY win) - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM k), b AS (SELECT *, n - round_even(n * 0.15, 0) - round_even(n * 0.25, 0) AS e1, n - round_even(n * 0.25, 0) AS e2, round_even(n * 0.15, 0) AS nv, round_even(n * 0.25, 0) AS nt FROM i),
+d AS (SELECT *, greatest(0, least(40, e1 - 1, CASE WHEN nv > 0 THEN nv - 1 ELSE 0 END, CASE WHEN nt > 0 THEN nt - 1 ELSE 0 END)) AS g FROM b)
+SELECT capture_id, win AS "window", CASE WHEN i < e1 - g THEN 'train' WHEN i >= e1 AND i < e2 - g THEN 'val' WHEN i >= e2 THEN 'test' END AS split FROM d WHERE e1 > 0 AND (i < e1 - g OR (i >= e1 AND i < e2 - g) OR i >= e2)""", "flows_v")
 def time_split(spark, sf_dir):
-    return samples.time_split(_sequences(spark, sf_dir).select("capture_id", "window"), 0.15, 0.25, 2)
+    return samples.time_split(_sequences(spark, sf_dir).select("capture_id", "window"), 0.15, 0.25, 40)
 
 
 @query("WITH c AS (SELECT DISTINCT capture_id FROM scores_v), o AS (SELECT capture_id, row_number() OVER (ORDER BY md5(concat('7|', capture_id)), capture_id) AS i, count(*) OVER () AS n FROM c) SELECT capture_id, CASE WHEN i <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' WHEN i <= greatest(1, round_even(n * 0.2, 0)) + greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM o", "scores_v")
@@ -415,4 +300,4 @@ def peak_window(spark, sf_dir):
     return rounded(labels.peak_window(_windowed(spark, sf_dir)))
 
 
-from . import reports, studies  # noqa: E402, F401  register their queries
+from . import reports, states, studies  # noqa: E402, F401  register their queries

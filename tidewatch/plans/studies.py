@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions import expressions as ex
-from ..operators import labels, profile, studies
-from ..sources import flow_files
+from ..operators import profile, studies
+from ..sources import flow_files, shared
 from ..streaming import live
 from .registry import _EP, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _w, _windowed, query, rounded
 
@@ -52,20 +52,6 @@ def overlay_timeline(spark, sf_dir):
     return _overlay(spark, sf_dir)[1]
 
 
-@query(
-    W + """, c AS (SELECT capture_id, win, count(*) AS n FROM w GROUP BY 1, 2), k AS (SELECT capture_id, win, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, win) AS r FROM c),
-    f AS (SELECT w.*, round(2.0::DOUBLE * (syn_count / total_packets) + 1.5::DOUBLE * (rst_count / total_packets) + ln(1 + fwd_bytes + bwd_bytes) / 20.0::DOUBLE, 9) AS score FROM w JOIN k ON w.capture_id = k.capture_id AND w.win = k.win AND k.r = 1),
-    g AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, flow_no) AS INTEGER) AS place FROM f)
-    SELECT capture_id, win AS "window", flow_no, place, coalesce(nullif(concat_ws('|', CASE WHEN syn_count > 0 THEN 'SYN' END, CASE WHEN rst_count > 0 THEN 'RST' END, CASE WHEN ack_count > 0 THEN 'ACK' END), ''), '-') AS flags, round(score, 6) AS score FROM g WHERE place <= 25""",
-    "flows_v",
-)
-def flagged_flows(spark, sf_dir):
-    w = _w(spark, sf_dir)
-    peaks = labels.peak_window(w.groupBy("capture_id", "window").agg(F.count("*").alias("score")))
-    flags = studies.flag_summary({"SYN": F.col("syn_count"), "RST": F.col("rst_count"), "ACK": F.col("ack_count")})
-    return rounded(studies.flagged_flows(w, peaks).select("capture_id", "window", "flow_no", "place", flags.alias("flags"), "score"))
-
-
 @query("SELECT capture_id, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages FROM timeline_v GROUP BY 1", "timeline_v")
 def group_stages(spark, sf_dir):
     return studies.group_stages(fixtures.view(spark, sf_dir, "timeline_v")).withColumn("stages", F.array_join("stages", ","))
@@ -139,7 +125,7 @@ def serialise_result(spark, sf_dir):
     "flows_v",
 )
 def flow_csv_round_trip(spark, sf_dir):
-    path = flow_files.scratch(spark, "flows")
+    path = shared.scratch(spark, "flows")
     f = fixtures.view(spark, sf_dir, "flows_v")
     flow_files.write_flows_csv(f.withColumn("flow_id", F.col("flow_no")).withColumn("Flow Duration", F.col("flow_no")).withColumnRenamed("start_us", "start_ts"), path)
     back = flow_files.read_flow_csv(spark, path)
@@ -148,7 +134,7 @@ def flow_csv_round_trip(spark, sf_dir):
 
 @query(W + ', c AS (SELECT capture_id, win, count(*) AS n_flows FROM w GROUP BY 1, 2) SELECT capture_id, win AS "window", n_flows, 30.0::DOUBLE AS window_s FROM c', "flows_v")
 def corpus_round_trip(spark, sf_dir):
-    path = flow_files.scratch(spark, "corpus")
+    path = shared.scratch(spark, "corpus")
     flow_files.write_corpus(_w(spark, sf_dir).groupBy("capture_id", "window").agg(F.count("*").alias("n_flows")), path)
     return flow_files.read_corpus(spark, path)
 
@@ -164,12 +150,12 @@ _CLOSED = lambda view, c: f"m AS (SELECT CAST(floor(max({c}) / 1000) AS BIGINT)
 
 @query("WITH s AS (SELECT capture_id, CAST(floor(start_us / 30000000) AS BIGINT) * 30000000 AS start_us, fwd_bytes + bwd_bytes AS b FROM flows_v), " + _CLOSED("flows_v", "start_us") + "SELECT capture_id, start_us, count(*) AS n_flows, CAST(sum(b) AS BIGINT) AS total_bytes FROM s, m WHERE start_us + 30000000 <= mark GROUP BY 1, 2", "flows_v")
 def stream_window_counts(spark, sf_dir):
-    return live.drain(live.stream_window_counts(_stream(spark, sf_dir, "flows_v", "start_us")), flow_files.scratch(spark, "stream"))
+    return live.drain(live.stream_window_counts(_stream(spark, sf_dir, "flows_v", "start_us")), shared.scratch(spark, "stream"))
 
 
 @query("WITH s AS (SELECT capture_id, dst_ip, (CAST(floor(start_us / 30000000) AS BIGINT) - unnest(range(20))) * 30000000 AS start_us FROM flows_v), " + _CLOSED("flows_v", "start_us") + "SELECT capture_id, dst_ip, start_us, count(*) AS contacts FROM s, m WHERE start_us + 600000000 <= mark GROUP BY 1, 2, 3", "flows_v")
 def stream_history(spark, sf_dir):
-    return live.drain(live.stream_history(_stream(spark, sf_dir, "flows_v", "start_us")), flow_files.scratch(spark, "stream"))
+    return live.drain(live.stream_history(_stream(spark, sf_dir, "flows_v", "start_us")), shared.scratch(spark, "stream"))
 
 
 @query(
@@ -179,4 +165,4 @@ def stream_history(spark, sf_dir):
     "packets_v",
 )
 def stream_idle_sessions(spark, sf_dir):
-    return live.drain(live.stream_idle_sessions(_stream(spark, sf_dir, "packets_v", "ts_us")), flow_files.scratch(spark, "stream"))
+    return live.drain(live.stream_idle_sessions(_stream(spark, sf_dir, "packets_v", "ts_us")), shared.scratch(spark, "stream"))

@@ -62,9 +62,75 @@ LABEL_PATTERNS = (
     (r"flood|syn.?flood|udp.?lag|^apache", "Impact"),
     (r"fuzzers|generic|analysis|shellcode\b(?!.*access)", "OutOfScope"),
 )
+#: What each rule says, in the order of RULES.
+RULE_TEXTS = (
+    "probing more than 20 distinct destination ports",
+    "probe packets carry no payload",
+    "conversations end after a handful of packets",
+    "a high share of connections are refused with RST",
+    "one source sweeping many ports on one host",
+    "repeated connections to a single service",
+    "traffic concentrated on remote-access services",
+    "many attempts refused",
+    "targeting few ports, not sweeping",
+    "traffic is internal host to internal host",
+    "SMB/RDP/SSH/WMI activity",
+    "one host reaching several internal peers",
+    "retransmissions typical of pushed tooling",
+    "near-constant interval between outbound contacts",
+    "each contact moves very little data",
+    "destination is outside the network",
+    "the same external host contacted repeatedly",
+    "almost all bytes are leaving the network",
+    "bulk volume moved in a single window",
+    "packets are consistently near MTU",
+    "destination is outside the network",
+    "most connections never complete a handshake",
+    "many sources converging on one service",
+    "an extreme number of conversations in one window",
+    "conversations end almost immediately",
+)
+#: State features of a window, in their order: scalars, then mean, std and max of per-flow features, then detectors.
+SCALAR_FEATURES = (
+    "log_n_flows", "log_n_packets", "log_n_bytes", "log_bytes_per_s", "log_packets_per_s", "log_flows_per_s",
+    "log_distinct_src", "log_distinct_dst", "log_distinct_dst_ports", "log_distinct_src_ports",
+    "tcp_share", "udp_share", "icmp_share", "internal_flow_share", "external_flow_share", "inbound_flow_share",
+    "outbound_bytes_ratio", "top1_src_flow_share", "top1_dst_flow_share", "top1_src_byte_share",
+    "log_mean_flow_bytes", "mean_flow_packets",
+)
+AGGREGATED_FEATURES = (
+    "flow_duration", "total_packets", "total_bytes", "flow_bytes_per_s", "flow_packets_per_s",
+    "bytes_ratio", "packets_ratio", "mean_packet_size", "iat_mean", "iat_std", "syn_ratio", "rst_ratio", "psh_ratio",
+    "ttl_std", "ttl_unique", "window_mean", "payload_mean", "payload_zero_ratio", "retransmission_ratio", "frag_packet_count",
+)
+DETECTOR_FEATURES = (
+    "max_ports_per_src_dst", "log_max_flows_per_src_dst_port", "sequential_port_ratio",
+    "auth_service_share", "admin_service_share", "web_service_share", "distinct_internal_dsts",
+    "beacon_regularity", "log_beacon_flow_count", "repeat_external_dst_count", "new_dst_ratio", "new_dst_port_ratio",
+    "graph_mean_degree", "graph_max_degree", "log_same_port_fanout", "half_open_ratio", "log_max_srcs_per_dst_service",
+    "dns_share", "log_dns_query_size", "ttl_inconsistency", "rst_injection_ratio",
+)
+#: The values that rules and people read, not logged.
+SUMMARY_FEATURES = (
+    "n_flows", "total_bytes", "distinct_dst_ports", "mean_payload_zero_ratio", "mean_flow_packets", "rst_share",
+    "max_ports_per_src_dst", "max_flows_per_src_dst_port", "auth_service_share", "admin_service_share",
+    "internal_flow_share", "external_flow_share", "distinct_internal_dsts", "mean_retransmission_ratio",
+    "beacon_regularity", "mean_flow_bytes", "repeat_external_dst_count", "outbound_bytes_ratio", "mean_payload_mean",
+    "same_port_fanout", "half_open_ratio", "max_srcs_per_dst_service", "dns_share", "dns_query_size",
+    "ttl_inconsistency", "rst_injection_ratio",
+)
+#: What is read off packets and no flow record has: per-flow bases and detectors.
+PACKET_BASES = ("ttl_std", "ttl_unique", "window_mean", "payload_mean", "payload_zero_ratio", "retransmission_ratio", "frag_packet_count")
+PACKET_DETECTORS = ("ttl_inconsistency", "rst_injection_ratio")
+#: The indicators of reconnaissance that the CUSUM score follows.
+PRECURSOR_FEATURES = (
+    "log_distinct_dst_ports", "sequential_port_ratio", "syn_ratio__mean", "half_open_ratio", "max_ports_per_src_dst",
+    "new_dst_port_ratio", "log_same_port_fanout", "new_dst_ratio", "rst_ratio__mean", "log_max_flows_per_src_dst_port",
+)
 # ------------------------------------------------------------------------------------------------
 
 WINDOW_US = 30_000_000
 HISTORY_US = 600_000_000
 IDLE_US, ACTIVE_US = 120_000_000, 300_000_000
 TCP, UDP, ICMP = 6, 17, 1
+STATE_FEATURES = (*SCALAR_FEATURES, *(f"{c}__{k}" for c in AGGREGATED_FEATURES for k in ("mean", "std", "max")), *DETECTOR_FEATURES)

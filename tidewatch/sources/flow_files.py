@@ -6,8 +6,6 @@ Many files are read at once; what a header decides is metadata, everything else
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,12 +176,3 @@ def write_corpus(states: DataFrame, path: str, window_s: float = 30.0) -> None:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("capture_id", F.col("capture_id").cast("long"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; only where none is set (tests) a temporary one is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/tidewatch/{name}-{uuid.uuid4().hex}"
