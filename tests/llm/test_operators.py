@@ -1,12 +1,15 @@
 """Each operator against brute force over whole texts, and on odd rows."""
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,10 +104,35 @@ def test_packing(docs, odd, texts):
         assert len(sequences) <= 1.02 * sum(lengths.values()) / packing.CAPACITY + 1
 
 
-def test_sweep_fills_gaps_before_opening_sequences():
-    ranges = packing.sweep({6: 2, 4: 3, 1: 3}, 10)
-    assert max(first + count for _, _, first, count, _ in ranges) == 3
-    assert Counter({6: 2, 4: 3, 1: 3}) == sum((Counter({length: count}) for length, _, _, count, _ in ranges), Counter())
+def best_fit_decreasing(sizes, capacity):
+    gaps: list = []
+    for size in sorted(sizes, reverse=True):
+        k = bisect.bisect_left(gaps, size)
+        free = gaps.pop(k) if k < len(gaps) else capacity
+        bisect.insort(gaps, free - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("high", [100, 60, 7])
+def test_supersteps_pack_as_best_fit(spark, monkeypatch, high):
+    rng = np.random.default_rng(high)
+    sizes = [int(x) for x in rng.integers(1, high + 1, 400)]
+    items = spark.createDataFrame([(k % 3, n) for k, n in enumerate(sizes)], "id int, length long")
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    rows = packing.pack(items, 100).collect()
+    assert sorted((r.id, r.length) for r in rows) == sorted((k % 3, n) for k, n in enumerate(sizes))
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 100
+    assert len(sequences) <= 1.03 * best_fit_decreasing(sizes, 100) + 1
+
+
+def test_leftovers_of_ranges_meet_as_brackets():
+    # documents left per range, then gaps left per range: gaps take the nearest documents below
+    assert packing._between_ranges({0: 3, 1: 1}, {1: 1, 2: 2}) == [(1, 0, 0, 0, 1), (2, 0, 1, 0, 1), (2, 1, 0, 1, 1)]
 
 
 def test_tokens(docs, odd, texts):
@@ -204,21 +232,22 @@ def test_mixing_odd_rows(odd):
 def test_language_model(odd):
     want = {k * 7: t or "" for k, t in enumerate(ODD)}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in want}
-    counts = [defaultdict(Counter) for _ in range(4)]
+    deep = lm.ORDER
+    counts = [defaultdict(Counter) for _ in range(deep + 1)]
     words = Counter()
     for d, t in want.items():
         if not held[d]:
-            b = b"\0\0\0" + t.encode() + b"\0"
-            for i in range(3, len(b)):
-                for order in range(4):
+            b = b"\0" * deep + t.encode() + b"\0"
+            for i in range(deep, len(b)):
+                for order in range(deep + 1):
                     counts[order][b[i - order : i]][b[i]] += 1
             words.update([*WORD.findall(ascii_lower(t)), None])
     for r in lm.op7(odd).collect():
-        b = b"\0\0\0" + want[r.doc_id].encode() + b"\0"
+        b = b"\0" * deep + want[r.doc_id].encode() + b"\0"
         total = 0.0
-        for i in range(3, len(b)):
+        for i in range(deep, len(b)):
             out: set = set()
-            for order in (3, 2, 1, 0):
+            for order in range(deep, -1, -1):
                 live = {k: v for k, v in counts[order].get(b[i - order : i], {}).items() if k not in out}
                 if not live:
                     continue
@@ -264,6 +293,34 @@ def test_line_field(spark, odd, labels):
     assert all(0 <= r.score <= 1 for r in crf.op9(odd, labels).collect())
 
 
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(3)
+    sizes, trans = np.array([3, 0, 1, 4]), rng.normal(size=(2, 2))
+    scores = rng.normal(size=sizes.sum())
+    got, pairs = crf.marginals(scores, sizes, trans)
+    at, want, want_pairs = 0, [], np.zeros((2, 2))
+    for n in sizes:
+        s = scores[at : at + n]
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        w = np.array([np.exp(sum(s[k] * y for k, y in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+        w /= w.sum()
+        want += [sum(x for p, x in zip(paths, w) if p[k]) for k in range(n)]
+        for p, x in zip(paths, w):
+            for a, b in zip(p, p[1:]):
+                want_pairs[a, b] += x
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    texts = ["ab" * 40, "", "abcde", "x" * 21, "The the THE end"]
+    group = pa.table({"block": pa.array([0] * 5, pa.int64()), "text": texts, "held_out": [False, False, True, False, True]})
+    one = lm._features(group)
+    monkeypatch.setattr(lm, "COUNT_KEYS", 7)
+    assert one.sort_by("key").equals(lm._features(group).sort_by("key"))
+    assert sum(n for n, k in zip(one.column("n").to_pylist(), one.column("kind").to_pylist()) if k == lm.GRAM) == 80 + 1 + 1 + 21 + 1
+
+
 def test_training_order(docs, texts):
     rows = training_order.op10(docs).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))

@@ -1,7 +1,7 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line is good or bad; its features are its own, and those of the lines before and after it. The
-field is fitted on at most LABEL_ROWS labelled training documents, whose lines all take the
+field is fitted on at most LABEL_ROWS labelled training documents of at most LABEL_BYTES together, whose lines all take the
 document's label; everything is scored by forward-backward marginals, averaged over the lines by
 their length and calibrated on the same rows.
 """
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, SubstringHashes, keyed_texts
 
 LABEL_ROWS, FOLDS, HELD_OUT, STEPS, RATE, RIDGE, CUT = 6000, 5, 0, 200, 0.1, 1e-3, 0.3
+LABEL_BYTES, BATCH_LINES = 64 << 20, 50_000
 OWN = 12
 
 
@@ -153,7 +154,7 @@ def _held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model from at most LABEL_ROWS labelled documents outside the held-out fold, picked by hash; without any, one that says 0.5."""
+    """The model from at most LABEL_ROWS labelled documents outside the held-out fold, the first by hash, up to LABEL_BYTES of text; without any, one that says 0.5."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(LABEL_ROWS)
 
@@ -162,7 +163,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             got = [line_features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([c.astype("<f8").tobytes() for _, c in got], pa.binary()), b.column("quality").cast(pa.int32())], names=["x", "chars", "quality"])
 
-    rows = keyed_texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(lines, "x binary, chars binary, quality int").collect()
+    texts = keyed_texts(docs).withColumn("order", F.xxhash64("doc_id", F.lit(9)))
+    sized = texts.join(F.broadcast(known), "doc_id").select("doc_id", "order", F.octet_length("text").alias("n"))
+    before = F.sum("n").over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over at most LABEL_ROWS documents
+    few = sized.groupBy("doc_id", "order").agg(F.sum("n").alias("n")).select("doc_id", before.alias("so_far")).filter(F.col("so_far") <= LABEL_BYTES)
+    known = known.join(F.broadcast(few), "doc_id").select("doc_id", "quality")
+    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(lines, "x binary, chars binary, quality int").collect()
     x = [np.frombuffer(r.x, "<f4").reshape(-1, 3 * OWN) for r in rows]
     if not rows:
         return {"w": np.zeros(3 * OWN), "trans": np.zeros((2, 2)), "prior": 0.5, "a": 1.0, "b": 0.0}
@@ -170,18 +176,23 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score): null, empty and blank texts get the labels' mean; repeated rows stay repeated; other columns are ignored."""
+    """(doc_id, held_out, score): null, empty and blank texts get the labels' mean; texts of any length are read whole, about BATCH_LINES lines at a time; repeated rows and null doc_ids stay as they are; an empty table gives none; other columns are ignored."""
     model = train(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                got = [line_features(t.as_py()) for t in part.column("text")]
+            first, lines, got = 0, 0, []
+            for k, t in enumerate(b.column("text")):
+                got.append(line_features(t.as_py()))
+                lines += len(got[-1][1])
+                if lines < BATCH_LINES and k + 1 < b.num_rows:
+                    continue
                 sizes = np.array([len(c) for _, c in got])
                 raw = _document_scores(model, np.concatenate([x for x, _ in got]), sizes, np.concatenate([c for _, c in got]))
                 out = np.where(sizes > 0, 1 / (1 + np.exp(-(model["a"] * _logit(raw) + model["b"]))), raw)
+                part = b.slice(first, len(got))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(out)], names=["doc_id", "held_out", "score"])
+                first, lines, got = k + 1, 0, []
 
     return keyed_texts(docs).select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
 

@@ -3,7 +3,7 @@
 Texts are split into pre-tokens in chunks of about CHUNK_BYTES. A chunk gives its distinct
 pre-tokens, numbered, and for every document the (number, frequency) pairs. Over all chunks each
 distinct pre-token is encoded once; its count is joined to the chunks that have it, and the counts
-of a chunk, in the order of their numbers, meet the chunk's documents, where frequency x count is
+of a chunk, packed by their numbers, meet the chunk's documents, where frequency x count is
 summed. So what is shuffled grows with the distinct pre-tokens of a chunk, not with the words.
 """
 
@@ -21,21 +21,27 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, written
 from .tokens import default_tokenizer, encoder
 
-LIMIT, CHUNK_BYTES, CHUNKS_A_SALT = 512, 16 << 20, 1000
+LIMIT, CHUNK_BYTES, CHUNKS_A_SALT, FLUSH_ROWS = 512, 16 << 20, 1000, 2_000_000
 SPLIT = "chunk long, doc_id long, n_bytes long, pairs binary, piece string, number int"
 COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
 
-def _pack(ids: list[int]) -> bytes:
-    """Distinct numbers, in order, as differences, then their frequencies."""
-    number, n = np.unique(np.array(ids, np.uint32), return_counts=True)
-    return zlib.compress(np.r_[np.diff(number, prepend=np.uint32(0)), n].astype("<u4").tobytes(), 1)
+def _planes(numbers: np.ndarray, values: np.ndarray) -> bytes:
+    """Ordered distinct numbers, as differences, and a value for each, byte plane by byte plane."""
+    both = np.r_[np.diff(numbers, prepend=numbers.dtype.type(0)), values].astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpack(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(pairs), "<u4")
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel()
     half = len(both) // 2
-    return np.cumsum(both[:half]), both[half:]
+    return np.cumsum(both[:half], dtype=np.int64), both[half:].astype(np.int64)
+
+
+def _pack(ids: list[int]) -> bytes:
+    """The distinct numbers of a document with their frequencies."""
+    return _planes(*np.unique(np.array(ids, np.uint32), return_counts=True))
 
 
 def _split(path: str, chunk_bytes: int):
@@ -86,8 +92,35 @@ def _encode(path: str):
     return run
 
 
-def _sum(docs: pa.Table, known: pa.Table) -> pa.Table:
-    n = known.column("n").combine_chunks()[0].values.to_numpy() if known.num_rows else np.empty(0, np.int64)
+def _pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, counts): what a task knows of the counts of a chunk's pre-tokens, by number."""
+    held: list = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        chunk, number, n = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((number, chunk))
+        chunk, number, n = chunk[order], number[order].astype(np.uint32), n[order]
+        edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+        packed = [_planes(number[a:z], n[a:z]) for a, z in zip(edge, edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[edge[:-1]]), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(b.column(c).to_numpy() for c in ("chunk", "number", "n")))
+            size += b.num_rows
+        if size >= FLUSH_ROWS:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _sum(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    parts = [_unpack(c.as_py()) for c in counts.column("counts")]
+    n = np.zeros(sum(len(number) for number, _ in parts), np.int64)  # a chunk's numbers are 0, 1, ...
+    for number, value in parts:
+        n[number] = value
     totals = []
     for pairs in docs.column("pairs"):
         number, times = _unpack(pairs.as_py())
@@ -112,8 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, chunk_bytes: int
     pieces = used.select("piece", "salt").distinct()
     known = written(pieces.select("piece").distinct().mapInArrow(_encode(path), "piece string, n long"), "piece-counts", compression="zstd")
     of_chunk = used.join(pieces.join(known, "piece"), ["piece", "salt"]) if chunks >= CHUNKS_A_SALT else used.join(known, "piece")
-    counts = of_chunk.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "n"))), lambda s: s["n"]).alias("n"))
-    counts = written(counts, "chunk-counts", compression="zstd")
+    counts = written(of_chunk.select("chunk", "number", "n").mapInArrow(_pack_counts, "chunk long, counts binary"), "chunk-counts")
     of_docs = split.filter("pairs IS NOT NULL").select("chunk", "doc_id", "n_bytes", "pairs")
     return of_docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_sum, COUNTED)
 
