@@ -122,7 +122,7 @@ def find_best_threshold(scored: DataFrame, metric: str = "f1", max_fpr: float |
     rounded = scored.select(F.round("score", 4).alias("c")).distinct().limit(401).collect()  # 401 at most: more than 400 means quantiles
     candidates = sorted(r.c for r in rounded if r.c is not None)
     if len(rounded) > 400:
-        candidates = sorted(set(scored.agg(F.percentile("score", F.array(*(F.lit(i / 399) for i in range(400))))).first()[0]))
+        candidates = sorted({r.v for r in profile.quantiles(scored.withColumn("_all", F.lit(0)), ["_all"], "score", tuple(i / 399 for i in range(400))).collect()})  # 400 rows at most
     spark = scored.sparkSession
     table = spark.createDataFrame(list(enumerate(candidates, 1)), "bin int, threshold double")
     # the number of candidates at or below a score: distinct scores are fewer than rows

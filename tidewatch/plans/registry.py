@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures, schema
 from ..functions import expressions as ex
 from ..operators import evaluation, flows, labels, profile, samples, windows
+from ..sources.shared import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,19 +203,19 @@ def group_split(spark, sf_dir):
     return samples.group_split(s, 0.2, 0.2, 7)
 
 
-@query("WITH c AS (SELECT CAST(stage_true AS INTEGER) AS stage, count(*) AS n FROM scores_v WHERE stage_true <> 3 GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS k FROM c) SELECT CAST(r.range AS INTEGER) AS stage, round(coalesce(total / (k * n), 1.0), 6) AS weight FROM range(7) r LEFT JOIN c ON c.stage = r.range, t", "scores_v")
+@query("WITH c AS (SELECT CAST(stage_true AS INTEGER) AS stage, count(*) AS n FROM scores_v GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS k FROM c) SELECT CAST(r.range AS INTEGER) AS stage, round(coalesce(total / (k * n), 1.0), 6) AS weight FROM range(8) r LEFT JOIN c ON c.stage = r.range, t", "scores_v")
 def class_weights(spark, sf_dir):
-    s = fixtures.view(spark, sf_dir, "scores_v").filter("stage_true <> 3").select(F.col("stage_true").cast("int").alias("stage"))
-    return rounded(samples.class_weights(s, 7))
+    s = fixtures.view(spark, sf_dir, "scores_v").select(F.col("stage_true").cast("int").alias("stage"))
+    return rounded(samples.class_weights(s, 8))
 
 
-_LONG = "WITH l AS (SELECT CAST(label AS BIGINT) AS capture_id, vec_id AS win, CAST(unnest([0, 1, 2]) AS INTEGER) AS feature, CAST(unnest(embedding[1:3]) AS DOUBLE) AS value FROM embeddings), "
+_LONG = "WITH l AS (SELECT CAST(label AS BIGINT) AS capture_id, vec_id AS win, CAST(unnest(range(len(embedding))) AS INTEGER) AS feature, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings), "
 _STD = _LONG + "f AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s, quantile_cont(value, 0.005) AS a, quantile_cont(value, 0.995) AS b FROM l GROUP BY 1), "
 
 
 def _long(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.col("label").cast("long").alias("capture_id"), F.col("vec_id").alias("window"), F.posexplode(F.slice("embedding", 1, 3)).alias("feature", "v")).select("capture_id", "window", "feature", F.col("v").cast("double").alias("value"))
+    return e.select(F.col("label").cast("long").alias("capture_id"), F.col("vec_id").alias("window"), F.posexplode("embedding").alias("feature", "v")).select("capture_id", "window", "feature", F.col("v").cast("double").alias("value"))
 
 
 _SCALED = _STD + "e AS (SELECT feature, m, s < 1e-8 AS constant, CASE WHEN s < 1e-8 THEN 1.0 ELSE s END AS sc, a, b FROM f) "
@@ -241,7 +242,7 @@ def fit_profile(spark, sf_dir):
 )
 def assess_novelty(spark, sf_dir):
     long = _long(spark, sf_dir)
-    return rounded(profile.assess_novelty(long, profile.fit_standardiser(long)), 5)
+    return rounded(profile.assess_novelty(long, materialised(profile.fit_standardiser(long), "standardiser")), 5)
 
 
 def _scores(spark, sf_dir):
@@ -300,4 +301,4 @@ def peak_window(spark, sf_dir):
     return rounded(labels.peak_window(_windowed(spark, sf_dir)))
 
 
-from . import reports, states, studies  # noqa: E402, F401  register their queries
+from . import more, reports, states, studies  # noqa: E402, F401  register their queries

@@ -8,8 +8,9 @@ from .. import fixtures
 from ..functions import expressions as ex
 from ..operators import profile, studies
 from ..sources import flow_files, shared
+from ..sources.shared import materialised
 from ..streaming import live
-from .registry import _EP, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _w, _windowed, query, rounded
+from .registry import _EP, _EPISODES, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _stage_sql, _w, _windowed, query, rounded
 
 
 @query(
@@ -52,9 +53,10 @@ def overlay_timeline(spark, sf_dir):
     return _overlay(spark, sf_dir)[1]
 
 
-@query("SELECT capture_id, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages FROM timeline_v GROUP BY 1", "timeline_v")
+@query(f"SELECT capture_id, array_to_string(list_sort(list(DISTINCT {_stage_sql('label')})), ',') AS stages FROM flows_v GROUP BY 1", "flows_v")
 def group_stages(spark, sf_dir):
-    return studies.group_stages(fixtures.view(spark, sf_dir, "timeline_v")).withColumn("stages", F.array_join("stages", ","))
+    f = fixtures.view(spark, sf_dir, "flows_v").withColumn("stage", ex.stage_from_label(F.col("label")))
+    return studies.group_stages(f).withColumn("stages", F.array_join("stages", ","))
 
 
 @query(_EP + "c AS (SELECT capture_id, count(*) AS n_windows FROM s GROUP BY 1) SELECT capture_id, n_windows, CASE WHEN n_windows < 16 THEN concat('needs 16 windows, has ', n_windows) END AS note FROM c", "scores_v")
@@ -85,7 +87,7 @@ def persistence_forecast(spark, sf_dir):
 )
 def worst_features(spark, sf_dir):
     long = _long(spark, sf_dir)
-    return rounded(studies.worst_features(long, profile.fit_standardiser(long)))
+    return rounded(studies.worst_features(long, materialised(profile.fit_standardiser(long), "standardiser")))
 
 
 @query(
@@ -166,3 +168,28 @@ def stream_history(spark, sf_dir):
 )
 def stream_idle_sessions(spark, sf_dir):
     return live.drain(live.stream_idle_sessions(_stream(spark, sf_dir, "packets_v", "ts_us")), shared.scratch(spark, "stream"))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(
+    _EPISODES.rstrip() + """ x AS (SELECT d.*, e.ep FROM d JOIN e USING (capture_id, conv, rn)), """ + _CLOSED("packets_v", "ts_us") + """, f AS (SELECT capture_id, conv, ep, arg_min(packet_no, (ts_us, packet_no)) AS flow_no, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS total_packets, count(*) FILTER (fwd) AS fwd_packets, CAST(sum(ip_len) AS BIGINT) AS total_bytes, max(ep) OVER (PARTITION BY capture_id, conv) AS last FROM x GROUP BY ALL)
+    SELECT capture_id, flow_no, start_us, end_us, total_packets, fwd_packets, total_bytes FROM f, m WHERE end_us + 120000000 < mark""",
+    "packets_v",
+)
+def stream_flows(spark, sf_dir):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        out = live.drain(live.stream_flows(_stream(spark, sf_dir, "packets_v", "ts_us")), shared.scratch(spark, "stream"))
+    finally:
+        if before:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    mark = spark.read.parquet(f"{sf_dir}/events.parquet")
+    end = fixtures.over(spark, "packets_v", mark).agg((F.floor(F.max("ts_us") / 1000) * 1000 - 60_000_000).alias("mark"))
+    # flows that a packet has closed may come out before their idle gap has passed: only those past it are the same however the stream is cut
+    rows = out.crossJoin(F.broadcast(end)).filter(F.col("end_us") + 120_000_000 < F.col("mark"))
+    return rows.select("capture_id", "flow_no", "start_us", "end_us", "total_packets", "fwd_packets", "total_bytes")

@@ -149,6 +149,11 @@ def _colons(data: Column, at: int) -> Column:
     return F.concat_ws(":", *(F.lower(F.hex(_number(data, at + k, 2))) for k in range(0, 16, 2)))
 
 
+def _step(rows: DataFrame, kept: list[str], *made: Column) -> DataFrame:
+    """``kept`` and the columns made from a row, computed once: a generator keeps them from being written out wherever they are used."""
+    return rows.select(*kept, F.inline(F.array(F.struct(*made))))
+
+
 def decode_frames(frames: DataFrame) -> DataFrame:
     """``frames`` (linktype, frame and any others) with the packet's columns in place of the two.
 
@@ -163,7 +168,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     kind = kind.when(link.isin(*RAW), F.when(version == 4, IPV4).when(version == 6, IPV6)).otherwise(F.raise_error(F.concat(F.lit("unsupported link type "), link.cast("string"))))
     skip = F.when(link == ETHERNET, F.when(two, 22).when(one, 18).otherwise(14)).when(link == SLL, 16).when(link == SLL2, 20).otherwise(0)
     rest = [c for c in frames.columns if c not in ("linktype", "frame", "error")]
-    rows = frames.filter(frame.isNotNull()).select(*rest, F.length(frame).cast("long").alias("frame_len"), kind.alias("_kind"), F.substring(frame, skip + 1, F.length(frame)).alias("_ip"))
+    rows = _step(frames.filter(frame.isNotNull()), rest, F.length(frame).cast("long").alias("frame_len"), kind.alias("_kind"), F.substring(frame, skip + 1, F.length(frame)).alias("_ip"))
     ip = F.col("_ip")
     six = F.col("_kind") == IPV6
     size, lead = F.length(ip), _number(ip, 0, 1)
@@ -173,8 +178,8 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     stated, part = _number(ip, 2, 2), _number(ip, 6, 2)
     length = F.when(six, _number(ip, 4, 2) + 40).when(stated > 0, stated).otherwise(size)
     zero = lambda c: F.when(six, 0).otherwise(c)
-    rows = rows.select(
-        *rest, "frame_len", F.substring(ip, ihl + 1, size).alias("_l4"), ihl.cast("int").alias("ihl"), length.cast("long").alias("ip_len"),
+    rows = _step(
+        rows, [*rest, "frame_len"], F.substring(ip, ihl + 1, size).alias("_l4"), ihl.cast("int").alias("ihl"), length.cast("long").alias("ip_len"),
         F.when(six, _colons(ip, 8)).otherwise(_dotted(ip, 12)).alias("src_ip"), F.when(six, _colons(ip, 24)).otherwise(_dotted(ip, 16)).alias("dst_ip"),
         F.when(six, _number(ip, 6, 1)).otherwise(_number(ip, 9, 1)).cast("int").alias("protocol"), F.when(six, _number(ip, 7, 1)).otherwise(_number(ip, 8, 1)).cast("int").alias("ip_ttl"),
         zero(_number(ip, 4, 2)).cast("int").alias("ip_id"), zero(F.shiftright(part, 13)).cast("int").alias("ip_flags"), zero(part.bitwiseAND(0x1FFF)).cast("int").alias("frag_offset"),

@@ -6,10 +6,17 @@ Rows older than the watermark are dropped, and Spark's query progress tells how
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.flows import CONVERSATION, canonical_key
+from ..schema import ACTIVE_US, HISTORY_US, IDLE_US, TCP
+
 DELAY = "60 seconds"
 
 
@@ -52,10 +59,113 @@ def drain(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def alert_batches(flows: DataFrame, score, path: str, progress: str):
-    """Each micro-batch of flows through ``score`` (DataFrame to DataFrame with capture_id, window), kept by batch number, so that a replayed batch replaces its own rows."""
+FLOW_ROW = "capture_id long, ip_a long, port_a int, ip_b long, port_b int, protocol int, src_ip string, dst_ip string, src_port int, dst_port int, flow_no long, start_us long, end_us long, total_packets long, fwd_packets long, total_bytes long, fwd_bytes long, syn_count long, rst_count long, ack_count long"
+PACKET_STATE = "packet_no long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, ip_len long, tcp_flags int"
+OPEN_FLOW = "src_ip string, dst_ip string, src_port int, dst_port int, flow_no long, start_us long, end_us long, fin_fwd boolean, fin_bwd boolean, grace boolean, closed boolean, total_packets long, fwd_packets long, total_bytes long, fwd_bytes long, syn_count long, rst_count long, ack_count long"
+
+
+class FlowProcessor(StatefulProcessor):
+    """Flows of one conversation: packets wait until the watermark has passed them, then go through the lifetime rules in time order.
+
+    What is kept is the conversation's first sender, the packets that wait and the counts of the open
+    flow. A flow is given out when a packet closes it or the watermark passes its idle gap.
+    """
+
+    def __init__(self, idle_us: int, active_us: int, close_on_teardown: bool):
+        self.idle_us, self.active_us, self.teardown = idle_us, active_us, close_on_teardown
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "src_ip string, src_port int")
+        self.waiting = handle.getListState("waiting", PACKET_STATE)
+        self.open = handle.getValueState("open", OPEN_FLOW)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        names = [c.split()[0] for c in PACKET_STATE.split(", ")]
+        fresh = [tuple(r) for frame in rows for r in frame[names].astype(object).itertuples(index=False)]
+        waiting = [tuple(r) for r in self.waiting.get()] + [tuple(int(v) if hasattr(v, "item") else v for v in r) for r in fresh]
+        yield from self._advance(key, waiting, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from self._advance(key, [tuple(r) for r in self.waiting.get()], timerValues)
+
+    def _advance(self, key, waiting, timers):
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        ready = sorted((r for r in waiting if r[1] < mark), key=lambda r: (r[1], r[0]))
+        later = [r for r in waiting if r[1] >= mark]
+        flow = dict(zip([c.split()[0] for c in OPEN_FLOW.split(", ")], self.open.get())) if self.open.exists() else None
+        tcp, done = key[5] == TCP, []
+        for no, ts, src, dst, sport, dport, size, flags in ready:
+            if not self.first.exists():
+                self.first.update((src, sport))
+            fwd = (src, sport) == tuple(self.first.get())
+            if flow and (flow["closed"] or ts - flow["end_us"] > self.idle_us or ts - flow["start_us"] > self.active_us):
+                done.append(flow)
+                flow = None
+            if flow is None:
+                flow = dict(src_ip=src, dst_ip=dst, src_port=sport, dst_port=dport, flow_no=no, start_us=ts, fin_fwd=False, fin_bwd=False, grace=False, closed=False, total_packets=0, fwd_packets=0, total_bytes=0, fwd_bytes=0, syn_count=0, rst_count=0, ack_count=0)
+            rst = self.teardown and tcp and bool(flags & 4)
+            fin = self.teardown and tcp and bool(flags & 1) and not rst
+            flow["fin_fwd"], flow["fin_bwd"] = flow["fin_fwd"] or (fin and fwd), flow["fin_bwd"] or (fin and not fwd)
+            flow["closed"] = flow["closed"] or flow["grace"] or rst
+            flow["grace"] = flow["grace"] or (fin and flow["fin_fwd"] and flow["fin_bwd"])
+            flow["end_us"] = ts
+            for name, one in (("total_packets", 1), ("fwd_packets", int(fwd)), ("total_bytes", size), ("fwd_bytes", size if fwd else 0), ("syn_count", flags >> 1 & 1), ("rst_count", flags >> 2 & 1), ("ack_count", flags >> 4 & 1)):
+                flow[name] += one
+        if flow and (flow["closed"] or flow["end_us"] + self.idle_us < mark):
+            done.append(flow)
+            flow = None
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        if flow:
+            self.open.update(tuple(flow[c.split()[0]] for c in OPEN_FLOW.split(", ")))
+        else:
+            self.open.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if later or flow:
+            due = min([r[1] for r in later] + ([flow["end_us"] + self.idle_us] if flow else []))
+            self.handle.registerTimer(max(due // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
+        if done:
+            names = [c.split()[0] for c in FLOW_ROW.split(", ")][6:]
+            yield pd.DataFrame([(*key, *(f[n] for n in names)) for f in done], columns=[c.split()[0] for c in FLOW_ROW.split(", ")])
+
+
+def stream_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
+    """Flows of an unbounded packet stream by the batch rules, with state per conversation; ``packets`` carries a watermark on ts.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Packets older
+    than the watermark are dropped by Spark and counted in its progress.
+    """
+    keyed = canonical_key(packets).select(*(F.col(c).cast(t).alias(c) for c, t in zip(CONVERSATION, ("long", "long", "int", "long", "int", "int"))), *(F.col(c).cast(t).alias(c) for c, t in (f.split() for f in PACKET_STATE.split(", "))), "ts")
+    return keyed.groupBy(*CONVERSATION).transformWithStateInPandas(FlowProcessor(idle_us, active_us, close_on_teardown), outputStructType=FLOW_ROW, outputMode="Append", timeMode="EventTime")
+
+
+def heartbeat(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """``rows`` observed under ``name``: rows and bytes seen and the latest time, told with the progress of every batch."""
+    return rows.observe(name, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.max("ts").alias("latest"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query has dropped because they were older than the watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in json.loads(p.json if isinstance(p.json, str) else p.json()).get("stateOperators", []))
+
+
+def alert_batches(flows: DataFrame, score, path: str, progress: str, history_us: int = HISTORY_US):
+    """Each micro-batch through ``score`` (DataFrame of flows to one with capture_id, window) together with the trailing history.
+
+    Flows are kept by batch number under ``path``/flows; a batch is scored with all kept flows of its
+    captures that start within ``history_us`` before its first, and what comes out stands under its
+    number in ``path``/scores, so that a replayed batch replaces its own rows.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/flows/batch={number}")
+        kept = spark.read.parquet(f"{path}/flows").filter(F.col("batch") <= number)
+        since = kept.filter(F.col("batch") == number).groupBy("capture_id").agg((F.min("start_us") - history_us).alias("_since"))
+        trailing = kept.join(since, "capture_id").filter("start_us >= _since").drop("_since", "batch")
+        score(trailing).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
 
     return flows.writeStream.foreachBatch(sink).option("checkpointLocation", progress)
