@@ -402,7 +402,8 @@ def hazard_features(samples: DataFrame, profile: dict[str, list[float]]) -> Data
     rows = samples.withColumn("_z", F.transform("context", rel))
     zero = F.transform(F.element_at("_z", 1), lambda x: x * 0.0)
     smooth = F.aggregate("_z", zero, lambda a, row: F.zip_with(a, row, lambda p, q: 0.5 * q + 0.5 * p))
-    top = F.aggregate(F.slice("_z", -3, 3), F.element_at(F.slice("_z", -3, 3), 1), lambda a, row: F.zip_with(a, row, lambda p, q: F.greatest(p, q)))
+    recent = F.slice("_z", F.greatest(F.size("_z") - 2, F.lit(1)), 3)
+    top = F.aggregate(recent, F.element_at(recent, 1), lambda a, row: F.zip_with(a, row, lambda p, q: F.greatest(p, q)))
     last = F.element_at("_z", -1)
     back = F.element_at("_z", -F.least(F.lit(8), F.size("_z")))
     rows = rows.withColumns({"_last": last, "_smooth": smooth, "_top": top, "_slope": F.zip_with(last, back, lambda p, q: p - q)})
@@ -418,11 +419,11 @@ def fit_hazard(train: DataFrame, profile: dict[str, list[float]], rounds: int =
     if len(counts) < 2:
         raise ValueError("hazard needs both labels")
     rows = hazard_features(train, profile).withColumn("weight", _balanced("label", counts))
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, seed=seed, probabilityCol="p", predictionCol="q", rawPredictionCol="r").fit(rows)
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, seed=seed).fit(rows)
 
 
 def hazard_score(samples: DataFrame, model, profile: dict[str, list[float]]) -> DataFrame:
-    return model.transform(hazard_features(samples, profile)).withColumn("score", F.get(vector_to_array("p"), F.lit(1))).drop("p", "q", "r", "features")
+    return model.transform(hazard_features(samples, profile)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "prediction", "rawPrediction", "features")
 
 
 def calibrate(scored: DataFrame):

@@ -174,7 +174,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @query(
-    _EPISODES.rstrip() + """ x AS (SELECT d.*, e.ep FROM d JOIN e USING (capture_id, conv, rn)), """ + _CLOSED("packets_v", "ts_us") + """, f AS (SELECT capture_id, conv, ep, arg_min(packet_no, (ts_us, packet_no)) AS flow_no, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS total_packets, count(*) FILTER (fwd) AS fwd_packets, CAST(sum(ip_len) AS BIGINT) AS total_bytes, max(ep) OVER (PARTITION BY capture_id, conv) AS last FROM x GROUP BY ALL)
+    _EPISODES.rstrip() + """ x AS (SELECT d.*, e.ep FROM d JOIN e USING (capture_id, conv, rn)), """ + _CLOSED("packets_v", "ts_us") + """, f AS (SELECT capture_id, conv, ep, arg_min(packet_no, (ts_us, packet_no)) AS flow_no, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS total_packets, count(*) FILTER (fwd) AS fwd_packets, CAST(sum(ip_len) AS BIGINT) AS total_bytes FROM x GROUP BY capture_id, conv, ep)
     SELECT capture_id, flow_no, start_us, end_us, total_packets, fwd_packets, total_bytes FROM f, m WHERE end_us + 120000000 < mark""",
     "packets_v",
 )
