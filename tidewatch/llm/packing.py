@@ -121,7 +121,7 @@ def _sweep(docs: DataFrame, gaps: DataFrame, slots: Column, rows: int) -> tuple[
     both = docs.select("size", F.lit(0).alias("kind"), F.col("item").alias("id"), empty.cast("int").alias("slot"), empty.cast("long").alias("free")).unionByName(gaps)
     order = ["size", "kind", F.xxhash64("id", "slot")]
     ranges = max(1, -(-rows // RANGE_ROWS))
-    dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)
+    dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.repartition(1)  # a shuffle: a merged scan would hold all its readers open
     swept = written(dealt.sortWithinPartitions(*order, "id", "slot").mapInArrow(_match, SWEPT_SQL), "pack-sweep")
     tally = swept.groupBy("part", "state").agg(F.count("*").alias("n"), F.min("size").alias("least")).collect()  # three rows a range
     count = lambda state: {r.part: r.n for r in tally if r.state == state}
