@@ -51,6 +51,19 @@ def stage_metrics(pairs: DataFrame, n_classes: int) -> DataFrame:
     return g.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def confusion_matrix(pairs: DataFrame) -> DataFrame:
+    """(stage_true, stage_pred, n), pairs that occur."""
+    return pairs.groupBy("stage_true", "stage_pred").agg(F.count("*").alias("n"))
+
+
+def stage_summary(pairs: DataFrame, n_classes: int) -> DataFrame:
+    """Accuracy, and F1 over the classes that occur, plain and by support."""
+    m = stage_metrics(pairs, n_classes)
+    right = F.avg((F.col("stage_true") == F.col("stage_pred")).cast("double"))
+    of = m.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
+    return pairs.agg(F.count("*").alias("n"), right.alias("accuracy")).crossJoin(of)  # one row each
+
+
 def event_stats(onsets: DataFrame, threshold: float, window_s: float = 30.0) -> DataFrame:
     """Per capture: events, events warned of, median lead seconds; ``onsets`` has capture_id, onset, steps_to_onset, score."""
     warned = F.max(F.when(F.col("score") >= threshold, F.col("steps_to_onset")))

@@ -161,3 +161,26 @@ def serialise_result(windows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One JSON timeline per capture, in window order."""
     row = F.struct("window", *columns)
     return windows.groupBy("capture_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("timeline"))
+
+
+def serialise_analysis(headlines: DataFrame, timeline: DataFrame, flagged: DataFrame, novelty: DataFrame | None = None, forecast: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """(capture_id, result): one JSON object per capture with its headline, and its timeline, flagged flows, novelty, forecast and notes in order.
+
+    ``headlines`` has a row per capture; the others as many as there are, and a capture without any
+    has an empty list. A capture's rows meet in one task: they are windows and top flows, not packets.
+    """
+    out = headlines
+    parts = {"timeline": (timeline, "window"), "flagged_flows": (flagged, "place"), "novelty": (novelty, None), "forecast": (forecast, "step"), "notes": (notes, None)}
+    for name, (rows, first) in parts.items():
+        if rows is None:
+            continue
+        columns = [c for c in rows.columns if c != "capture_id"]
+        columns = [first, *(c for c in columns if c != first)] if first else columns
+        listed = rows.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(listed, "capture_id", "left").withColumn(name, F.coalesce(name, F.array()))
+    return out.select("capture_id", F.to_json(F.struct(*(c for c in out.columns if c != "capture_id"))).alias("result"))
+
+
+def long_view(states: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """(capture_id, window, feature, value) of the named features."""
+    return states.unpivot(["capture_id", "window"], list(features), "feature", "value")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from .. import fixtures, schema
 from ..functions import expressions as ex
 from ..functions import words
-from ..operators import attribution, labels, models, profile, protocol, samples, studies
+from ..operators import attribution, evaluation, labels, models, profile, protocol, reports, samples, studies, windows
 from ..sources import captures
 from ..sources.shared import materialised
-from .registry import _LONG, _SCALED, _SEQ, _TL, W, _long, _onsets, _scores, _sequences, _timeline, _w, query, rounded, steady
-from .states import states_of_packets
+from .registry import _LONG, _SCALED, _SEQ, _TL, STEADY, W, _long, _onsets, _scores, _sequences, _timeline, _w, query, rounded, steady
+from .states import STATES, flows_of_packets, states_of_packets
 
 _V = "capture_id, win AS \"window\""
 
@@ -274,3 +274,44 @@ def evaluate_forecaster(spark, sf_dir):
 @query("WITH s AS (SELECT * FROM scores_v WHERE y = 0) SELECT count(*) AS windows, count(*) FILTER (score_milli >= 950) AS alerts FROM s", "scores_v")
 def false_alarm_counts(spark, sf_dir):
     return protocol.false_alarm_bound(_scores(spark, sf_dir).filter("y = 0"), 0.95, 2.0).select("windows", "alerts")
+
+
+_PRE = " UNION ALL ".join(f"SELECT capture_id, win, '{c}' AS feature, {c} AS value FROM st" for c in schema.PRECURSOR_FEATURES)
+
+
+@query(
+    f"""{STATES}, lg AS ({_PRE}), ms AS (SELECT feature, avg(value) AS m, stddev_pop(value) + 1e-6 AS s FROM lg WHERE capture_id = 0 GROUP BY 1),
+    ct AS (SELECT capture_id, win, list((value - ms.m) / ms.s) OVER (PARTITION BY capture_id, lg.feature ORDER BY win ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS x FROM lg JOIN ms USING (feature)),
+    ew AS (SELECT capture_id, win, list_reduce(list_prepend(0.0::DOUBLE, x), lambda a, v: 0.5::DOUBLE * v + 0.5::DOUBLE * a) AS score FROM ct WHERE len(x) = 16)
+    SELECT {_V}, {STEADY('max(score)')} AS score FROM ew GROUP BY 1, 2""",
+    "packets_v",
+)
+def cusum_precursors(spark, sf_dir):
+    long = studies.long_view(materialised(states_of_packets(spark, sf_dir), "states"), schema.PRECURSOR_FEATURES)
+    return steady(reports.cusum_score(long, long.filter("capture_id = 0")))
+
+
+@query("SELECT stage_true, stage_pred, count(*) AS n FROM scores_v GROUP BY 1, 2", "scores_v")
+def confusion_matrix(spark, sf_dir):
+    return evaluation.confusion_matrix(fixtures.view(spark, sf_dir, "scores_v"))
+
+
+@query(
+    """WITH a AS (SELECT stage_true AS stage, count(*) AS support, count(*) FILTER (stage_pred = stage_true) AS ok FROM scores_v GROUP BY 1), b AS (SELECT stage_pred AS stage, count(*) AS predicted FROM scores_v GROUP BY 1),
+    m AS (SELECT coalesce(support, 0) AS support, CASE WHEN coalesce(ok, 0) = 0 THEN 0 ELSE 2 * ok / (support + predicted) END AS f1, coalesce(ok, 0) AS ok FROM a FULL JOIN b USING (stage))
+    SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(ok) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM m""",
+    "scores_v",
+)
+def stage_summary(spark, sf_dir):
+    return rounded(evaluation.stage_summary(fixtures.view(spark, sf_dir, "scores_v"), 7))
+
+
+@query()
+def analysis_result(spark, sf_dir):
+    flows_ = materialised(flows_of_packets(spark, sf_dir), "flows")
+    s = materialised(windows.build_states(flows_), "states")
+    stage = F.element_at(F.array(*map(F.lit, schema.STAGES)), ((F.col("window") * 5 + F.col("capture_id")) % 7 + 1).cast("int"))
+    v = materialised(labels.score_timeline(s.select("capture_id", "window", (F.col("window") * 37 % 101 / 100).alias("probability"), stage.alias("stage")), s), "verdicts")
+    peaks = labels.peaks(v)
+    flagged = studies.flagged_flows(windows.assign_windows(flows_), peaks).select("capture_id", "place", "flow_id", "total_packets", "total_bytes", "score")
+    return studies.serialise_analysis(labels.headline(v).join(peaks, "capture_id"), v, flagged)
