@@ -1,4 +1,4 @@
-"""Language-model scores by prediction by partial matching over byte contexts (order 5, escape method C).
+"""Language-model scores by prediction by partial matching over byte contexts (order 4, escape method C).
 
 Counts of (ORDER bytes, next byte) in the training texts make a context trie: shorter contexts are
 sums over longer ones. A byte not seen in its context escapes to the next shorter one, where the
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SubstringHashes, keyed_texts, shuffle_partitions, written
 
-BLOCK_BYTES, TRAIN_FOLDS, HELD_OUT = 64 << 20, 5, 1
-ORDER, COUNT_KEYS = 5, 1 << 21
+BLOCK_BYTES, TRAIN_FOLDS, HELD_OUT = 32 << 20, 5, 1
+ORDER, COUNT_KEYS = 4, 1 << 21
 WORD, GRAM = 0, 1
 END_WORD = -1
 
