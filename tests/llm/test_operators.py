@@ -251,11 +251,11 @@ def test_language_model(odd):
                 live = {k: v for k, v in counts[order].get(b[i - order : i], {}).items() if k not in out}
                 if not live:
                     continue
-                n = sum(live.values()) + len(live)
+                n = sum(live.values())
                 if b[i] in live:
-                    total += math.log10(live[b[i]] / n)
+                    total += math.log10((live[b[i]] - 0.5) / n)
                     break
-                total += math.log10(len(live) / n)
+                total += math.log10(0.5 * len(live) / n)
                 out |= set(live)
             else:
                 total -= math.log10(256 - len(out))

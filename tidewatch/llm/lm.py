@@ -1,4 +1,4 @@
-"""Language-model scores by prediction by partial matching over byte contexts (order 4, escape method C).
+"""Language-model scores by prediction by partial matching over byte contexts (order 4, escape method D).
 
 Counts of (ORDER bytes, next byte) in the training texts make a context trie: shorter contexts are
 sums over longer ones. A byte not seen in its context escapes to the next shorter one, where the
@@ -132,8 +132,8 @@ def gram_log10(counts: DataFrame) -> DataFrame:
         total, kinds = F.col(f"total{order}"), F.col(f"kinds{order}")
         if order < ORDER:
             total, kinds = total - F.coalesce(f"inside{order + 1}", F.lit(0)), kinds - F.coalesce(f"kinds{order + 1}", F.lit(0))
-        escape = F.when(F.coalesce(kinds, F.lit(0)) > 0, F.log10(kinds / (total + kinds))).otherwise(0.0)
-        return F.when(F.col(f"n{order}") > 0, F.log10(F.col(f"n{order}") / (total + kinds))).otherwise(escape + code(order - 1))
+        escape = F.when(F.coalesce(kinds, F.lit(0)) > 0, F.log10(0.5 * kinds / total)).otherwise(0.0)
+        return F.when(F.col(f"n{order}") > 0, F.log10((F.col(f"n{order}") - 0.5) / total)).otherwise(escape + code(order - 1))
 
     return rows.select(F.col(f"k{ORDER}").alias("key"), code(ORDER).alias("value"))
 
