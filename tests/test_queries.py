@@ -3,7 +3,9 @@
 import compare
 import pytest
 
-from tidewatch.plans import registry
+from tidewatch.operators import windows
+from tidewatch.plans import more, registry, states
+from tidewatch.sources.shared import materialised
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,6 +15,18 @@ def con():
     return compare.connection(SF)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def composed_once(spark):
+    """Many queries start from the packets' flows or states: the operators make both once, and these are read again."""
+    flows = materialised(states.flows_of_packets(spark, SF), "flows")
+    made = materialised(windows.build_states(flows), "states")
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (states, more):
+            patch.setattr(module, "flows_of_packets", lambda spark, sf_dir: flows)
+            patch.setattr(module, "states_of_packets", lambda spark, sf_dir: made)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     frame = registry.QUERIES[name](spark, SF).toPandas()
