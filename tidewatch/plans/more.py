@@ -60,13 +60,13 @@ def label_source(spark, sf_dir):
     return labels.label_source(_timeline(spark, sf_dir).withColumn("valid", F.lit(True)), False, False).select("capture_id", "window", "stage", "valid", "label_source")
 
 
-_HOLD = "WITH c AS (SELECT capture_id, bool_or(stage_true = 3 AND t % 97 = 0) AS held FROM scores_v GROUP BY 1), r AS (SELECT capture_id, row_number() OVER (ORDER BY md5(concat('1337|', capture_id)), capture_id) AS i, count(*) OVER () AS n FROM c WHERE NOT held) "
+_HOLD = "WITH c AS (SELECT capture_id, capture_id % 3 = 0 AND bool_or(stage_true = 3) AS held FROM scores_v GROUP BY 1), r AS (SELECT capture_id, row_number() OVER (ORDER BY md5(concat('1337|', capture_id)), capture_id) AS i, count(*) OVER () AS n FROM c WHERE NOT held) "
 
 
 @query(_HOLD + "SELECT capture_id, 'test' AS split FROM c WHERE held UNION ALL SELECT capture_id, CASE WHEN i <= greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END FROM r", "scores_v")
 def holdout_split(spark, sf_dir):
     s = fixtures.view(spark, sf_dir, "scores_v")
-    stages = s.filter("stage_true = 3 AND t % 97 = 0").select("capture_id", F.lit("LateralMovement").alias("stage"))
+    stages = s.filter("stage_true = 3 AND capture_id % 3 = 0").select("capture_id", F.lit("LateralMovement").alias("stage"))
     return samples.holdout_split(s.select("capture_id").distinct(), stages, "LateralMovement")
 
 
