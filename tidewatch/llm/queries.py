@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, fingerprints, lm, minhash, mixing, packing, rules, suffix_dedup, token_counts, training_order
+from . import crf, fingerprints, lm, minhash, mixing, packing, periodic_runs, rules, suffix_dedup, token_counts, training_order
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,4 +32,5 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": _with_labels(rules.op8),
         "op9_line_crf_quality": _with_labels(crf.op9),
         "op10_training_order": _over_documents(training_order.op10),
+        "op13_periodic_runs": _over_documents(periodic_runs.op13),
     }
