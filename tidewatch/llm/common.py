@@ -172,3 +172,37 @@ class SubstringHashes:
         with np.errstate(over="ignore"):
             np.cumsum(_byte_values().take(self.bytes) * up[: self.n], out=sums[1:])
             return (sums[length:] - sums[: self.n + 1 - length]) * down[: self.n + 1 - length]
+
+
+# --- bounded samples of labelled documents ---------------------------------------------------------
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, rows: int, size: int, sized: Column | None = None, balanced: bool = False) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(text, label) of labelled documents for which ``training``, a condition on doc_id, holds, and the number of all such labels by class.
+
+    At most ``rows`` documents and ``size`` in ``sized`` (a column over text; its bytes by default), in
+    the order of a hash; ``balanced`` gives the labels 0 and 1 a half of both each. A document that no
+    longer fits is passed over, so one long document costs itself alone. Of several labels of a
+    doc_id the smallest counts, of several texts the smallest.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(training)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    order = F.xxhash64("doc_id", F.lit(9))
+    if balanced:
+        half = lambda c: known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(rows // 2)
+        few, left = half(0).unionByName(half(1)), {0: size // 2, 1: size // 2}
+    else:
+        few, left = known.orderBy(order, "doc_id").limit(rows), {None: size}
+    texts = keyed_texts(docs)
+    measure = F.octet_length("text") if sized is None else sized
+    sizes = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.max(measure).alias("size")).select("doc_id", "label", "size", order.alias("order")).collect()  # at most ``rows`` rows
+    chosen = []
+    for r in sorted(sizes, key=lambda r: (r.order, r.doc_id)):
+        share = r.label if balanced else None
+        if r.size <= left[share]:
+            left[share] -= r.size
+            chosen.append((r.doc_id, r.label))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(got, key=lambda r: r.doc_id)], counts

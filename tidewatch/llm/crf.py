@@ -1,8 +1,8 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line is good or bad; its features are its own, and those of the lines before and after it. The
-field is fitted on at most LABEL_ROWS labelled training documents of at most LABEL_BYTES together, whose lines all take the
-document's label; everything is scored by forward-backward marginals, averaged over the lines by
+field is fitted on a sample of at most LABEL_ROWS labelled training documents, whose texts and line features take at most
+LABEL_BYTES and whose lines all take the document's label; everything is scored by forward-backward marginals, averaged over the lines by
 their length and calibrated on the same rows.
 """
 
@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SubstringHashes, keyed_texts
+from .common import U64, SubstringHashes, keyed_texts, labelled_sample
 
 LABEL_ROWS, FOLDS, HELD_OUT, STEPS, RATE, RIDGE, CUT = 6000, 5, 0, 200, 0.1, 1e-3, 0.3
-LABEL_BYTES, BATCH_LINES = 64 << 20, 50_000
+LABEL_BYTES, LINE_BYTES, BATCH_LINES = 64 << 20, 8 * 36, 50_000
 OWN = 12
 
 
@@ -154,25 +154,14 @@ def _held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model from at most LABEL_ROWS labelled documents outside the held-out fold, the first by hash, up to LABEL_BYTES of text; without any, one that says 0.5."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(LABEL_ROWS)
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [line_features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([c.astype("<f8").tobytes() for _, c in got], pa.binary()), b.column("quality").cast(pa.int32())], names=["x", "chars", "quality"])
-
-    texts = keyed_texts(docs).withColumn("order", F.xxhash64("doc_id", F.lit(9)))
-    sized = texts.join(F.broadcast(known), "doc_id").select("doc_id", "order", F.octet_length("text").alias("n"))
-    before = F.sum("n").over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over at most LABEL_ROWS documents
-    few = sized.groupBy("doc_id", "order").agg(F.sum("n").alias("n")).select("doc_id", before.alias("so_far")).filter(F.col("so_far") <= LABEL_BYTES)
-    known = known.join(F.broadcast(few), "doc_id").select("doc_id", "quality")
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(lines, "x binary, chars binary, quality int").collect()
-    x = [np.frombuffer(r.x, "<f4").reshape(-1, 3 * OWN) for r in rows]
-    if not rows:
+    """The model from at most LABEL_ROWS labelled documents outside the held-out fold, in the order of a hash, whose texts and line features take up to LABEL_BYTES; a document that does not fit is passed over. Without any, a model that says 0.5."""
+    size = F.octet_length("text") + LINE_BYTES * (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)
+    sample, counts = labelled_sample(docs, labels, "quality", ~_held_out(), LABEL_ROWS, LABEL_BYTES, size)
+    if not sample:
         return {"w": np.zeros(3 * OWN), "trans": np.zeros((2, 2)), "prior": 0.5, "a": 1.0, "b": 0.0}
-    return fit(np.concatenate(x).astype(float), np.array([len(v) for v in x]), np.array([r.quality for r in rows]), np.concatenate([np.frombuffer(r.chars, "<f8") for r in rows]))
+    got = [line_features(text) for text, _ in sample]
+    labelled = np.array([y for _, y in sample])
+    return fit(np.concatenate([x for x, _ in got]), np.array([len(x) for x, _ in got]), labelled, np.concatenate([c for _, c in got]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, fingerprints, lm, minhash, mixing, packing, periodic_runs, rules, suffix_dedup, token_counts, training_order
+from . import crf, fingerprints, lm, minhash, mixing, packing, periodic_runs, rules, suffix_dedup, token_counts, toxicity, training_order, whitening
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,5 +32,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": _with_labels(rules.op8),
         "op9_line_crf_quality": _with_labels(crf.op9),
         "op10_training_order": _over_documents(training_order.op10),
+        "op11_toxic_spans": _with_labels(toxicity.op11),
+        "op12_embedding_whitening": lambda spark, sf_dir: whitening.op12(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op13_periodic_runs": _over_documents(periodic_runs.op13),
     }
