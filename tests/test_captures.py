@@ -1,11 +1,12 @@
 """Capture files written byte by byte, and what is read from them."""
 
+import random
 import struct
 
 import pytest
 
 from tidewatch.operators import flows
-from tidewatch.sources import captures
+from tidewatch.sources import capture_files, captures
 
 
 def ipv4(l4: bytes, proto=6, src=(10, 0, 0, 1), dst=(93, 184, 0, 7), part=0x4000, total=None):
@@ -97,11 +98,123 @@ def test_files_to_flows(spark, tmp_path):
     (tmp_path / "b.pcapng").write_bytes(nextgen(FRAMES))
     (tmp_path / "c.pcap").write_bytes(classic([f]) + struct.pack("<IIII", 1, 1, 1 << 30, 1))
     path = f"file://{tmp_path}"
-    frames = captures.read_frames(spark, path)
+    frames = capture_files.read_frames(spark, path)
     assert sorted(frames.groupBy("capture_id").count().toPandas()["count"]) == [2, 3, 8]
     assert frames.filter("error IS NOT NULL").count() == 1
-    got = captures.read_captures(spark, path)
-    assert got.count() == 10 and captures.read_captures(spark, path, max_packets=1).count() == 3
+    got = capture_files.read_captures(spark, path)
+    assert got.filter("error IS NULL").count() == 10
+    assert [r.error for r in got.filter("error IS NOT NULL").collect()] == [f"a record of {1 << 30} bytes is over the limit of {16 << 20}"]
+    assert capture_files.read_captures(spark, path, "DROPMALFORMED").count() == 10
+    assert capture_files.read_captures(spark, path, max_packets=1).count() == 3
     with pytest.raises(Exception, match="over the limit"):
-        captures.read_captures(spark, path, mode="FAILFAST").count()
-    assert flows.assemble_flows(got).count() > 3
+        capture_files.read_captures(spark, path, mode="FAILFAST").count()
+    with pytest.raises(ValueError, match="mode"):
+        capture_files.read_frames(spark, path, mode="ELSE")
+    assert flows.assemble_flows(got).count() == flows.assemble_flows(capture_files.read_captures(spark, path, "DROPMALFORMED")).count() > 3
+
+
+def nested(rng, order):
+    """Frames of which many hold stretches of another capture's records, some up to their very end."""
+    inner = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    body = classic(inner, order)[24:]
+    out = []
+    for _ in range(40):
+        kind, cut = rng.randrange(4), rng.randint(0, len(body) - 1)
+        payload = [b"", body[cut : cut + rng.randint(0, 1400)], body, nextgen([(1, x) for x in inner], order)[: rng.randint(0, 2000)]][kind]
+        out.append(ETHER + ipv4(tcp(payload=payload)))
+    return out
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_ranges_of_any_size_give_the_same_packets(spark, tmp_path, order):
+    rng = random.Random(order)
+    frames = nested(rng, order)
+    two = nextgen([(rng.choice([1, 101]), f) for f in frames[:20]], order, 9)
+    other = nextgen([(113, f) for f in frames[20:]], "<" if order == ">" else ">", 3)
+    files = {"a.pcap": classic(frames, order), "b.pcap": classic(frames, order, nanos=True)[:-7], "c.pcapng": two + other, "d.pcap": classic(frames[:20], order) + b"\xff" * 40 + classic(frames)[24:], "e.pcap": classic([]), "f.pcap": b"no capture", "h.pcapng": two + other + struct.pack("<III", 6, 14, 0) + other}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    path = f"file://{tmp_path}"
+    want = []
+    for name, data in files.items():
+        packets = []
+        try:
+            for packet in captures.frames_of(data):
+                packets.append(packet)
+            error = None
+        except captures.MalformedCapture as e:
+            error = str(e)
+        want.append((packets, error))
+    assert sum(e is not None for _, e in want) == 3 and len(want[2][0]) == 40 and len(want[3][0]) == 20
+    for size in (1 << 30, 5000, 700):
+        got = {}
+        for r in capture_files.read_frames(spark, path, range_bytes=size).collect():
+            got.setdefault(r.capture_id, {})[r.packet_no] = (r.ts_us, r.linktype, r.frame, r.error)
+        found = []
+        for rows in got.values():
+            error = rows.pop(None, (None,) * 4)[3]
+            assert sorted(rows) == list(range(len(rows)))
+            found.append(([(t, k, bytes(f)) for t, k, f, _ in (rows[n] for n in range(len(rows)))], error))
+        assert sorted(found, key=repr) == sorted((w for w in want if w != ([], None)), key=repr)
+    few = capture_files.read_frames(spark, path, range_bytes=1000, max_packets=7)
+    assert sorted(few.filter("error IS NULL").groupBy("capture_id").count().toPandas()["count"]) == [7] * 5
+
+
+def test_guess_starts_at_a_record():
+    frames = [ETHER + ipv4(tcp(payload=b"x" * (k % 90))) for k in range(200)]
+    for data in (classic(frames), classic(frames, ">"), nextgen([(1, f) for f in frames]), nextgen([(1, f) for f in frames], ">")):
+        src = captures.Held(data)
+        form, at = captures.opening(src)
+        borders = [at, *(end for end, _ in captures.walk(src, captures.Form(**form.values()), at, len(data)))]
+        for low in range(100, len(data) - 2000, 777):
+            assert capture_files.guess(src, form, low, low + 2000)[0] == min(b for b in borders if b >= low)
+
+
+def test_written_captures_read_back(spark, tmp_path):
+    rows = [(k % 2, 10**15 + 7 * k, 1, bytearray(FRAMES[k % 2][1]), None) for k in range(50)] + [(0, None, 1, None, "bad")]
+    frames = spark.createDataFrame(rows, "capture_id long, ts_us long, linktype int, frame binary, error string").repartition(3)
+    path = f"file://{tmp_path}/out"
+    files = capture_files.write_captures(frames, path).collect()
+    assert sum(f.n_packets for f in files) == 50
+    got = capture_files.read_captures(spark, path, "FAILFAST", range_bytes=200)
+    assert sorted((r.ts_us, r.payload_len) for r in got.collect()) == sorted((t, 5 * (1 - k % 2)) for k, (_, t, *_) in enumerate(rows[:50]))
+
+
+def test_stream_of_growing_captures(spark, tmp_path):
+    rng = random.Random(3)
+    frames = nested(rng, "<")
+    whole = {"a.pcap": classic(frames), "b.pcapng": nextgen([(rng.choice([1, 101]), f) for f in frames], ">", 6), "c.pcap": classic(frames[:5]) + struct.pack("<IIII", 1, 1, 1 << 30, 1)}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    spark.dataSource.register(capture_files.CaptureSource)
+    stream = spark.readStream.format("tidewatch_captures").option("maxBytesPerTrigger", 3000).option("rangeBytes", 700).load(f"file://{folder}")
+    query = stream.writeStream.format("memory").queryName("grown").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for part in (0.3, 0.31, 1.0):
+            for name, data in whole.items():
+                (folder / name).write_bytes(data[: int(part * len(data))])
+            query.processAllAvailable()
+        rows = spark.table("grown").collect()
+    finally:
+        query.stop()
+    got = {}
+    for r in rows:
+        got.setdefault(r.capture_id, []).append(r)
+    found = sorted((sorted((r.packet_no, r.ts_us, r.linktype, bytes(r.frame)) for r in c if r.error is None), sum(r.error is not None for r in c)) for c in got.values())
+    want = [([(n, *p) for n, p in enumerate(captures.frames_of(whole[x]))], 0) for x in ("a.pcap", "b.pcapng")]
+    want.append(([(n, *p) for n, p in enumerate(captures.frames_of(classic(frames[:5])))], 1))
+    assert found == sorted(want)
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    frames = [f for _, f in FRAMES[:2]] * 20
+    folder = tmp_path / "in"
+    folder.mkdir()
+    counts = []
+    for n in (10, 25, 40):
+        (folder / "a.pcap").write_bytes(classic(frames[:n]))
+        packets = capture_files.stream_captures(spark, f"file://{folder}")
+        query = packets.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        counts.append(spark.read.parquet(str(tmp_path / "out")).count())
+    assert counts == [10, 25, 40]

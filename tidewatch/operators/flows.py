@@ -147,11 +147,11 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
 
 
 def packets_in_episodes(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    return split_episodes(split_idle(flow_direction(canonical_key(packets)), idle_us), active_us, close_on_teardown)
+    return split_episodes(split_idle(flow_direction(canonical_key(packets.filter(F.col("ts_us").isNotNull()))), idle_us), active_us, close_on_teardown)
 
 
 def assemble_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    """One row per flow, numbered (flow_no) by its first packet; an empty packet table gives the same columns and no rows."""
+    """One row per flow, numbered (flow_no) by its first packet; rows without a time, as of unreadable captures, are no packets; an empty packet table gives the same columns and no rows."""
     return flow_features(packets_in_episodes(packets, idle_us, active_us, close_on_teardown), [*CONVERSATION, "island", "episode"])
 
 

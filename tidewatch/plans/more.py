@@ -8,8 +8,9 @@ from .. import fixtures, schema
 from ..functions import expressions as ex
 from ..functions import words
 from ..operators import attribution, evaluation, labels, models, profile, protocol, reports, samples, studies, windows
-from ..sources import captures
-from ..sources.shared import materialised
+from ..sources import capture_files, captures
+from ..sources.shared import materialised, scratch
+from . import registry
 from .registry import _LONG, _SCALED, _SEQ, _TL, STEADY, W, _long, _onsets, _scores, _sequences, _timeline, _w, query, rounded, steady
 from .states import STATES, flows_of_packets, states_of_packets
 
@@ -138,6 +139,14 @@ def decode_frames(spark, sf_dir):
     return captures.decode_frames(_frames(spark, sf_dir)).drop("frame_len")
 
 
+@query(registry.ORACLE["decode_frames"].replace("SELECT capture_id, packet_no, ts_us, src_ip", "SELECT ts_us, src_ip", 1))
+def read_captures(spark, sf_dir):
+    """The packets written as capture files, one for each capture and task, and read back in ranges of 64 KB."""
+    path = scratch(spark, "captures")
+    capture_files.write_captures(_frames(spark, sf_dir).sortWithinPartitions("capture_id", "ts_us"), path).collect()
+    return capture_files.read_captures(spark, path, "FAILFAST", range_bytes=64 << 10).drop("capture_id", "packet_no", "frame_len")
+
+
 # --- models on the states of the packets ---------------------------------------------------------
 
 _FEW = ["log_n_flows", "log_n_bytes", "tcp_share", "half_open_ratio", "new_dst_ratio", "graph_max_degree"]

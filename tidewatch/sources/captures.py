@@ -1,12 +1,13 @@
-"""Packet captures to packets: files are split into frames, a task a file, and frames are decoded by column expressions."""
+"""Packet captures: their two formats, read record by record from any place, and frames decoded by column expressions."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values of the file formats ------------------------------------------------------------
@@ -27,112 +28,162 @@ class MalformedCapture(ValueError):
     pass
 
 
-def _classic(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    order, per_second = CLASSIC[bytes(data[:4])]
-    if len(data) < 24:
+class Held:
+    """Bytes in memory, read by place."""
+
+    def __init__(self, data: bytes):
+        self._view, self.length = memoryview(data), len(data)
+
+    def get(self, at: int, size: int) -> memoryview:
+        return self._view[at : at + size]
+
+
+class Opened:
+    """A file on any store that pyarrow opens, read by place through a buffer of ``CHUNK`` bytes."""
+
+    CHUNK = 4 << 20
+
+    def __init__(self, path: str, length: int | None = None):
+        store, name = pafs.FileSystem.from_uri(path)
+        self._file = store.open_input_file(name)
+        self.length = self._file.size() if length is None else length
+        self._from, self._view = 0, memoryview(b"")
+
+    def get(self, at: int, size: int) -> memoryview:
+        size = max(0, min(size, self.length - at))
+        if at < self._from or at + size > self._from + len(self._view):
+            self._file.seek(at)
+            self._from, self._view = at, memoryview(self._file.read(max(size, min(self.CHUNK, self.length - at))))
+        return self._view[at - self._from : at - self._from + size]
+
+    def close(self) -> None:
+        self._file.close()
+
+
+class Form:
+    """What must be known of a capture before a place in it, to read on from there: byte order, clock and link types. Plain values, so that it goes with rows and stream offsets."""
+
+    def __init__(self, blocks: bool, order: str = "<", per_second: int = 10**6, linktype: int = ETHERNET, interfaces: Iterable = ()):
+        self.blocks, self.order, self.per_second, self.linktype = blocks, order, per_second, linktype
+        self.interfaces = [tuple(x) for x in interfaces]  # (link type, clock option or None)
+
+    def values(self) -> dict:
+        return vars(self)
+
+
+def opening(src) -> tuple[Form, int]:
+    """The form of a capture and the place of its first record."""
+    head = bytes(src.get(0, 24))
+    if head[:4] == SECTION.to_bytes(4, "little"):
+        return Form(True), 0
+    if head[:4] not in CLASSIC:
+        raise MalformedCapture("no capture: unknown first bytes")
+    if len(head) < 24:
         raise MalformedCapture("the file ends within its header")
-    (linktype,) = struct.unpack_from(order + "I", data, 20)
-    at = 24
-    while at + 16 <= len(data):
-        seconds, part, size, _ = struct.unpack_from(order + "4I", data, at)
+    order, per_second = CLASSIC[head[:4]]
+    return Form(False, order, per_second, struct.unpack_from(order + "I", head, 20)[0]), 24
+
+
+def walk(src, form: Form, at: int, stop: int, frames: bool = True) -> Iterator[tuple[int, tuple | None]]:
+    """(place after it, packet or None) of each record that starts before ``stop``; a packet is (time in microseconds, link type, frame). Without ``frames``, these are None. A cut-off last record counts for nothing and ends the capture."""
+    return (_blocks if form.blocks else _classic)(src, form, at, stop, frames)
+
+
+def _classic(src, form: Form, at: int, stop: int, frames: bool) -> Iterator[tuple[int, tuple | None]]:
+    header = struct.Struct(form.order + "4I")
+    while at < stop:
+        head = src.get(at, 16)
+        if len(head) < 16:
+            return
+        seconds, part, size, _ = header.unpack(head)
         if size > RECORD_LIMIT:
             raise MalformedCapture(f"a record of {size} bytes is over the limit of {RECORD_LIMIT}")
+        if at + 16 + size > src.length:
+            return
+        packet = (seconds * 10**6 + part * 10**6 // form.per_second, form.linktype, bytes(src.get(at + 16, size)) if frames else None)
         at += 16 + size
-        if at > len(data):
-            return  # cut off within its last record
-        yield seconds * 10**6 + part * 10**6 // per_second, linktype, bytes(data[at - size : at])
+        yield at, packet
 
 
-def _micros(options: memoryview, order: str):
-    """How an interface's ticks become microseconds, by its option 9; microseconds without one."""
+def _clock(options: memoryview, order: str) -> int | None:
+    """Option 9 of an interface: how its ticks become seconds."""
     at = 0
     while at + 4 <= len(options):
         code, size = struct.unpack_from(order + "2H", options, at)
         if code == 0:
             break
         if code == 9 and size and at + 4 < len(options):
-            base, power = (2, options[at + 4] & 0x7F) if options[at + 4] & 0x80 else (10, options[at + 4])
-            return lambda ticks: ticks * 10**6 // base**power
+            return options[at + 4]
         at += 4 + size + -size % 4
-    return lambda ticks: ticks
+    return None
+
 
+def _micros(ticks: int, clock: int | None) -> int:
+    """Microseconds; ticks are such without a clock option."""
+    if clock is None:
+        return ticks
+    return ticks * 10**6 // (2 ** (clock & 0x7F) if clock & 0x80 else 10**clock)
 
-def _blocks(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    at, order, interfaces = 0, "<", []
-    while at + 8 <= len(data):
-        (kind,) = struct.unpack_from(order + "I", data, at)
+
+def _blocks(src, form: Form, at: int, stop: int, frames: bool) -> Iterator[tuple[int, tuple | None]]:
+    while at < stop:
+        head = src.get(at, 12)
+        if len(head) < 8:
+            return
+        (kind,) = struct.unpack_from(form.order + "I", head)
         if kind == SECTION:  # reads the same in both orders
-            mark = bytes(data[at + 8 : at + 12])
+            mark = bytes(head[8:12])
             if len(mark) < 4:
                 return
             if mark not in ORDER_MARKS:
                 raise MalformedCapture("a section of unknown byte order")
-            order, interfaces = ORDER_MARKS[mark], []
-        (size,) = struct.unpack_from(order + "I", data, at + 4)
+            form.order, form.interfaces = ORDER_MARKS[mark], []
+        (size,) = struct.unpack_from(form.order + "I", head, 4)
         if size % 4 or not (28 if kind == SECTION else 12) <= size <= RECORD_LIMIT:
             raise MalformedCapture(f"a block of {size} bytes")
-        if at + size > len(data):
+        if at + size > src.length:
             return
-        body, at = data[at + 8 : at + size - 4], at + size
+        packet = None
         if kind == INTERFACE:
+            body = src.get(at + 8, size - 12)
             if len(body) < 8:
                 raise MalformedCapture("an interface block of under 8 bytes")
-            interfaces.append((struct.unpack_from(order + "H", body)[0], _micros(body[8:], order)))
+            form.interfaces.append((struct.unpack_from(form.order + "H", body)[0], _clock(body[8:], form.order)))
         elif kind == PACKET:
-            if len(body) < 20:
+            if size < 32:
                 raise MalformedCapture("a packet block of under 20 bytes")
-            of, high, low, size, _ = struct.unpack_from(order + "5I", body)
-            if size > len(body) - 20:
-                raise MalformedCapture(f"a packet of {size} bytes in a block with {len(body) - 20}")
-            linktype, micros = interfaces[of] if of < len(interfaces) else (ETHERNET, int)
-            yield micros(high << 32 | low), linktype, bytes(body[20 : 20 + size])
+            of, high, low, held, _ = struct.unpack(form.order + "5I", src.get(at + 8, 20))
+            if held > size - 32:
+                raise MalformedCapture(f"a packet of {held} bytes in a block with {size - 32}")
+            linktype, clock = form.interfaces[of] if of < len(form.interfaces) else (ETHERNET, None)
+            packet = (_micros(high << 32 | low, clock), linktype, bytes(src.get(at + 28, held)) if frames else None)
+        at += size
+        yield at, packet
 
 
 def frames_of(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(time in microseconds, link type, frame) of every packet of a classic or next-generation capture; a cut-off end is left out."""
-    head = bytes(data[:4])
-    if head == SECTION.to_bytes(4, "little"):
-        return _blocks(memoryview(data))
-    if head not in CLASSIC:
-        raise MalformedCapture("no capture: unknown first bytes")
-    return _classic(memoryview(data))
+    src = Held(data)
+    form, at = opening(src)
+    return (packet for _, packet in walk(src, form, at, src.length) if packet is not None)
 
 
-def read_frames(spark: SparkSession, path: str, mode: str = "PERMISSIVE", max_packets: int | None = None) -> DataFrame:
-    """(capture_id, packet_no, ts_us, linktype, frame, error) of the files under ``path``; capture_id is a hash of a file's path.
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
+_NAMES = [c.split()[0] for c in FRAMES.split(", ")]
 
-    A malformed file gives its frames up to there and then, in PERMISSIVE mode, one row with only
-    error; in FAILFAST mode it fails the query. ``max_packets`` counts frames of a file. A file is
-    read as a whole by one task: at most 2 GB.
-    """
-    if mode not in ("PERMISSIVE", "FAILFAST"):
-        raise ValueError(f"mode {mode}: PERMISSIVE or FAILFAST")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
-        names = [c.split()[0] for c in FRAMES.split(", ")]
-        for b in batches:
-            for capture, content in zip(b.column("capture_id").to_pylist(), b.column("content")):
-                rows: list[tuple] = []
-                size = 0
-                try:
-                    for n, (ts, linktype, frame) in enumerate(frames_of(content.as_py())):
-                        if max_packets is not None and n >= max_packets:
-                            break
-                        rows.append((capture, n, ts, linktype, frame, None))
-                        size += len(frame)
-                        if len(rows) == 10_000 or size > 16 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                            rows, size = [], 0
-                except MalformedCapture as e:
-                    if mode == "FAILFAST":
-                        raise
-                    rows.append((capture, None, None, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("capture_id"), "content")
-    return files.mapInArrow(split, FRAMES)
+
+def frame_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of FRAMES in batches of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"")
+        if len(held) == 10_000 or size > 16 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _TYPES)], names=_NAMES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _TYPES)], names=_NAMES)
 
 
 def _number(data: Column, at: Column | int, size: int) -> Column:
@@ -197,8 +248,3 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         of_tcp(13, 1).cast("int").alias("tcp_flags"), of_tcp(14, 2).alias("tcp_window"), of_tcp(4, 4).alias("tcp_seq"), of_tcp(8, 4).alias("tcp_ack"),
         F.when(tcp, offset).when(udp | icmp, 8).otherwise(0).cast("int").alias("tcp_doff"), F.greatest(F.lit(0), payload).cast("long").alias("payload_len"), "frame_len",
     )
-
-
-def read_captures(spark: SparkSession, path: str, mode: str = "PERMISSIVE", max_packets: int | None = None) -> DataFrame:
-    """The packets of the capture files under ``path``, numbered by their place in the file; files that can't be read on give what stands before."""
-    return decode_frames(read_frames(spark, path, mode, max_packets))
