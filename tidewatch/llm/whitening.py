@@ -147,12 +147,21 @@ class Bidiagonal:
             else:  # an invariant subspace: go on outside it
                 self.beta, self.next = 0.0, _fresh(self.rng, self.v)
 
-    def found(self, wanted: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Largest singular values, their right vectors as columns, and whether they have converged."""
-        left, sigma, right = np.linalg.svd(self.r)
-        k = min(wanted, len(sigma))
-        done = bool(len(sigma) >= wanted and (self.beta * np.abs(left[-1, :k]) <= TOLERANCE * sigma[0]).all())
-        return sigma[:k], self.v @ right[:k].T, done
+    def converged(self, wanted: int) -> bool:
+        """Whether the largest singular values leave residuals of no size."""
+        left, sigma, _ = np.linalg.svd(self.r)
+        return bool(len(sigma) >= wanted and (self.beta * np.abs(left[-1, :wanted]) <= TOLERANCE * sigma[0]).all())
+
+
+def refined(state: Bidiagonal, wanted: int, product) -> tuple[np.ndarray, np.ndarray]:
+    """Squares of the largest singular values and their vectors, corrected to first order by one more ``product`` XᵀXw of each: left vectors found again by a small R are not quite orthogonal."""
+    _, sigma, right = np.linalg.svd(state.r)
+    basis, theta, k = state.v @ right.T, sigma**2, min(wanted, len(sigma))
+    seen = basis.T @ product(basis[:, :k])
+    gap = theta[:k] - theta[:, None]
+    apart = np.abs(gap) > 1e-6 * theta[0]
+    vectors, _ = np.linalg.qr(basis[:, :k] + basis @ np.where(apart, seen / np.where(apart, gap, 1), 0))
+    return np.diag(seen[:k]).copy(), vectors
 
 
 def bidiagonalise(blocks: DataFrame, size: int, n: int, sums: list[int], components: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -164,11 +173,11 @@ def bidiagonalise(blocks: DataFrame, size: int, n: int, sums: list[int], compone
     state = Bidiagonal(size, trace)
     for _ in range(size):
         state.step(_totals(blocks, size, centre, state.work()))
-        if size > ALL_STEPS and state.found(components)[2]:
+        if size > ALL_STEPS and state.converged(components):
             break
-    sigma, vectors, _ = state.found(components)
-    real = sigma**2 > LEAST_SHARE * trace
-    return sigma[real] ** 2 / n, vectors[:, real], trace / n
+    values, vectors = refined(state, components, lambda w: _totals(blocks, size, centre, lambda x: (x.T @ (x @ w)).ravel()).reshape(w.shape))
+    real = values > LEAST_SHARE * trace
+    return values[real] / n, vectors[:, real], trace / n
 
 
 def whiten(rows: DataFrame, vector_col: str = "embedding", components: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
