@@ -130,9 +130,13 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
         some((F.col("ip_flags").bitwiseAND(1) != 0) | (F.col("frag_offset") > 0)).alias("frag_packet_count"),
         (some(F.col("ip_flags").bitwiseAND(2) != 0) / n).alias("df_ratio"), (some(F.col("ip_flags").bitwiseAND(1) != 0) / n).alias("mf_ratio"),
     )
+    return derived_features(out.withColumns({"payload_p50": F.col("_payload")[0], "payload_p90": F.col("_payload")[1]}).drop("_payload").withColumnRenamed("packet_no", "flow_no"))
+
+
+def derived_features(out: DataFrame) -> DataFrame:
+    """Add the rates, ratios and the id that follow from a flow's sums."""
     span = F.greatest(F.col("flow_duration"), F.lit(1e-6))
     col = F.col
-    out = out.withColumns({"payload_p50": col("_payload")[0], "payload_p90": col("_payload")[1]}).drop("_payload")
     return out.select(
         "*",
         (col("total_bytes") / span).alias("flow_bytes_per_s"), (col("total_packets") / span).alias("flow_packets_per_s"),
@@ -143,7 +147,7 @@ def flow_features(packets: DataFrame, key: list[str]) -> DataFrame:
         *((col(f"{k}_count") / col("total_packets")).alias(f"{k}_ratio") for k in ("syn", "rst", "ack", "psh")),
         col("dst_port").isin(*WELL_KNOWN_PORTS).cast("int").alias("is_wellknown_dst_port"),
         flow_id(col("src_ip"), col("src_port"), col("dst_ip"), col("dst_port"), col("protocol"), col("start_us")).alias("flow_id"),
-    ).withColumnRenamed("packet_no", "flow_no")
+    )
 
 
 def packets_in_episodes(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:

@@ -40,12 +40,19 @@ def flows_of_packets(spark, sf_dir):
     return flows.assemble_flows(fixtures.view(spark, sf_dir, "packets_v"))
 
 
-@query(FLOWS + f" SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' if c.endswith(('_min', '_max')) else c for c in _WHOLE)}, {', '.join(f'{STEADY(c, 4)} AS {c}' for c in _DOUBLES)} FROM flows_a", "packets_v")
-def assemble_flows(spark, sf_dir):
-    f = flows_of_packets(spark, sf_dir)
+WHOLE_FLOWS = f"{', '.join(f'CAST({c} AS BIGINT) AS {c}' if c.endswith(('_min', '_max')) else c for c in _WHOLE)}, {', '.join(f'{STEADY(c, 4)} AS {c}' for c in _DOUBLES)}"
+
+
+def whole_flows(f):
+    """Every column of flows, doubles cut to steady cells."""
     return steady(f.select(*(F.col(c).cast("long").alias(c) if c.endswith(("_min", "_max")) else c for c in _WHOLE), *_DOUBLES), 4)
 
 
+@query(f"{FLOWS} SELECT {WHOLE_FLOWS} FROM flows_a", "packets_v")
+def assemble_flows(spark, sf_dir):
+    return whole_flows(flows_of_packets(spark, sf_dir))
+
+
 @query(
     f"""WITH h AS (SELECT capture_id, unnest([src_ip, dst_ip]) AS host FROM packets_v), c AS (SELECT capture_id, host, count(*) AS n_packets FROM h WHERE {_INSIDE('host')} GROUP BY 1, 2),
     v AS (SELECT capture_id, arg_min(host, (-n_packets, host)) AS victim FROM c GROUP BY 1),

@@ -10,7 +10,8 @@ from ..operators import profile, studies
 from ..sources import flow_files, shared
 from ..sources.shared import materialised
 from ..streaming import live
-from .registry import _EP, _EPISODES, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _stage_sql, _w, _windowed, query, rounded
+from .registry import _EP, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _stage_sql, _w, _windowed, query, rounded
+from .states import FLOWS, WHOLE_FLOWS, whole_flows
 
 
 @query(
@@ -155,6 +156,11 @@ def stream_window_counts(spark, sf_dir):
     return live.drain(live.stream_window_counts(_stream(spark, sf_dir, "flows_v", "start_us")), shared.scratch(spark, "stream"))
 
 
+@query("WITH s AS (SELECT capture_id, CAST(floor(start_us / 30000000) AS BIGINT) * 30000000 AS start_us, src_ip, dst_ip, dst_port FROM flows_v), " + _CLOSED("flows_v", "start_us") + "SELECT capture_id, start_us, count(*) AS n_flows, count(DISTINCT src_ip) AS distinct_src_ips, count(DISTINCT dst_ip) AS distinct_dst_ips, count(DISTINCT dst_port) AS distinct_dst_ports FROM s, m WHERE start_us + 30000000 <= mark GROUP BY 1, 2", "flows_v")
+def stream_window_distincts(spark, sf_dir):
+    return live.drain(live.stream_window_distincts(_stream(spark, sf_dir, "flows_v", "start_us")), shared.scratch(spark, "stream"))
+
+
 @query("WITH s AS (SELECT capture_id, dst_ip, (CAST(floor(start_us / 30000000) AS BIGINT) - unnest(range(20))) * 30000000 AS start_us FROM flows_v), " + _CLOSED("flows_v", "start_us") + "SELECT capture_id, dst_ip, start_us, count(*) AS contacts FROM s, m WHERE start_us + 600000000 <= mark GROUP BY 1, 2, 3", "flows_v")
 def stream_history(spark, sf_dir):
     return live.drain(live.stream_history(_stream(spark, sf_dir, "flows_v", "start_us")), shared.scratch(spark, "stream"))
@@ -173,11 +179,7 @@ def stream_idle_sessions(spark, sf_dir):
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@query(
-    _EPISODES.rstrip() + """ x AS (SELECT d.*, e.ep FROM d JOIN e USING (capture_id, conv, rn)), """ + _CLOSED("packets_v", "ts_us") + """, f AS (SELECT capture_id, conv, ep, arg_min(packet_no, (ts_us, packet_no)) AS flow_no, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS total_packets, count(*) FILTER (fwd) AS fwd_packets, CAST(sum(ip_len) AS BIGINT) AS total_bytes FROM x GROUP BY capture_id, conv, ep)
-    SELECT capture_id, flow_no, start_us, end_us, total_packets, fwd_packets, total_bytes FROM f, m WHERE end_us + 120000000 < mark""",
-    "packets_v",
-)
+@query(FLOWS + ", " + _CLOSED("packets_v", "ts_us") + f" SELECT {WHOLE_FLOWS} FROM flows_a, m WHERE end_us + 120000000 < mark", "packets_v")
 def stream_flows(spark, sf_dir):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -192,4 +194,4 @@ def stream_flows(spark, sf_dir):
     end = fixtures.over(spark, "packets_v", mark).agg((F.floor(F.max("ts_us") / 1000) * 1000 - 60_000_000).alias("mark"))
     # flows that a packet has closed may come out before their idle gap has passed: only those past it are the same however the stream is cut
     rows = out.crossJoin(F.broadcast(end)).filter(F.col("end_us") + 120_000_000 < F.col("mark"))
-    return rows.select("capture_id", "flow_no", "start_us", "end_us", "total_packets", "fwd_packets", "total_bytes")
+    return whole_flows(rows)

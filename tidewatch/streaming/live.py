@@ -7,15 +7,19 @@ Rows older than the watermark are dropped, and Spark's query progress tells how
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from ..operators.flows import CONVERSATION, canonical_key
-from ..schema import ACTIVE_US, HISTORY_US, IDLE_US, TCP
+from ..operators.flows import CONVERSATION, canonical_key, derived_features
+from ..schema import ACTIVE_US, HISTORY_US, IDLE_US, WINDOW_US
+from . import flow_state
 
 DELAY = "60 seconds"
 
@@ -39,6 +43,16 @@ def stream_window_counts(flows: DataFrame, window: str = "30 seconds") -> DataFr
     return g.select("capture_id", _at("start"), "n_flows", "total_bytes")
 
 
+def stream_window_distincts(flows: DataFrame, window: str = "30 seconds") -> DataFrame:
+    """Distinct sources, destinations and destination ports of each tumbling window and capture, once it has closed: values are counted by window, and closed windows' values are counted again."""
+    value = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+    each = flows.select("ts", "capture_id", F.explode(F.array(value("src", "src_ip"), value("dst", "dst_ip"), value("port", "dst_port"))).alias("x")).select("ts", "capture_id", "x.*")
+    seen = each.groupBy(F.window("ts", window).alias("w"), "capture_id", "kind", "value").agg(F.count("*").alias("n"))
+    n = lambda kind: F.count(F.when((F.col("kind") == kind) & F.col("value").isNotNull(), 1))
+    g = seen.groupBy(F.window(F.window_time("w"), window).alias("w"), "capture_id").agg(F.sum(F.when(F.col("kind") == "src", F.col("n"))).alias("n_flows"), n("src").alias("distinct_src_ips"), n("dst").alias("distinct_dst_ips"), n("port").alias("distinct_dst_ports"))
+    return g.select("capture_id", _at("start"), "n_flows", "distinct_src_ips", "distinct_dst_ips", "distinct_dst_ports")
+
+
 def stream_history(flows: DataFrame, span: str = "600 seconds", step: str = "30 seconds") -> DataFrame:
     """Contacts of each destination in every sliding lookback, once it has closed."""
     g = flows.groupBy(F.window("ts", span, step).alias("w"), "capture_id", "dst_ip").agg(F.count("*").alias("contacts"))
@@ -59,29 +73,30 @@ def drain(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-FLOW_ROW = "capture_id long, ip_a long, port_a int, ip_b long, port_b int, protocol int, src_ip string, dst_ip string, src_port int, dst_port int, flow_no long, start_us long, end_us long, total_packets long, fwd_packets long, total_bytes long, fwd_bytes long, syn_count long, rst_count long, ack_count long"
-PACKET_STATE = "packet_no long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, ip_len long, tcp_flags int"
-OPEN_FLOW = "src_ip string, dst_ip string, src_port int, dst_port int, flow_no long, start_us long, end_us long, fin_fwd boolean, fin_bwd boolean, grace boolean, closed boolean, total_packets long, fwd_packets long, total_bytes long, fwd_bytes long, syn_count long, rst_count long, ack_count long"
+FLOW_ROW = f"capture_id long, ip_a long, port_a int, ip_b long, port_b int, protocol int, {flow_state.ROW}"
+FORGET_US = 86_400_000_000
 
 
 class FlowProcessor(StatefulProcessor):
     """Flows of one conversation: packets wait until the watermark has passed them, then go through the lifetime rules in time order.
 
-    What is kept is the conversation's first sender, the packets that wait and the counts of the open
-    flow. A flow is given out when a packet closes it or the watermark passes its idle gap.
+    What is kept is the conversation's first sender, the packets that wait, the open flow's sums and,
+    as a map, the data that it has sent. A flow is given out when a packet closes it or the watermark
+    passes its idle gap. Once the watermark is ``forget_us`` past the last packet, nothing is kept.
     """
 
-    def __init__(self, idle_us: int, active_us: int, close_on_teardown: bool):
-        self.idle_us, self.active_us, self.teardown = idle_us, active_us, close_on_teardown
+    def __init__(self, idle_us: int, active_us: int, close_on_teardown: bool, forget_us: int):
+        self.idle_us, self.active_us, self.teardown, self.forget_us = idle_us, active_us, close_on_teardown, max(forget_us, idle_us)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "src_ip string, src_port int")
-        self.waiting = handle.getListState("waiting", PACKET_STATE)
-        self.open = handle.getValueState("open", OPEN_FLOW)
+        self.first = handle.getValueState("first", "src_ip string, src_port int, latest_us long")
+        self.waiting = handle.getListState("waiting", flow_state.PACKET)
+        self.open = handle.getValueState("open", flow_state.STATE)
+        self.sent = handle.getMapState("sent", "fwd boolean, seq long, length long", "known boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        names = [c.split()[0] for c in PACKET_STATE.split(", ")]
+        names = list(flow_state.PACKET_NAMES)
         fresh = [tuple(r) for frame in rows for r in frame[names].astype(object).itertuples(index=False)]
         waiting = [tuple(r) for r in self.waiting.get()] + [tuple(int(v) if hasattr(v, "item") else v for v in r) for r in fresh]
         yield from self._advance(key, waiting, timerValues)
@@ -89,83 +104,175 @@ class FlowProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         yield from self._advance(key, [tuple(r) for r in self.waiting.get()], timerValues)
 
+    def _seen(self, kept: set) -> Callable:
+        """Whether data came before in the flow: ``kept`` holds what this call has added, the map what is older."""
+
+        def seen(*data) -> bool:
+            if data in kept or self.sent.containsKey(data):
+                return True
+            kept.add(data)
+            return False
+
+        return seen
+
     def _advance(self, key, waiting, timers):
         mark = timers.getCurrentWatermarkInMs() * 1000
         ready = sorted((r for r in waiting if r[1] < mark), key=lambda r: (r[1], r[0]))
         later = [r for r in waiting if r[1] >= mark]
-        flow = dict(zip([c.split()[0] for c in OPEN_FLOW.split(", ")], self.open.get())) if self.open.exists() else None
-        tcp, done = key[5] == TCP, []
-        for no, ts, src, dst, sport, dport, size, flags in ready:
-            if not self.first.exists():
-                self.first.update((src, sport))
-            fwd = (src, sport) == tuple(self.first.get())
-            if flow and (flow["closed"] or ts - flow["end_us"] > self.idle_us or ts - flow["start_us"] > self.active_us):
-                done.append(flow)
+        flow = flow_state.OpenFlow.of(tuple(self.open.get())) if self.open.exists() else None
+        first = tuple(self.first.get()) if self.first.exists() else None
+        done, kept = [], set()
+        seen = self._seen(kept)
+
+        def close() -> None:
+            done.append(flow.row())
+            kept.clear()
+            self.sent.clear()
+
+        for r in ready:
+            p = dict(zip(flow_state.PACKET_NAMES, r))
+            ts = p["ts_us"]
+            if first is None or ts - first[2] > self.forget_us:
+                first = (p["src_ip"], p["src_port"], ts)
+            first = (*first[:2], ts)
+            if flow and (flow.marks["closed"] or ts - flow.end_us > self.idle_us or ts - flow.start_us > self.active_us):
+                close()
                 flow = None
             if flow is None:
-                flow = dict(src_ip=src, dst_ip=dst, src_port=sport, dst_port=dport, flow_no=no, start_us=ts, fin_fwd=False, fin_bwd=False, grace=False, closed=False, total_packets=0, fwd_packets=0, total_bytes=0, fwd_bytes=0, syn_count=0, rst_count=0, ack_count=0)
-            rst = self.teardown and tcp and bool(flags & 4)
-            fin = self.teardown and tcp and bool(flags & 1) and not rst
-            flow["fin_fwd"], flow["fin_bwd"] = flow["fin_fwd"] or (fin and fwd), flow["fin_bwd"] or (fin and not fwd)
-            flow["closed"] = flow["closed"] or flow["grace"] or rst
-            flow["grace"] = flow["grace"] or (fin and flow["fin_fwd"] and flow["fin_bwd"])
-            flow["end_us"] = ts
-            for name, one in (("total_packets", 1), ("fwd_packets", int(fwd)), ("total_bytes", size), ("fwd_bytes", size if fwd else 0), ("syn_count", flags >> 1 & 1), ("rst_count", flags >> 2 & 1), ("ack_count", flags >> 4 & 1)):
-                flow[name] += one
-        if flow and (flow["closed"] or flow["end_us"] + self.idle_us < mark):
-            done.append(flow)
+                flow = flow_state.OpenFlow((p["src_ip"], p["dst_ip"], p["src_port"], p["dst_port"], p["packet_no"], ts))
+            flow.add(p, (p["src_ip"], p["src_port"]) == first[:2], self.teardown, seen)
+        if flow and (flow.marks["closed"] or flow.end_us + self.idle_us < mark):
+            close()
             flow = None
+        for data in kept:
+            self.sent.updateValue(data, (True,))
         self.waiting.clear()
         if later:
             self.waiting.put(later)
         if flow:
-            self.open.update(tuple(flow[c.split()[0]] for c in OPEN_FLOW.split(", ")))
+            self.open.update(flow.values())
         else:
             self.open.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if later or flow:
-            due = min([r[1] for r in later] + ([flow["end_us"] + self.idle_us] if flow else []))
-            self.handle.registerTimer(max(due // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
+        if first and not later and not flow and first[2] + self.forget_us < mark:
+            self.first.clear()
+            first = None
+        if first:
+            self.first.update(first)
+        due = [r[1] for r in later] + ([flow.end_us + self.idle_us] if flow else []) + ([first[2] + self.forget_us] if first else [])
+        if due:
+            self.handle.registerTimer(max(min(due) // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
         if done:
-            names = [c.split()[0] for c in FLOW_ROW.split(", ")][6:]
-            yield pd.DataFrame([(*key, *(f[n] for n in names)) for f in done], columns=[c.split()[0] for c in FLOW_ROW.split(", ")])
+            yield pd.DataFrame([(*key, *row) for row in done], columns=[c.split()[0] for c in FLOW_ROW.split(", ")])
 
 
-def stream_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    """Flows of an unbounded packet stream by the batch rules, with state per conversation; ``packets`` carries a watermark on ts.
+def stream_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True, forget_us: int = FORGET_US) -> DataFrame:
+    """Flows of an unbounded packet stream, with all features of ``flows.assemble_flows``, by state for each conversation; ``packets`` carries a watermark on ts.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Packets older
-    than the watermark are dropped by Spark and counted in its progress.
+    The rules are those of the batch, but that a conversation silent for over ``forget_us`` begins
+    anew, with its next sender as the first; nulls count as 0. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``). Packets older than the watermark are dropped
+    by Spark and counted in its progress.
     """
-    keyed = canonical_key(packets).select(*(F.col(c).cast(t).alias(c) for c, t in zip(CONVERSATION, ("long", "long", "int", "long", "int", "int"))), *(F.col(c).cast(t).alias(c) for c, t in (f.split() for f in PACKET_STATE.split(", "))), "ts")
-    return keyed.groupBy(*CONVERSATION).transformWithStateInPandas(FlowProcessor(idle_us, active_us, close_on_teardown), outputStructType=FLOW_ROW, outputMode="Append", timeMode="EventTime")
+    known = canonical_key(packets)
+    fields = [(F.coalesce(F.col(c).cast(t), F.lit(0 if t != "string" else "").cast(t)) if c != "packet_no" else F.col(c).cast(t)).alias(c) for c, t in (f.split() for f in flow_state.PACKET.split(", ")) if c != "protocol"]
+    keyed = known.select(*(F.col(c).cast(t).alias(c) for c, t in zip(CONVERSATION, ("long", "long", "int", "long", "int", "int"))), *fields, "ts")
+    rows = keyed.groupBy(*CONVERSATION).transformWithStateInPandas(FlowProcessor(idle_us, active_us, close_on_teardown, forget_us), outputStructType=FLOW_ROW, outputMode="Append", timeMode="EventTime")
+    return derived_features(rows)
 
 
 def heartbeat(rows: DataFrame, name: str, size: str) -> DataFrame:
-    """``rows`` observed under ``name``: rows and bytes seen and the latest time, told with the progress of every batch."""
-    return rows.observe(name, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.max("ts").alias("latest"))
+    """``rows`` observed under ``name``: rows and bytes seen and the earliest and latest time, told with the progress of every batch."""
+    return rows.observe(name, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+
+
+PROGRESS = "id string, run_id string, name string, batch long, at string, input_rows long, late_rows long, state_rows long, watermark string, observed string, rows long, bytes long, earliest_us long, latest_us long"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes every progress of the session's queries as a small file under ``path``, so that counts hold however long a query runs; ``spark.streams.addListener`` takes it. ``path`` is on a store that pyarrow opens."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.store, self.folder = pafs.FileSystem.from_uri(path)
+        self.store.create_dir(self.folder)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = json.loads(event.progress.json)
+        operators = p.get("stateOperators", [])
+        row = {"id": p["id"], "run_id": p["runId"], "name": p.get("name"), "batch": p["batchId"], "at": p["timestamp"], "input_rows": p.get("numInputRows", 0), "watermark": p.get("eventTime", {}).get("watermark")}
+        row |= {"late_rows": sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in operators), "state_rows": sum(int(o.get("numRowsTotal", 0)) for o in operators)}
+        micros = lambda t: None if t is None else int(pd.Timestamp(t).tz_localize(None).value // 1000)
+        seen = p.get("observedMetrics") or {None: {}}
+        lines = [row | {"observed": name, "rows": m.get("rows"), "bytes": m.get("bytes"), "earliest_us": micros(m.get("earliest")), "latest_us": micros(m.get("latest"))} for name, m in seen.items()]
+        with self.store.open_output_stream(f"{self.folder}/{p['id']}-{p['runId']}-{p['batchId']}-{p['timestamp'].replace(':', '')}.json") as out:
+            out.write("".join(json.dumps(line) + "\n" for line in lines).encode())
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """What a ``ProgressLog`` wrote under ``path``, a row for each progress and observation."""
+    return spark.read.schema(PROGRESS).json(path)
+
+
+def stream_status(spark: SparkSession, path: str, window_us: int = WINDOW_US) -> DataFrame:
+    """By query and observation: batches, rows, bytes and late rows over the query's whole life, rows in state after the last batch, and the windows between the earliest and the latest row. A batch that ran again counts once, as it ran last."""
+    last = Window.partitionBy("id", "observed", "batch").orderBy(F.desc("at"))
+    rows = progress(spark, path).filter("input_rows > 0 OR late_rows > 0 OR state_rows > 0").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
+    n = F.when(F.max("latest_us").isNotNull(), F.floor(F.max("latest_us") / window_us) - F.floor(F.min("earliest_us") / window_us) + 1).otherwise(0)
+    return rows.groupBy("id", "name", "observed").agg(F.count("*").alias("batches"), F.coalesce(F.sum("rows"), F.sum("input_rows")).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sum("late_rows").alias("late_rows"), F.max_by("state_rows", "batch").alias("state_rows"), n.alias("windows"))
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that the query has dropped because they were older than the watermark."""
+    """Rows that the query has dropped because they were older than the watermark, by the reports that Spark still holds (the last 100); a ``ProgressLog`` keeps all."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in json.loads(p.json if isinstance(p.json, str) else p.json()).get("stateOperators", []))
 
 
-def alert_batches(flows: DataFrame, score, path: str, progress: str, history_us: int = HISTORY_US):
+def _parts(path: str) -> dict[int, str]:
+    """The folders bucket=N under ``path``."""
+    store, folder = pafs.FileSystem.from_uri(path)
+    found = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return {int(f.base_name.removeprefix("bucket=")): f.path for f in found if f.base_name.startswith("bucket=")}
+
+
+def alert_batches(flows: DataFrame, score, path: str, progress: str, history_us: int = HISTORY_US, keep_us: int | None = None):
     """Each micro-batch through ``score`` (DataFrame of flows to one with capture_id, window) together with the trailing history.
 
-    Flows are kept by batch number under ``path``/flows; a batch is scored with all kept flows of its
-    captures that start within ``history_us`` before its first, and what comes out stands under its
-    number in ``path``/scores, so that a replayed batch replaces its own rows.
+    Flows are kept under ``path``/flows by stretches of ``history_us`` of event time and by batch; a
+    batch is scored with all kept flows of its captures that start within ``history_us`` before its
+    first, and what comes out stands under its number in ``path``/scores, so that a replayed batch
+    replaces its own rows. Stretches that end more than ``keep_us`` (twice the history by default)
+    before the latest flow are deleted after the batch: captures further behind find no history.
+    ``path`` is on a store that pyarrow opens.
     """
+    keep = 2 * history_us if keep_us is None else max(keep_us, history_us)
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/flows/batch={number}")
-        kept = spark.read.parquet(f"{path}/flows").filter(F.col("batch") <= number)
-        since = kept.filter(F.col("batch") == number).groupBy("capture_id").agg((F.min("start_us") - history_us).alias("_since"))
-        trailing = kept.join(since, "capture_id").filter("start_us >= _since").drop("_since", "batch")
-        score(trailing).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+        rows = batch.withColumns({"bucket": F.floor(F.col("start_us") / history_us), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/flows")
+        parts = _parts(f"{path}/flows")
+        if not parts:
+            return
+        own = spark.read.parquet(f"{path}/flows").filter(F.col("batch") == number)
+        since = own.groupBy("capture_id").agg((F.min("start_us") - history_us).alias("_since"))
+        first = since.agg(F.min("_since")).first()[0]
+        if first is not None:
+            kept = spark.read.parquet(f"{path}/flows").filter((F.col("bucket") >= first // history_us) & (F.col("batch") <= number))
+            trailing = kept.join(since, "capture_id").filter("start_us >= _since").drop("_since", "batch", "bucket")
+            score(trailing).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+        store, _ = pafs.FileSystem.from_uri(path)
+        for bucket, folder in parts.items():
+            if bucket < max(parts) - keep // history_us:
+                store.delete_dir(folder)
 
     return flows.writeStream.foreachBatch(sink).option("checkpointLocation", progress)
