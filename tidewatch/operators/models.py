@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INFILTRATION_STAGES, STAGES
+from . import boosting
 from . import samples as samples_
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -410,20 +411,20 @@ def hazard_features(samples: DataFrame, profile: dict[str, list[float]]) -> Data
     far = lambda c: F.size(F.filter(c, lambda x: F.abs(x) > 3)).cast("double")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size(c)
     every = F.concat("_last", "_smooth", "_top", "_slope", F.array(far("_last"), far("_smooth"), mean("_last"), mean(F.flatten("_z"))))
-    return rows.withColumn("features", array_to_vector(every)).drop("_z", "_last", "_smooth", "_top", "_slope")
+    return rows.withColumn("features", every).drop("_z", "_last", "_smooth", "_top", "_slope")
 
 
-def fit_hazard(train: DataFrame, profile: dict[str, list[float]], rounds: int = 150, seed: int = 0):
+def fit_hazard(train: DataFrame, profile: dict[str, list[float]], rounds: int = 150, l2: float = 5.0) -> boosting.Boosted:
     """Gradient-boosted trees on balanced samples (label 0 or 1); both labels must be there."""
     counts = {r[0]: r[1] for r in train.groupBy("label").count().collect()}  # two rows
     if len(counts) < 2:
         raise ValueError("hazard needs both labels")
-    rows = hazard_features(train, profile).withColumn("weight", _balanced("label", counts))
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, seed=seed).fit(rows)
+    rows = hazard_features(train, profile).select("features", "label", _balanced("label", counts).alias("weight"))
+    return boosting.fit(rows, rounds, l2=l2)
 
 
-def hazard_score(samples: DataFrame, model, profile: dict[str, list[float]]) -> DataFrame:
-    return model.transform(hazard_features(samples, profile)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "prediction", "rawPrediction", "features")
+def hazard_score(samples: DataFrame, model: boosting.Boosted, profile: dict[str, list[float]]) -> DataFrame:
+    return boosting.score(hazard_features(samples, profile), model).drop("features")
 
 
 def calibrate(scored: DataFrame):
