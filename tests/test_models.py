@@ -1,10 +1,12 @@
 """Models on made-up samples with known answers, and sums that must not depend on partitions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import attribution, models, profile, protocol
+from tidewatch.operators import attribution, evaluation, models, profile, protocol
 
 SAMPLE = "capture_id long, window long, context array<array<double>>, target_state array<double>, target_stage array<int>, target_infil array<int>, target_mask array<boolean>"
 
@@ -156,6 +158,11 @@ def test_false_alarm_bounds(spark):
     assert protocol.upper_rate(0, 100) == pytest.approx(1 - 0.025**0.01)
     assert protocol.upper_rate(5, 5) == 1.0
     assert protocol.upper_rate(3, 50) == pytest.approx(0.1655, abs=1e-3)
+    for x, a, b in ((0.3, 2, 5), (0.9, 2, 5), (0.01, 4, 3)):
+        n = a + b - 1
+        assert protocol.incomplete_beta(x, a, b) == pytest.approx(sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1)))
+    for k, n in ((10**7, 10**9), (1, 2), (999, 1000), (0, 10**9)):
+        assert protocol.incomplete_beta(protocol.upper_rate(k, n), k + 1, n - k) == pytest.approx(0.975, abs=1e-5)
     row = protocol.false_alarm_bound(spark.createDataFrame([(0.1,), (0.9,)], "score double"), 0.5, 1.0).first()
     assert (row.windows, row.alerts, row.verified) == (2, 1, False)
 
@@ -176,3 +183,43 @@ def test_quantiles_are_those_of_sorting(spark, values):
     rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", -1.0), ("b", None)], "g string, v double")
     got = {(r.g, r.q): r.v for r in profile.quantiles(rows, ["g"], "v", (0.0, 0.005, 0.5, 0.9, 1.0)).collect()}
     assert all(got["a", q] == pytest.approx(np.quantile(values, q)) for q in (0.0, 0.005, 0.5, 0.9, 1.0)) and got["b", 0.5] == -1.0
+
+
+def brute_auc(rows):
+    pos, neg = ([s for _, y, s in rows if y == v] for v in (1, 0))
+    return sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+
+
+def test_curves_and_intervals(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(c), int(y), round(float(rng.normal() + y), 1)) for c, y in zip(rng.integers(0, 6, 400), rng.random(400) < 0.2)]
+    scored = spark.createDataFrame(rows, "capture_id long, y int, score double").repartition(7)
+    assert evaluation.roc_auc(scored).first().auc == pytest.approx(brute_auc(rows))
+    by = sorted({s for _, _, s in rows}, reverse=True)
+    ap = sum(sum(y for _, y, s in rows if s == v) * np.mean([y for _, y, s in rows if s >= v]) for v in by) / sum(y for _, y, _ in rows)
+    assert evaluation.average_precision(scored).first().average_precision == pytest.approx(ap)
+    got = evaluation.cluster_bootstrap(scored, 40, 3).first()
+    times = evaluation._draws(40, 6, 3)
+    aucs = [brute_auc([r for c in range(6) for _ in range(int(t[c])) for r in rows if r[0] == c]) for t in times]
+    assert (got.draws, got.auc_low, got.auc_high) == (40, pytest.approx(np.percentile(aucs, 2.5)), pytest.approx(np.percentile(aucs, 97.5)))
+    two = evaluation.cluster_bootstrap(scored.filter("capture_id < 2"), 40).first()
+    assert (two.draws, two.auc_low, two.auc_high) == (0, None, None)
+    none = evaluation.cluster_bootstrap(scored.limit(0), 5, threshold=0.5).first()
+    assert none.draws == 0 and none.event_recall_high is None
+
+
+def test_intervals_of_rates_and_events(spark):
+    rows = [(c, y, s, o) for c in range(4) for y, s, o in ((1, 0.9, 5), (1, 0.1 + c / 5, 5), (1, c / 4, 9), (0, 0.2, None), (0, 0.6, None))]
+    scored = spark.createDataFrame(rows, "capture_id long, y int, score double, onset long")
+    got = evaluation.cluster_bootstrap(scored, 30, threshold=0.5).first()
+    tprs, recalls = [], []
+    for t in evaluation._draws(30, 4, 0):
+        picked = [(k, *r) for c in range(4) for k in range(int(t[c])) for r in rows if r[0] == c]
+        tprs.append(np.mean([s >= 0.5 for _, _, y, s, _ in picked if y]))
+        events = {}
+        for k, c, _, s, o in picked:
+            if o is not None:
+                events[k, c, o] = events.get((k, c, o), False) or s >= 0.5
+        recalls.append(np.mean(list(events.values())))
+    assert (got.tpr_low, got.tpr_high) == tuple(pytest.approx(x) for x in np.percentile(tprs, [2.5, 97.5]))
+    assert (got.event_recall_low, got.event_recall_high) == tuple(pytest.approx(x) for x in np.percentile(recalls, [2.5, 97.5]))

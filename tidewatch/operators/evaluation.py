@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +21,47 @@ def binary_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     return m.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def running_counts(scored: DataFrame, parts: int = 64) -> DataFrame:
+    """(score, p, n, tp, fp, np, nn) of each distinct score: positives and negatives there, and from there upwards, and in all.
+
+    Rows are counted by score first. Running sums go by ``parts`` of the range of scores, whose
+    totals are few, then within the parts: no task orders all scores. Null scores are left out.
+    """
+    g = scored.filter("score IS NOT NULL").groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    cuts = F.lit(sorted(set(scored.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 50 * parts)).first()[0] or [])))  # at most ``parts`` - 1
+    g = g.withColumn("part", F.size(F.filter(cuts.cast("array<double>"), lambda c: c < F.col("score"))))
+    sums = g.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
+    above, whole = Window.orderBy(F.desc("part")), Window.partitionBy()  # over at most ``parts`` rows
+    sums = sums.select("part", (F.sum("pp").over(above) - F.col("pp")).alias("tp0"), (F.sum("pn").over(above) - F.col("pn")).alias("fp0"), F.sum("pp").over(whole).alias("np"), F.sum("pn").over(whole).alias("nn"))
+    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    return g.join(F.broadcast(sums), "part").select("score", "p", "n", (F.col("tp0") + F.sum("p").over(down)).alias("tp"), (F.col("fp0") + F.sum("n").over(down)).alias("fp"), "np", "nn")
+
+
 def _by_score(scored: DataFrame, *by: str) -> DataFrame:
+    if not by:
+        return running_counts(scored)
     g = scored.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     down = Window.partitionBy(*by).orderBy(F.desc("score"))
     return g.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
 
 
+def auc_of(counts: DataFrame, *by: str) -> DataFrame:
+    g = counts.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("u"))
+    return g.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
+
+
+def precision_of(counts: DataFrame, *by: str) -> DataFrame:
+    g = counts.groupBy(*by).agg(F.sum("p").alias("np"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
+    return g.select(*by, F.when(F.col("np") > 0, F.col("s") / F.col("np")).alias("average_precision"))
+
+
 def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
     """Tie-aware area under the curve over distinct scores; null with one class."""
-    g = _by_score(scored, *by).groupBy(*by).agg(F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("u"))
-    return g.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
+    return auc_of(_by_score(scored, *by), *by)
 
 
 def average_precision(scored: DataFrame, *by: str) -> DataFrame:
-    g = _by_score(scored, *by).groupBy(*by).agg(F.sum("p").alias("np"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
-    return g.select(*by, F.when(F.col("np") > 0, F.col("s") / F.col("np")).alias("average_precision"))
+    return precision_of(_by_score(scored, *by), *by)
 
 
 def threshold_for_fpr(scored: DataFrame, fpr: float) -> DataFrame:
@@ -71,16 +102,90 @@ def event_stats(onsets: DataFrame, threshold: float, window_s: float = 30.0) ->
     return per.groupBy("capture_id").agg(F.count("*").alias("events"), F.count("lead").alias("warned"), F.percentile("lead", 0.5).alias("median_lead_s"))
 
 
-def cluster_bootstrap(scored: DataFrame, n: int = 300, seed: int = 0) -> DataFrame:
-    """95 % interval of the AUC over ``n`` draws of captures with replacement; draws with one class are left out."""
+def _draws(n: int, m: int, seed: int) -> np.ndarray:
+    """How often each of ``m`` captures is in each of ``n`` draws of as many, by digests of seed and place."""
+    picks = [int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % m for k in range(n * m)]
+    return np.stack([np.bincount(picks[d * m : (d + 1) * m], minlength=m) for d in range(n)]).astype(float)
+
+
+def _wins(per: DataFrame, times: np.ndarray, place: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each draw: positives, negatives, and pairs in which the positive scores higher, ties for half; ``per`` has capture_id, score, p, c.
+
+    Scores are dealt to tasks by range and read there in order, with running sums for all draws at
+    once; a task returns three sums a draw, and those of lower ranges count as its lower negatives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(len(times))
+        pos, neg, wins, first, held = zero.copy(), zero.copy(), zero.copy(), None, None
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                score, p, c = (part.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("score", "p", "c"))
+                k = times[:, [place[x] for x in part.column("capture_id").to_pylist()]]
+                first = score[0] if first is None else first
+                cuts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+                up, down = np.add.reduceat(k * p, cuts, axis=1), np.add.reduceat(k * (c - p), cuts, axis=1)
+                values = score[cuts]
+                if held is not None:  # a score may go on in the next slice
+                    if held[0] == values[0]:
+                        up[:, 0] += held[1]
+                        down[:, 0] += held[2]
+                    else:
+                        values, up, down = np.r_[held[0], values], np.c_[held[1], up], np.c_[held[2], down]
+                held = values[-1], up[:, -1], down[:, -1]
+                up, down = up[:, :-1], down[:, :-1]
+                lower = neg[:, None] + np.cumsum(down, axis=1) - down / 2
+                wins += (up * lower).sum(axis=1)
+                pos, neg = pos + up.sum(axis=1), neg + down.sum(axis=1)
+        if held is not None:
+            wins += held[1] * (neg + held[2] / 2)
+            pos, neg = pos + held[1], neg + held[2]
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([pos.tolist()]), pa.array([neg.tolist()]), pa.array([wins.tolist()])], names=["first", "pos", "neg", "wins"])
+
+    dealt = per.select("capture_id", F.col("score").cast("double").alias("score"), "p", "c").repartitionByRange(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), "score").sortWithinPartitions("score")
+    parts = sorted(dealt.mapInArrow(run, "first double, pos array<double>, neg array<double>, wins array<double>").collect())  # a row a task
+    pos, neg, wins = (np.zeros(len(times)) for _ in range(3))
+    for r in parts:
+        p = np.array(r.pos)
+        wins += np.array(r.wins) + p * neg
+        pos, neg = pos + p, neg + np.array(r.neg)
+    return pos, neg, wins
+
+
+def _interval(values: np.ndarray) -> list[float | None]:
+    values = values[~np.isnan(values)]
+    return [float(x) for x in np.percentile(values, [2.5, 97.5])] if len(values) else [None, None]
+
+
+def cluster_bootstrap(scored: DataFrame, n: int = 300, seed: int = 0, threshold: float | None = None, strict: bool = False) -> DataFrame:
+    """95 % intervals over ``n`` draws of captures with replacement; draws with one class are left out.
+
+    Always of the AUC, from scored (capture_id, y, score). With a ``threshold``, which alerts reach
+    (exceed where ``strict``), also of the true-positive rate and of the share of events warned of;
+    ``scored`` then has onset as well, and a capture drawn twice counts its events twice. Under three
+    captures there is no interval and no draw. Numbers for each capture come to the driver, a few.
+    """
     spark = scored.sparkSession
+    alert = F.lit(False) if threshold is None else (F.col("score") > threshold if strict else F.col("score") >= threshold)
+    hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    by_capture = scored.groupBy("capture_id").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), hit(alert & (F.col("y") == 1)).alias("hits")).orderBy("capture_id").collect()  # a row a capture
+    place = {r.capture_id: k for k, r in enumerate(by_capture)}
+    m = len(place)
+    schema = "draws int, auc_low double, auc_high double" + (", tpr_low double, tpr_high double, event_recall_low double, event_recall_high double" if threshold is not None else "")
+    if m < 3:
+        return spark.createDataFrame([(0, *[None] * (schema.count(",")))], schema)
+    times = _draws(n, m, seed)
     per = scored.groupBy("capture_id", "score").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
-    ids = scored.select("capture_id").distinct().select("capture_id", (F.row_number().over(Window.orderBy("capture_id")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("m"))
-    m = ids.count()
-    draws = spark.range(n * m).select((F.col("id") / m).cast("int").alias("rep"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id"))), 1, 8), 16, 10).cast("long"), F.lit(m)).cast("int").alias("i"))
-    times = draws.groupBy("rep", "i").agg(F.count("*").alias("k")).join(ids, "i")
-    g = times.join(per, "capture_id").groupBy("rep", "score").agg(F.sum(F.col("k") * F.col("p")).alias("p"), F.sum(F.col("k") * (F.col("c") - F.col("p"))).alias("n"))
-    tp = F.sum("p").over(Window.partitionBy("rep").orderBy(F.desc("score")))
-    auc = g.select("rep", "p", "n", tp.alias("tp")).groupBy("rep").agg(F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("u"))
-    auc = auc.filter("np > 0 AND nn > 0").select((F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
-    return auc.agg(F.count("*").alias("draws"), F.percentile("auc", 0.025).alias("auc_low"), F.percentile("auc", 0.975).alias("auc_high"))
+    pos, neg, wins = _wins(per, times, place)
+    both = (pos > 0) & (neg > 0)
+    row = [int(both.sum()), *_interval(wins[both] / (pos * neg)[both])]
+    if threshold is not None:
+        ratio = lambda a, b: (times @ a)[both] / np.where(times @ b > 0, times @ b, np.nan)[both]
+        row += _interval(ratio(np.array([r.hits for r in by_capture], float), np.array([r.p for r in by_capture], float)))
+        events = scored.filter("onset IS NOT NULL").groupBy("capture_id", "onset").agg(F.max(alert.cast("int")).alias("warned")).groupBy("capture_id").agg(F.sum("warned").alias("warned"), F.count("*").alias("events")).collect()  # a row a capture
+        warned, count = np.zeros(m), np.zeros(m)
+        for r in events:
+            warned[place[r.capture_id]], count[place[r.capture_id]] = r.warned, r.events
+        row += _interval(ratio(warned, count))
+    return spark.createDataFrame([tuple(row)], schema)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from math import lgamma, log
+from math import exp, lgamma, log, log1p
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STATE_FEATURES, WINDOW_US
+from ..sources.shared import materialised
 from . import evaluation, models, studies, windows
 
 FPR_BUDGETS = (0.005, 0.01, 0.02, 0.05)
@@ -22,43 +22,73 @@ def evaluate_forecaster(scored: DataFrame, threshold: float | None = None, valid
     A threshold from data is one that scores must exceed. Rates without samples are null.
     """
     source, strict = "given", False
+    counts = materialised(evaluation.running_counts(scored), "counts")
+    cut = lambda b: F.coalesce(F.min(F.when((F.col("n") > 0) & (F.col("fp") - F.col("n") <= F.floor(F.col("nn") * b)), F.col("score"))), F.lit(float("inf")))
     if threshold is None:
         source, strict = ("validation", True) if validation is not None else ("test (optimistic)", True)
-        rows = validation if validation is not None else scored
-        found = evaluation.threshold_for_fpr(rows.select(F.lit(0).alias("capture_id"), "y", "score"), budget).first()
-        threshold = found.cut if found is not None else float("inf")
+        threshold = (evaluation.running_counts(validation) if validation is not None else counts).agg(cut(budget)).first()[0]
     alert = (F.col("score") > threshold) if strict else (F.col("score") >= threshold)
-    share = lambda y: F.avg(F.when(F.col("y") == y, alert.cast("double")))
-    counts = scored.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("n_neg"), F.avg(F.col("y").cast("double")).alias("prevalence"), share(0).alias("fpr"), share(1).alias("tpr"))
-    row = counts.crossJoin(evaluation.roc_auc(scored)).crossJoin(evaluation.average_precision(scored))  # one row each
+    of = lambda value, cond: F.sum(F.when(cond, F.col(value)).otherwise(0))
+    rate = lambda a, b: F.when(b > 0, a / b)
+    sums = counts.agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), of("p", alert).alias("_hits"), of("n", alert).alias("_false"),
+        F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("_u"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"), *(cut(b).alias(f"_cut{k}") for k, b in enumerate(FPR_BUDGETS)),
+    )
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    row = sums.select((pos + neg).alias("n"), "n_pos", "n_neg", rate(pos, pos + neg).alias("prevalence"), rate(F.col("_false"), neg).alias("fpr"), rate(F.col("_hits"), pos).alias("tpr"), F.when((pos > 0) & (neg > 0), F.col("_u") / (pos * neg)).alias("auc"), rate(F.col("_ap"), pos).alias("average_precision"), *(f"_cut{k}" for k in range(len(FPR_BUDGETS))))
     events = scored.filter("onset IS NOT NULL").groupBy("capture_id", "onset").agg((F.max(F.when(alert, F.col("steps_to_onset"))) * (WINDOW_US / 1e6)).alias("lead"))
-    events = events.agg(F.count("*").alias("n_events"), (F.count("lead") / F.count("*")).alias("event_recall"), F.percentile("lead", 0.5).alias("median_lead_s"))
-    row = row.crossJoin(events)
+    events = events.agg(F.count("*").alias("n_events"), rate(F.count("lead"), F.count("*")).alias("event_recall"), F.percentile("lead", 0.5).alias("median_lead_s"))
+    row = row.crossJoin(F.broadcast(events))  # one row each
     row = row.withColumns({"threshold": F.lit(float(threshold)), "threshold_source": F.lit(source), "fpr_budget": F.lit(budget), "chance_ap": F.col("prevalence"), "false_alerts_per_day": F.col("fpr") * (86_400_000_000 / WINDOW_US), "fpr_resolution": F.when(F.col("n_neg") > 0, 3.0 / F.col("n_neg"))})
     row = row.withColumn("budget_resolvable", F.coalesce(F.lit(budget) >= F.col("fpr_resolution"), F.lit(False)))
     hit = lambda p: F.col("tpr") * p
     row = row.withColumns({f"ppv_{k}": F.when(hit(p) + F.col("fpr") * (1 - p) > 0, hit(p) / (hit(p) + F.col("fpr") * (1 - p))) for k, p in enumerate(studies.PREVALENCES, 2)})
-    for b in FPR_BUDGETS:
-        found = evaluation.threshold_for_fpr(scored.select(F.lit(0).alias("capture_id"), "y", "score"), b).first()
-        at = scored.agg(F.avg(F.when(F.col("y") == 1, (F.col("score") > (found.cut if found is not None else float("inf"))).cast("double"))).alias(f"tpr_at_{b:g}".replace(".", "_")))
-        row = row.crossJoin(at)
-    return row.crossJoin(evaluation.cluster_bootstrap(scored, draws)) if draws else row
+    names = [f"tpr_at_{b:g}".replace(".", "_") for b in FPR_BUDGETS]
+    above = counts.crossJoin(F.broadcast(row.select(*(f"_cut{k}" for k in range(len(names)))))).agg(*(of("p", F.col("score") > F.col(f"_cut{k}")).alias(c) for k, c in enumerate(names)))  # one row beside the counts
+    row = row.drop(*(f"_cut{k}" for k in range(len(names)))).crossJoin(F.broadcast(above))
+    row = row.withColumns({c: rate(F.col(c), F.col("n_pos")) for c in names})
+    return row.crossJoin(F.broadcast(evaluation.cluster_bootstrap(scored, draws, threshold=threshold, strict=strict))) if draws else row
+
+
+def _log_beta(a: float, b: float) -> float:
+    return lgamma(a) + lgamma(b) - lgamma(a + b)
+
+
+def incomplete_beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast: about the square root of a and b in steps."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(1 - x, b, a)
+    value, c, d, k = 1.0, 1.0, 0.0, 1
+    while True:  # 1 + t1 / (1 + t2 / (1 + ...)) from the front
+        m = k // 2
+        t = m * (b - m) * x / ((a + k - 1) * (a + k)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + k - 1) * (a + k))
+        d = 1 / ((1 + t * d) or 1e-300)
+        c = (1 + t / c) or 1e-300
+        value *= c * d
+        k += 1
+        if abs(c * d - 1) < 1e-15 or k > 1_000_000:
+            return exp(a * log(x) + b * log1p(-x) - _log_beta(a, b)) / a / value
 
 
 def upper_rate(k: int, n: int, level: float = 0.975) -> float:
-    """Clopper and Pearson's upper limit of a rate with ``k`` of ``n``: where at most ``k`` have the chance 1 - level. By bisection over the binomial tail."""
+    """Clopper and Pearson's upper limit of a rate with ``k`` of ``n``: the ``level`` quantile of the beta distribution of k + 1 and n - k, by Newton's steps within a bracket."""
     if k >= n:
         return 1.0
-    j = np.arange(k + 1)
-    ways = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in j])
+    a, b = k + 1, n - k
     low, high = k / n, 1.0
+    p = min((k + 1) / (n + 1) + 2 * (((k + 1) * (n - k)) ** 0.5 / (n + 1) / (n + 2) ** 0.5), (low + 1) / 2)
     for _ in range(200):
-        p = (low + high) / 2
-        if p >= 1.0:
-            break
-        tail = np.exp(ways + j * log(p) + (n - j) * log(1 - p)).sum() if p > 0 else 1.0
-        low, high = (p, high) if tail > 1 - level else (low, p)
-    return high
+        off = incomplete_beta(p, a, b) - level
+        low, high = (p, high) if off < 0 else (low, p)
+        slope = exp((a - 1) * log(p) + (b - 1) * log1p(-p) - _log_beta(a, b))
+        step = p - off / slope if slope > 0 else low
+        following = step if low < step < high else (low + high) / 2
+        if abs(following - p) <= 1e-13 * p:
+            return following
+        p = following
+    return p
 
 
 def false_alarm_bound(negatives: DataFrame, threshold: float, budget_per_hour: float, window_us: int = WINDOW_US) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import running_counts
 from .samples import ewma
 
 BUDGETS = (0.005, 0.01, 0.02, 0.05)
@@ -32,15 +33,7 @@ def budget_table(scored: DataFrame, budgets: tuple[float, ...] = BUDGETS, window
 
     Rows are counted by score before they are ordered.
     """
-    g = scored.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    # running sums by parts of the range, whose totals are few, then within the parts
-    cuts = F.lit(sorted(set(scored.agg(F.percentile_approx("score", [k / 64 for k in range(1, 64)], 1000)).first()[0] or [])))  # at most 63
-    g = g.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("score"))))
-    parts = g.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
-    above, whole = Window.orderBy(F.desc("part")), Window.partitionBy()
-    parts = parts.select("part", (F.sum("pp").over(above) - F.col("pp")).alias("tp0"), (F.sum("pn").over(above) - F.col("pn")).alias("fp0"), F.sum("pp").over(whole).alias("np"), F.sum("pn").over(whole).alias("nn"))
-    down = Window.partitionBy("part").orderBy(F.desc("score"))
-    g = g.join(F.broadcast(parts), "part").select("score", (F.col("fp0") + F.sum("n").over(down) - F.col("n")).alias("fp"), (F.col("tp0") + F.sum("p").over(down) - F.col("p")).alias("tp"), "n", "nn", "np")  # at most 64 rows
+    g = running_counts(scored).select("score", (F.col("fp") - F.col("n")).alias("fp"), (F.col("tp") - F.col("p")).alias("tp"), "n", "nn", "np")
     # only scores that a negative has are cuts
     g = g.filter("n > 0").withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).filter(F.col("fp") <= F.floor(F.col("nn") * F.col("budget")))
     low = g.groupBy("budget").agg(F.min_by(F.struct("score", "fp", "tp", "nn", "np"), "score").alias("at"))

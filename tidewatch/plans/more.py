@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures, schema
@@ -11,7 +12,7 @@ from ..operators import attribution, evaluation, labels, models, profile, protoc
 from ..sources import capture_files, captures
 from ..sources.shared import materialised, scratch
 from . import registry
-from .registry import _LONG, _SCALED, _SEQ, _TL, STEADY, W, _long, _onsets, _scores, _sequences, _timeline, _w, query, rounded, steady
+from .registry import _LONG, _ON, _SCALED, _SEQ, _TL, STEADY, W, _long, _onsets, _scores, _sequences, _timeline, _w, query, rounded, steady
 from .states import STATES, flows_of_packets, states_of_packets
 
 _V = "capture_id, win AS \"window\""
@@ -274,10 +275,59 @@ def feature_attribution(spark, sf_dir):
     return attribution.top_drivers(shares, name, 4)
 
 
-@query()
+_FORECAST = _ON.rstrip() + """, rs AS (SELECT capture_id, win, count(*) FILTER (rst_count > 0) / count(*) AS v FROM w GROUP BY 1, 2),
+cx AS (SELECT sp.capture_id, sp.win, list(coalesce(v, 0.0::DOUBLE)) OVER (PARTITION BY sp.capture_id ORDER BY sp.win ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x FROM sp LEFT JOIN rs USING (capture_id, win)),
+fc AS (SELECT o3.capture_id, win, CAST(onset IS NOT NULL AS INTEGER) AS y, round(list_reduce(list_prepend(0.0::DOUBLE, x), lambda a, v: 0.5::DOUBLE * v + 0.5::DOUBLE * a), 9) AS score, coalesce(onset - win, 0) AS steps, onset FROM o3 JOIN cx USING (capture_id, win)) """
+
+
+def _forecast(spark, sf_dir):
+    """Quiet samples scored by the smoothed share of flows with resets in their last four windows."""
+    n, resets = F.count("*"), F.count(F.when(F.col("rst_count") > 0, 1))
+    share = _timeline(spark, sf_dir).select("capture_id", "window").join(_w(spark, sf_dir).groupBy("capture_id", "window").agg((resets / n).alias("v")), ["capture_id", "window"], "left").fillna(0.0, ["v"])
+    context = F.collect_list("v").over(Window.partitionBy("capture_id").orderBy("window").rowsBetween(-3, 0))
+    scores = share.select("capture_id", "window", F.round(samples.ewma(context), 9).alias("score"))
+    return materialised(_onsets(spark, sf_dir).withColumnRenamed("label", "y").join(scores, ["capture_id", "window"]), "forecast")
+
+
+_CUT = lambda b: f"coalesce((SELECT min(score) FROM r WHERE n > 0 AND fp - n <= floor(nn * {b})), 'inf'::DOUBLE)"
+_HIT = lambda y: f"(SELECT count(*) FILTER (score > cut AND y = {y}) / nullif(count(*) FILTER (y = {y}), 0) FROM fc, k)"
+_PPV = lambda p: f"CASE WHEN {_HIT(1)} * {p} + {_HIT(0)} * (1 - {p}) > 0 THEN {_HIT(1)} * {p} / ({_HIT(1)} * {p} + {_HIT(0)} * (1 - {p})) END"
+
+
+@query(
+    _FORECAST.rstrip()
+    + f""", g AS (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM fc GROUP BY 1),
+r AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM g),
+k AS (SELECT {_CUT(0.05)} AS cut), ev AS (SELECT capture_id, onset, max(CASE WHEN score > cut THEN steps END) * 30.0 AS lead FROM fc, k WHERE onset IS NOT NULL GROUP BY 1, 2)
+SELECT CAST((SELECT count(*) FROM fc) AS BIGINT) AS n, max(np) AS n_pos, max(nn) AS n_neg, round(max(np / (np + nn)), 6) AS prevalence, round({_HIT(0)}, 6) AS fpr, round({_HIT(1)}, 6) AS tpr, round(sum(n * (tp - p / 2)) / max(np * nn), 6) AS auc, round(sum(p * tp / (tp + fp)) / max(np), 6) AS average_precision,
+  (SELECT count(*) FROM ev) AS n_events, round((SELECT count(lead) / count(*) FROM ev), 6) AS event_recall, (SELECT quantile_cont(CAST(lead AS DOUBLE), 0.5) FROM ev) AS median_lead_s,
+  (SELECT cut FROM k) AS threshold, 'test (optimistic)' AS threshold_source, 0.05::DOUBLE AS fpr_budget, round(max(np / (np + nn)), 6) AS chance_ap, round({_HIT(0)} * 2880, 6) AS false_alerts_per_day, round(3.0 / max(nn), 6) AS fpr_resolution, 0.05 >= 3.0 / max(nn) AS budget_resolvable,
+  {', '.join(f"round({_PPV(p)}, 6) AS ppv_{k}" for k, p in enumerate(studies.PREVALENCES, 2))},
+  {', '.join(f"round((SELECT sum(CASE WHEN score > {_CUT(b)} THEN p ELSE 0 END) / max(np) FROM r), 6) AS tpr_at_{f'{b:g}'.replace('.', '_')}" for b in protocol.FPR_BUDGETS)} FROM r""",
+    "flows_v",
+    "timeline_v",
+)
 def evaluate_forecaster(spark, sf_dir):
-    s = _onsets(spark, sf_dir).withColumn("score", F.col("window") * 37 % 100 / 100).withColumnRenamed("label", "y")
-    return protocol.evaluate_forecaster(materialised(s, "onsets"))
+    return rounded(protocol.evaluate_forecaster(_forecast(spark, sf_dir), budget=0.05))
+
+
+@query(
+    _FORECAST.rstrip()
+    + """, c AS (SELECT DISTINCT capture_id FROM fc), i AS (SELECT capture_id, row_number() OVER (ORDER BY capture_id) - 1 AS i, count(*) OVER () AS m FROM c), mm AS (SELECT max(m) AS m FROM i),
+d AS (SELECT CAST(floor(x.range / m) AS BIGINT) AS rep, CAST('0x' || substr(md5(concat('0|', x.range)), 1, 8) AS BIGINT) % m AS i FROM mm, range(0, 200 * (SELECT m FROM mm)) x), k AS (SELECT rep, capture_id, count(*) AS k FROM d JOIN i USING (i) GROUP BY 1, 2),
+pr AS (SELECT capture_id, score, sum(y) AS p, sum(1 - y) AS n FROM fc GROUP BY 1, 2), g AS (SELECT rep, score, sum(k * p) AS p, sum(k * n) AS n FROM k JOIN pr USING (capture_id) GROUP BY 1, 2), r AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY score DESC) AS tp FROM g),
+u AS (SELECT rep, sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS auc FROM r GROUP BY 1 HAVING sum(p) > 0 AND sum(n) > 0),
+tp AS (SELECT rep, sum(k * h) / sum(k * p) AS tpr FROM k JOIN (SELECT capture_id, count(*) FILTER (y = 1 AND score >= 0.25) AS h, sum(y) AS p FROM fc GROUP BY 1) USING (capture_id) GROUP BY 1),
+ev AS (SELECT capture_id, onset, max(CAST(score >= 0.25 AS INTEGER)) AS warned FROM fc WHERE onset IS NOT NULL GROUP BY 1, 2),
+er AS (SELECT rep, sum(k * a) / sum(k * b) AS recall FROM k JOIN (SELECT capture_id, sum(warned) AS a, count(*) AS b FROM ev GROUP BY 1) USING (capture_id) GROUP BY 1)
+SELECT CAST(count(*) AS INTEGER) AS draws, """
+    + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}_{side}" for n, c in (("auc", "auc"), ("tpr", "tpr"), ("event_recall", "recall")) for side, q in (("low", 0.025), ("high", 0.975)))
+    + " FROM u LEFT JOIN tp USING (rep) LEFT JOIN er USING (rep)",
+    "flows_v",
+    "timeline_v",
+)
+def bootstrap_intervals(spark, sf_dir):
+    return rounded(evaluation.cluster_bootstrap(_forecast(spark, sf_dir), 200, threshold=0.25))
 
 
 @query("WITH s AS (SELECT * FROM scores_v WHERE y = 0) SELECT count(*) AS windows, count(*) FILTER (score_milli >= 950) AS alerts FROM s", "scores_v")
