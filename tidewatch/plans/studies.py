@@ -135,6 +135,48 @@ def flow_csv_round_trip(spark, sf_dir):
     return rounded(back.select("capture_id", "flow_duration", "src_ip", "dst_ip", "start_ts", "end_ts", "dst_port", "total_bytes", "bytes_ratio", "syn_ratio", "label"))
 
 
+_CIC = {"Dst Port": "dst_port", "Src Port": "src_port", "Protocol": "protocol", "Flow Duration": "flow_no", "Tot Fwd Pkts": "total_packets", "Tot Bwd Pkts": "ack_count", "TotLen Fwd Pkts": "fwd_bytes", "TotLen Bwd Pkts": "bwd_bytes", "SYN Flag Cnt": "syn_count", "FIN Flag Cnt": "rst_count", "URG Flag Cnt": "ack_count", "Fwd IAT Mean": "bwd_bytes", "Bwd IAT Max": "flow_no", "Fwd Pkts/s": "fwd_bytes", "Bwd Seg Size Avg": "bwd_bytes", "Pkt Len Min": "syn_count", "Pkt Len Std": "ack_count", "Fwd Header Len": "total_packets", "Label": "label"}
+_UNSW = {"srcip": "src_ip", "dstip": "dst_ip", "sport": "src_port", "dsport": "dst_port", "proto": "protocol", "dur": "flow_no", "sbytes": "fwd_bytes", "dbytes": "bwd_bytes", "Spkts": "total_packets", "Dpkts": "syn_count", "sttl": "fwd_ttl_mean", "dttl": "fwd_ttl_mean", "Sload": "bwd_bytes", "Stime": "start_us", "attack_cat": "label"}
+_GIVEN = {0: {"dst_port", "src_port", "protocol", "flow_duration", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "syn_count", "fin_count", "urg_count", "fwd_iat_mean", "bwd_iat_max", "fwd_packets_per_s", "bwd_mean_packet_size", "payload_min", "payload_std", "header_len_mean"}, 1: {"src_port", "dst_port", "protocol", "flow_duration", "fwd_bytes", "bwd_bytes", "fwd_packets", "bwd_packets", "ttl_mean", "ttl_max", "fwd_packets_per_s"}}
+_MADE = {0: {"total_packets", "total_bytes", "bytes_ratio", "packets_ratio", "mean_packet_size", "syn_ratio", "is_wellknown_dst_port"}, 1: {"total_packets", "total_bytes", "bytes_ratio", "packets_ratio", "mean_packet_size", "is_wellknown_dst_port"}}
+
+
+def _foreign_files(spark, sf_dir) -> str:
+    """The flows in two foreign layouts under one folder: captures 0 and 1 in that of one dataset, 2 and 3 in another's."""
+    path = shared.scratch(spark, "foreign")
+    f = fixtures.view(spark, sf_dir, "flows_v")
+    date = F.date_format(F.timestamp_seconds(F.floor(F.col("start_us") / 1_000_000)), "dd/MM/yyyy HH:mm:ss").alias("Timestamp")
+    f.filter("capture_id < 2").select(*(F.col(c).alias(n) for n, c in _CIC.items()), F.lit("Infinity").alias("Flow Byts/s"), date).write.csv(f"{path}/a", header=True)
+    f.filter("capture_id >= 2").select(*(F.col(c).alias(n) for n, c in _UNSW.items())).write.csv(f"{path}/b", header=True)
+    return f"{path}/*/*.csv"
+
+
+_NUM = lambda **k: ", ".join(f"CAST({v} AS DOUBLE) AS {c}" for c, v in k.items())
+_FOREIGN = ("dataset", "src_ip", "start_ts", "end_ts", "label", "flow_duration", "fwd_packets", "bwd_packets", "total_packets", "total_bytes", "packets_ratio", "syn_ratio", "fin_count", "urg_count", "fwd_iat_mean", "bwd_iat_max", "fwd_packets_per_s", "bwd_mean_packet_size", "payload_min", "payload_std", "header_len_mean", "ttl_mean", "ttl_max", "flow_bytes_per_s", "retransmission_count", "is_wellknown_dst_port")
+
+
+@query(
+    f"""WITH f AS (SELECT *, CASE WHEN trim(label) = 'BENIGN' THEN 'Benign' ELSE trim(label) END AS said, CAST(floor(start_us / 1000000) AS DOUBLE) AS s, CAST(list_contains({list(map(int, flow_files.WELL_KNOWN_PORTS))}, dst_port) AS DOUBLE) AS known FROM flows_v)
+    SELECT 'cicids2018' AS dataset, '' AS src_ip, s AS start_ts, round(s + flow_no * 1e-6::DOUBLE, 6) AS end_ts, said AS label, round(flow_no * 1e-6::DOUBLE, 6) AS flow_duration, {_NUM(fwd_packets='total_packets', bwd_packets='ack_count', total_packets='total_packets + ack_count', total_bytes='fwd_bytes + bwd_bytes')}, round(total_packets / (total_packets + ack_count), 6) AS packets_ratio, round(syn_count / (total_packets + ack_count), 6) AS syn_ratio,
+      {_NUM(fin_count='rst_count', urg_count='ack_count', fwd_iat_mean='bwd_bytes', bwd_iat_max='flow_no', fwd_packets_per_s='fwd_bytes', bwd_mean_packet_size='bwd_bytes', payload_min='syn_count', payload_std='ack_count', header_len_mean='total_packets', ttl_mean='0', ttl_max='0', flow_bytes_per_s='0', retransmission_count='0', is_wellknown_dst_port='known')} FROM f WHERE capture_id < 2
+    UNION ALL SELECT 'unswnb15', src_ip, CAST(start_us AS DOUBLE), CAST(start_us + flow_no AS DOUBLE), said, CAST(flow_no AS DOUBLE), total_packets, syn_count, total_packets + syn_count, fwd_bytes + bwd_bytes, round(total_packets / (total_packets + syn_count), 6), 0, 0, 0, 0, 0, bwd_bytes, 0, 0, 0, 0, fwd_ttl_mean, fwd_ttl_mean, 0, 0, known FROM f WHERE capture_id >= 2""",
+    "flows_v",
+)
+def foreign_flow_files(spark, sf_dir):
+    return rounded(flow_files.read_flow_csv(spark, _foreign_files(spark, sf_dir)).select(*_FOREIGN))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS dataset, '{c}' AS feature, {str(c in flow_files.PACKET_ALIASES).lower()} AS packet_level, {str(c in _GIVEN[k] | _MADE[k] | extra).lower()} AS available"
+        for k, kind, extra in ((0, "cicids2018", {"flow_bytes_per_s"}), (1, "unswnb15", set()))
+        for c in flow_files.NUMERIC_ALIASES
+    )
+)
+def flow_availability(spark, sf_dir):
+    return flow_files.flow_availability(spark, _foreign_files(spark, sf_dir)).select("dataset", "feature", "packet_level", "available").distinct()
+
+
 @query(W + ', c AS (SELECT capture_id, win, count(*) AS n_flows FROM w GROUP BY 1, 2) SELECT capture_id, win AS "window", n_flows, 30.0::DOUBLE AS window_s FROM c', "flows_v")
 def corpus_round_trip(spark, sf_dir):
     path = shared.scratch(spark, "corpus")

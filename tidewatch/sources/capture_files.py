@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 from .captures import FRAMES, RECORD_LIMIT, SECTION, Form, MalformedCapture, Opened, decode_frames, frame_batches, opening, walk
-from .shared import materialised
+from .shared import materialised, store_of
 
 RANGE_BYTES, CHAIN, MAX_TASKS = 128 << 20, 8, 20_000
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
@@ -248,7 +248,7 @@ def write_captures(frames: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, folder = pafs.FileSystem.from_uri(path)
+        store, folder = store_of(path)
         store.create_dir(folder)
         files, counts = {}, {}
         for b in batches:
@@ -289,7 +289,7 @@ class CaptureStream(DataSourceStreamReader):
         return {"files": {}}
 
     def _files(self) -> Iterator[tuple[str, int]]:
-        store, folder = pafs.FileSystem.from_uri(self.path)
+        store, folder = store_of(self.path)
         for f in sorted(store.get_file_info(pafs.FileSelector(folder)), key=lambda f: f.path):
             if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")):
                 yield self.path.rstrip("/") + "/" + f.base_name, f.size

@@ -6,10 +6,11 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import store_of
+
 # --- fixed values of the file formats ------------------------------------------------------------
 CLASSIC = {b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\x3c\x4d": (">", 10**9), b"\x4d\x3c\xb2\xa1": ("<", 10**9)}
 SECTION, INTERFACE, PACKET = 0x0A0D0D0A, 1, 6
@@ -44,7 +45,7 @@ class Opened:
     CHUNK = 4 << 20
 
     def __init__(self, path: str, length: int | None = None):
-        store, name = pafs.FileSystem.from_uri(path)
+        store, name = store_of(path)
         self._file = store.open_input_file(name)
         self.length = self._file.size() if length is None else length
         self._from, self._view = 0, memoryview(b"")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/tidewatch/{name}-{uuid.uuid4().hex}"
 
 
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The pyarrow file system of a path as Spark tells it (not percent-encoded), and the path in it."""
+    return pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: for what several branches of a plan read."""
     path = scratch(df.sparkSession, name)

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.flows import CONVERSATION, canonical_key, derived_features
 from ..schema import ACTIVE_US, HISTORY_US, IDLE_US, WINDOW_US
+from ..sources.shared import store_of
 from . import flow_state
 
 DELAY = "60 seconds"
@@ -195,7 +196,7 @@ class ProgressLog(StreamingQueryListener):
 
     def __init__(self, path: str):
         self.path = path
-        self.store, self.folder = pafs.FileSystem.from_uri(path)
+        self.store, self.folder = store_of(path)
         self.store.create_dir(self.folder)
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
@@ -239,7 +240,7 @@ def late_rows(query: StreamingQuery) -> int:
 
 def _parts(path: str) -> dict[int, str]:
     """The folders bucket=N under ``path``."""
-    store, folder = pafs.FileSystem.from_uri(path)
+    store, folder = store_of(path)
     found = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
     return {int(f.base_name.removeprefix("bucket=")): f.path for f in found if f.base_name.startswith("bucket=")}
 
@@ -270,7 +271,7 @@ def alert_batches(flows: DataFrame, score, path: str, progress: str, history_us:
             kept = spark.read.parquet(f"{path}/flows").filter((F.col("bucket") >= first // history_us) & (F.col("batch") <= number))
             trailing = kept.join(since, "capture_id").filter("start_us >= _since").drop("_since", "batch", "bucket")
             score(trailing).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
-        store, _ = pafs.FileSystem.from_uri(path)
+        store, _ = store_of(path)
         for bucket, folder in parts.items():
             if bucket < max(parts) - keep // history_us:
                 store.delete_dir(folder)
