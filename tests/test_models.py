@@ -223,3 +223,44 @@ def test_intervals_of_rates_and_events(spark):
         recalls.append(np.mean(list(events.values())))
     assert (got.tpr_low, got.tpr_high) == tuple(pytest.approx(x) for x in np.percentile(tprs, [2.5, 97.5]))
     assert (got.event_recall_low, got.event_recall_high) == tuple(pytest.approx(x) for x in np.percentile(recalls, [2.5, 97.5]))
+
+
+def test_attribution_within_batches_equals_that_of_rows(spark, onsets):
+    w = np.array([0.5, -2.0, 1.0])
+    rows = lambda r: r.withColumn("score", 1 / (1 + F.exp(-sum(F.get(F.element_at("context", -1), F.lit(k)) * float(w[k]) for k in range(3)))))
+    matrix = lambda x: 1 / (1 + np.exp(-(x[:, -1] @ w)))
+    some, back = onsets.filter("window < 4"), onsets.filter("window BETWEEN 100 AND 120")
+    for link in ("identity", "logit"):
+        key = lambda r: (r.capture_id, r.window, r.feature)
+        a = sorted(attribution.feature_attribution(some, back, rows, link).collect(), key=key)
+        b = sorted(attribution.matrix_attribution(some, back, matrix, link).collect(), key=key)
+        assert [key(r) for r in a] == [key(r) for r in b] and len(a) > 3
+        assert np.allclose([[r.contribution, r.base_value, r.prediction] for r in a], [[r.contribution, r.base_value, r.prediction] for r in b])
+    assert attribution.matrix_attribution(some.limit(0), back, matrix).count() == 0
+    one = spark.createDataFrame([(1, 2, [[3.0], [5.0]])], "capture_id long, window long, context array<array<double>>")
+    got = attribution.matrix_attribution(one, one.withColumn("context", F.array(F.array(F.lit(0.0)), F.array(F.lit(1.0)))), lambda x: x[:, -1, 0] * 2).first()
+    assert (got.contribution, got.base_value, got.prediction) == (8.0, 2.0, 10.0)
+
+
+def test_attribution_of_many_features(spark):
+    rng = np.random.default_rng(4)
+    f = 103
+    w = rng.normal(size=f)
+    rows = [(1, k, rng.normal(size=(3, f)).tolist()) for k in range(6)]
+    table = spark.createDataFrame(rows, "capture_id long, window long, context array<array<double>>").repartition(2)
+    got = attribution.matrix_attribution(table.filter("window < 2"), table.filter("window >= 2"), lambda x: x[:, 0] @ w).collect()
+    mean = np.mean([np.array(c)[0] for _, k, c in rows if k >= 2], axis=0)
+    assert len(got) == 2 * f
+    for r in got:
+        assert r.contribution == pytest.approx(w[r.feature] * (rows[r.window][2][0][r.feature] - mean[r.feature]))
+
+
+def test_every_isolation_tree_has_its_rows(spark):
+    rows = [(1, k, [[float(k % 977), 1.0]] if k % 2 else [[0.0, 0.0]], 0) for k in range(4000)]
+    table = spark.createDataFrame(rows, "capture_id long, window long, context array<array<double>>, label int").repartition(5)
+    forest = models.fit_isolation(table, 40).collect()
+    assert sorted(r.tree for r in forest) == list(range(40)) and {r.n for r in forest} == {256}
+    assert {r.n for r in models.fit_isolation(table.limit(100), 3).collect()} == {100}
+    scored = models.isolation_score(table, models.fit_isolation(table, 40)).collect()
+    common, rare = ([r.score for r in scored if (r.context[0][1] == 0) == same] for same in (True, False))
+    assert max(common) < min(rare)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,61 @@ def feature_attribution(contexts: DataFrame, background: DataFrame, scorer, link
     return means.groupBy("capture_id", "window").applyInPandas(solve, "capture_id long, window long, feature int, contribution double, base_value double, prediction double")
 
 
+BLOCK_VALUES = 2 << 20
+
+
+def matrix_attribution(contexts: DataFrame, background: DataFrame, score: Callable[[np.ndarray], np.ndarray], link: str = "identity", most: int = COALITIONS, seed: int = 0) -> DataFrame:
+    """``feature_attribution`` for a scorer of matrices (contexts x windows x features to one score each), for many features and many contexts.
+
+    A context's coalitions are made and scored within its batch, about BLOCK_VALUES numbers at a
+    time, and never become rows; one small matrix solves the least squares of all. The background's
+    MOST_BACKGROUND contexts at most come to the driver. Without contexts there is no row.
+    """
+    others = [r.other for r in background.select(F.col("context").alias("other")).orderBy(F.xxhash64("context")).limit(MOST_BACKGROUND).collect()]
+    if not others:
+        raise ValueError("no background to mask with")
+    other = np.array(others, float)
+    f = other.shape[2]
+    masks, weights = coalitions(f, most, seed) if f > 1 else (np.zeros((0, 1), bool), np.zeros(0))
+    z = masks.astype(float)
+    root = np.sqrt(weights)
+    # the last feature takes what is left, so the sum is right
+    solve = np.linalg.pinv((z[:, :-1] - z[:, -1:]) * root[:, None]) * root if f > 1 else np.zeros((0, 0))
+
+    def explain(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+        every = np.concatenate([np.zeros((1, f), bool), np.ones((1, f), bool), masks])
+        step = max(1, BLOCK_VALUES // other.size)
+        v = []
+        for at in range(0, len(every), step):
+            part = every[at : at + step]
+            mixed = np.where(part[:, None, None, :], x, other)
+            got = np.asarray(score(mixed.reshape(-1, *x.shape)), float)
+            if link == "logit":
+                got = np.clip(got, 1e-6, 1 - 1e-6)
+                got = np.log(got / (1 - got))
+            v.append(got.reshape(len(part), -1).mean(axis=1))
+        v = np.concatenate(v)
+        base, full = v[0], v[1]
+        part = solve @ (v[2:] - base - z[:, -1] * (full - base))
+        return np.append(part, full - base - part.sum()), base, full
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                rows = b.slice(at, 1024)
+                got = [explain(np.array(c.as_py(), float)) for c in rows.column("context")]
+                if got:
+                    n = len(got)
+                    repeat = lambda c: pa.array(np.repeat(rows.column(c).to_numpy(zero_copy_only=False), f))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [repeat("capture_id"), repeat("window"), pa.array(np.tile(np.arange(f, dtype=np.int32), n)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.repeat([g[1] for g in got], f)), pa.array(np.repeat([g[2] for g in got], f))],
+                        names=["capture_id", "window", "feature", "contribution", "base_value", "prediction"],
+                    )
+
+    rows = contexts.select(F.col("capture_id").cast("long").alias("capture_id"), F.col("window").cast("long").alias("window"), "context")
+    return rows.mapInArrow(run, "capture_id long, window long, feature int, contribution double, base_value double, prediction double")
+
+
 def temporal_attribution(contexts: DataFrame, background: DataFrame, scorer) -> DataFrame:
     """(capture_id, window, lag, share): how much the score moves when one window of the context becomes the background's mean; lag 0 is the last window."""
     mean = background.select(F.explode("context").alias("x")).select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.avg("v").alias("m")).orderBy("f").collect()  # a row per feature

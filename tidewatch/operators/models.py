@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INFILTRATION_STAGES, STAGES
+from ..sources.shared import materialised
 from . import boosting
 from . import samples as samples_
 
@@ -334,15 +335,27 @@ def _harmonic(n: np.ndarray) -> np.ndarray:
 
 
 def fit_isolation(train: DataFrame, trees: int = TREES, rows_a_tree: int = TREE_ROWS, seed: int = 0) -> DataFrame:
-    """(tree, nodes binary): isolation trees, each grown in a group of its own on ``rows_a_tree`` rows drawn by hash, as the method has it."""
-    rows = _benign_last(train).withColumn("h", F.xxhash64("x"))
-    n = rows.count()
-    share = min(1.0, 2.0 * rows_a_tree / max(n, 1))
-    of_tree = F.pmod(F.xxhash64(F.lit(seed), "h", "tree"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("u", of_tree).filter(F.col("u") < share)
+    """(tree, nodes binary): isolation trees, each grown in a group of its own on ``rows_a_tree`` rows, drawn without replacement; on all where there are no more.
+
+    Rows are numbered in a written table, equal ones too; places are drawn on the driver, trees x
+    ``rows_a_tree`` of them, and only the rows at those places meet the trees.
+    """
+    rows = materialised(_benign_last(train).withColumn("id", F.monotonically_increasing_id()), "rows")
+    parts = rows.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a task
+    ends = np.cumsum([r.n for r in parts])
+    n = int(ends[-1]) if len(ends) else 0
+    rng = np.random.default_rng(seed)
+    drawn_at = []
+    for tree in range(trees):
+        places = rng.choice(n, min(rows_a_tree, n), replace=False) if n else np.zeros(0, np.int64)
+        part = np.searchsorted(ends, places, side="right")
+        first = np.array([int(parts[k].part) << 33 for k in part], np.int64)
+        drawn_at.append(pd.DataFrame({"tree": tree, "id": first + places - np.r_[0, ends][part].astype(np.int64)}))
+    places = train.sparkSession.createDataFrame(pd.concat(drawn_at), "tree int, id long")
+    drawn = rows.join(F.broadcast(places), "id").withColumn("u", F.col("id"))  # trees x rows_a_tree pairs of numbers
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        part = group.nsmallest(rows_a_tree, "u")
+        part = group.sort_values("u")
         x = np.stack(part["x"].to_numpy())
         rng = np.random.default_rng([seed, int(group["tree"].iloc[0])])
         limit = int(np.ceil(np.log2(max(len(x), 2))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -222,7 +223,7 @@ def mahalanobis_score(spark, sf_dir):
 @query()
 def isolation_score(spark, sf_dir):
     s = materialised(_onset_contexts(spark, sf_dir), "contexts")
-    return models.isolation_score(s, models.fit_isolation(s, 50)).select("capture_id", "window", "label", "score")
+    return models.isolation_score(s, models.fit_isolation(s)).select("capture_id", "window", "label", "score")
 
 
 @query()
@@ -266,13 +267,46 @@ def temporal_attribution(spark, sf_dir):
     return steady(attribution.temporal_attribution(s, s, _linear))
 
 
-@query()
+_ALL = [((7 * k) % 11 - 5) / 8 for k in range(len(schema.STATE_FEATURES))]
+
+
+def _tame(c: str) -> F.Column:
+    return F.col(c).cast("double") / (1 + F.abs(F.col(c).cast("double")))
+
+
+def _drivers(x: np.ndarray) -> np.ndarray:
+    """Sum of the last window's features by weight and a tenth of the first one's."""
+    w = np.array(_ALL)
+    return x[:, -1] @ w + 0.1 * (x[:, 0] @ w)
+
+
+def _state_contexts(spark, sf_dir):
+    s = states_of_packets(spark, sf_dir).select("capture_id", "window", F.array(*map(_tame, schema.STATE_FEATURES)).alias("x"))
+    return materialised(samples.contexts(s, 4, "x"), "contexts")
+
+
+_DRIVEN = STATES + f""", sx AS (SELECT capture_id, win, [{', '.join(f'CAST({c} AS DOUBLE) / (1 + abs(CAST({c} AS DOUBLE)))' for c in schema.STATE_FEATURES)}] AS x FROM st),
+sc AS (SELECT capture_id, win, x AS last, lag(x, 3) OVER (PARTITION BY capture_id ORDER BY win) AS first FROM sx), sf AS (SELECT capture_id, win, unnest(range({len(schema.STATE_FEATURES)})) AS feature, unnest(last) + 0.1::DOUBLE * unnest(first) AS v, unnest({_ALL}) AS w FROM sc WHERE first IS NOT NULL),
+bg AS (SELECT feature, avg(v) AS m FROM sf WHERE capture_id = 0 AND win < 30 GROUP BY 1), ph AS (SELECT capture_id, win, feature, w * (v - m) AS phi FROM sf JOIN bg USING (feature)) """
+
+
+@query(_DRIVEN + f"SELECT {_V}, CAST(feature AS INTEGER) AS feature, {STEADY('phi')} AS contribution FROM ph", "packets_v")
 def feature_attribution(spark, sf_dir):
-    s = materialised(_onset_contexts(spark, sf_dir), "contexts")
-    explained = s.filter("window % 50 = 0")
-    shares = attribution.feature_attribution(explained, s, _linear)
-    name = F.get(F.array(*map(F.lit, schema.STATE_FEATURES[:8])), F.col("feature"))
-    return attribution.top_drivers(shares, name, 4)
+    c = _state_contexts(spark, sf_dir)
+    shares = attribution.matrix_attribution(c, c.filter("capture_id = 0 AND window < 30"), _drivers)
+    return steady(shares.select("capture_id", "window", "feature", "contribution"))
+
+
+@query(
+    _DRIVEN.rstrip() + f""", pl AS (SELECT *, row_number() OVER (PARTITION BY capture_id, win ORDER BY round(abs(phi), 9) DESC, feature) AS place FROM ph)
+    SELECT {_V}, place, ({[*schema.STATE_FEATURES]})[feature + 1] AS feature, {STEADY('phi')} AS contribution, CASE WHEN phi > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM pl WHERE place <= 4""",
+    "packets_v",
+)
+def top_drivers(spark, sf_dir):
+    c = _state_contexts(spark, sf_dir)
+    shares = attribution.matrix_attribution(c, c.filter("capture_id = 0 AND window < 30"), _drivers)
+    name = F.get(F.array(*map(F.lit, schema.STATE_FEATURES)), F.col("feature"))
+    return steady(attribution.top_drivers(shares, name, 4).drop("description"))
 
 
 _FORECAST = _ON.rstrip() + """, rs AS (SELECT capture_id, win, count(*) FILTER (rst_count > 0) / count(*) AS v FROM w GROUP BY 1, 2),
