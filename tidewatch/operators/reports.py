@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import running_counts
+from .profile import quantiles
 from .samples import ewma
 
 BUDGETS = (0.005, 0.01, 0.02, 0.05)
@@ -15,8 +16,19 @@ def _div(a, b) -> F.Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def horizon_metrics(scored: DataFrame, threshold: float) -> DataFrame:
-    """Per forecast step: precision, recall, F1, false-positive rate and the accuracy of the stage; ``scored`` has step, y, score, stage_true, stage_pred."""
+def horizon_thresholds(validation: DataFrame) -> DataFrame:
+    """(step, threshold): of each forecast step's scores to 4 digits, the first with the best F1 on ``validation`` (step, y, score). A step has 10,001 candidates at most where scores are chances."""
+    g = validation.groupBy("step", F.round("score", 4).alias("threshold")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    down, whole = Window.partitionBy("step").orderBy(F.desc("threshold")), Window.partitionBy("step")
+    tp, fp = F.sum("p").over(down), F.sum("n").over(down)
+    f1 = _div(2 * tp, tp + fp + F.sum("p").over(whole))
+    return g.select("step", "threshold", f1.alias("f1")).groupBy("step").agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"))
+
+
+def horizon_metrics(scored: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """Per forecast step: precision, recall, F1, false-positive rate and the accuracy of the stage; ``scored`` has step, y, score, stage_true, stage_pred. ``threshold`` is a number, or (step, threshold) from validation."""
+    if isinstance(threshold, DataFrame):
+        scored, threshold = scored.join(F.broadcast(threshold), "step"), F.col("threshold")  # a row a step
     hit, pos = F.col("score") >= threshold, F.col("y") == 1
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     m = scored.groupBy("step").agg(
@@ -63,6 +75,26 @@ def holdout_study(scored: DataFrame, threshold: float, held_out: int, n_stages:
     return g.join(u, "stage").withColumn("trained_on", F.col("stage") != held_out)
 
 
+def holdout_names(scored: DataFrame, threshold: float, held_out: int, benign: int = 0) -> DataFrame:
+    """What windows of the held-out stage are called, and benign ones that alert: (true_stage, predicted_stage, windows, alerts, share of alerts)."""
+    rows = scored.filter(F.col("stage_true").isin(held_out, benign)).groupBy(F.col("stage_true").alias("true_stage"), F.col("stage_pred").alias("predicted_stage"))
+    g = rows.agg(F.count("*").alias("windows"), F.sum((F.col("score") >= threshold).cast("long")).alias("alerts"))
+    return g.withColumn("alert_share", F.col("alerts") / F.col("windows"))
+
+
+def capture_standing(z: DataFrame, levels: DataFrame, low: DataFrame, least: int = 20) -> DataFrame:
+    """Per capture: the median of |z| over its windows and features, the share of windows with ``least`` features or more outside the range, and CONFIRMED windows.
+
+    ``z`` has capture_id, window, feature, value, z; ``levels`` capture_id, window, level; ``low`` feature, lo, hi.
+    """
+    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
+    per = z.join(F.broadcast(low), "feature").groupBy("capture_id", "window").agg(F.sum(outside.cast("int")).alias("outside"))  # a row a feature
+    share = per.groupBy("capture_id").agg(F.avg((F.col("outside") >= least).cast("double")).alias("share_outside"))
+    middle = quantiles(z.withColumn("far", F.abs("z")), ["capture_id"], "far", (0.5,)).select("capture_id", F.col("v").alias("median_abs_z"))
+    confirmed = levels.groupBy("capture_id").agg(F.sum((F.col("level") == "CONFIRMED").cast("long")).alias("confirmed"))
+    return middle.join(share, "capture_id").join(confirmed, "capture_id", "left").fillna(0, ["confirmed"])
+
+
 def capture_risk_profile(scored: DataFrame, cut: float) -> DataFrame:
     """Per capture: mean, 90th percentile and maximum of the score, windows at or over the cut, and the two commonest stages."""
     g = scored.groupBy("capture_id").agg(F.avg("score").alias("mean"), F.percentile("score", 0.9).alias("p90"), F.max("score").alias("peak"), F.sum((F.col("score") >= cut).cast("int")).alias("over"))

@@ -152,9 +152,23 @@ def operating_points(scored: DataFrame, thresholds: tuple[float, ...], window_us
     return rows.withColumn("false_alerts_per_day", F.col("fpr") * (86_400_000_000 / window_us)).withColumns(ppv)
 
 
-def label_distribution(samples: DataFrame) -> DataFrame:
-    """Samples, positives and distinct onsets per capture."""
-    return samples.groupBy("capture_id").agg(F.count("*").alias("samples"), F.sum("label").alias("positives"), F.count_distinct("onset").alias("onsets"))
+def event_points(scored: DataFrame, thresholds: tuple[float, ...], window_us: int = WINDOW_US) -> DataFrame:
+    """Events, the share warned of and the median lead in seconds for each threshold, in one pass; ``scored`` has capture_id, onset, steps_to_onset, score."""
+    lead = lambda t: F.max(F.when(F.col("score") >= t, F.col("steps_to_onset"))) * (window_us / 1e6)
+    per = scored.filter("onset IS NOT NULL").groupBy("capture_id", "onset").agg(F.array(*(lead(t) for t in thresholds)).alias("leads"))
+    rows = per.select(F.posexplode("leads").alias("k", "lead")).groupBy("k").agg(F.count("*").alias("n_events"), (F.count("lead") / F.count("*")).alias("event_recall"), F.percentile("lead", 0.5).alias("median_lead_s"))
+    return rows.select(F.get(F.array(*map(F.lit, thresholds)), F.col("k")).alias("threshold"), "n_events", "event_recall", "median_lead_s")
+
+
+def label_distribution(samples: DataFrame, by: str = "capture_id") -> DataFrame:
+    """Samples, positives and distinct onsets per capture, or per other column such as the split."""
+    onset = F.when(F.col("onset").isNotNull(), F.struct("capture_id", "onset"))
+    return samples.groupBy(by).agg(F.count("*").alias("samples"), F.sum("label").alias("positives"), F.count_distinct(onset).alias("onsets"))
+
+
+def stage_distribution(labels: DataFrame, by: str = "capture_id") -> DataFrame:
+    """Valid windows of each stage, per capture or other column."""
+    return labels.filter("valid").groupBy(by, "stage").agg(F.count("*").alias("windows"))
 
 
 def serialise_result(windows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -58,9 +58,11 @@ def escalation_samples(spark, sf_dir):
     return samples.build_onset_samples(samples.escalation_task(_timeline(spark, sf_dir).withColumn("valid", F.lit(True))), 4, 5)
 
 
-@query(_TL + f"SELECT {_V}, stage, false AS valid, 'unlabelled' AS label_source FROM lw", "flows_v", "timeline_v")
+@query(_TL + f", k AS (SELECT unnest(['unlabelled', 'dataset labels', 'ground-truth timeline']) AS label_source) SELECT {_V}, stage, stage <> 1 AND label_source <> 'unlabelled' AS valid, label_source FROM lw, k", "flows_v", "timeline_v")
 def label_source(spark, sf_dir):
-    return labels.label_source(_timeline(spark, sf_dir).withColumn("valid", F.lit(True)), False, False).select("capture_id", "window", "stage", "valid", "label_source")
+    rows = _timeline(spark, sf_dir).withColumn("valid", F.col("stage") != 1).select("capture_id", "window", "stage", "valid")
+    none, data, timeline = (labels.label_source(rows, *flags) for flags in ((False, False), (False, True), (True, True)))
+    return none.unionByName(data).unionByName(timeline)
 
 
 _HOLD = "WITH c AS (SELECT capture_id, capture_id % 3 = 0 AND bool_or(stage_true = 3) AS held FROM scores_v GROUP BY 1), r AS (SELECT capture_id, row_number() OVER (ORDER BY md5(concat('1337|', capture_id)), capture_id) AS i, count(*) OVER () AS n FROM c WHERE NOT held) "
@@ -232,7 +234,7 @@ def hazard_probability(spark, sf_dir):
     long = s.select("capture_id", "window", F.posexplode(F.element_at("context", -1)).alias("feature", "value"))
     rows = profile.fit_profile(long).orderBy("feature").collect()
     p = {"centre": [r.centre for r in rows], "scale": [r.scale for r in rows]}
-    scored = materialised(models.hazard_score(s, models.fit_hazard(s, p, rounds=10), p).select("capture_id", "window", "label", "score"), "hazard")
+    scored = materialised(models.hazard_score(s, models.fit_hazard(s, p, rounds=40), p).select("capture_id", "window", "label", "score"), "hazard")
     return models.probability(scored, models.calibrate(scored))
 
 

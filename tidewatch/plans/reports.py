@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import profile, reports
+from ..sources.shared import materialised
 from .registry import _LONG, _SC, _long, _scores, query, rounded
 
 
@@ -28,6 +29,38 @@ def budget_table(spark, sf_dir):
     return rounded(reports.budget_table(_scores(spark, sf_dir)))
 
 
+@query(
+    _SC + """v AS (SELECT t % 5 + 1 AS step, round(score, 4) AS threshold, sum(y) AS p, sum(1 - y) AS n FROM s WHERE capture_id < 3 GROUP BY 1, 2), r AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER (PARTITION BY step) AS np FROM v WINDOW d AS (PARTITION BY step ORDER BY threshold DESC)),
+    b AS (SELECT step, arg_max(threshold, (CASE WHEN tp + fp + np = 0 THEN 0.0 ELSE 2 * tp / (tp + fp + np) END, -threshold)) AS threshold FROM r GROUP BY 1),
+    m AS (SELECT s.t % 5 + 1 AS step, any_value(threshold) AS threshold, count(*) AS n, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 1) AS fn FROM s JOIN b ON b.step = s.t % 5 + 1 WHERE capture_id >= 3 GROUP BY 1)
+    SELECT step, round(threshold, 6) AS threshold, n, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM m""",
+    "scores_v",
+)
+def horizon_validated(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("step", F.col("t") % 5 + 1)
+    chosen = materialised(reports.horizon_thresholds(s.filter("capture_id < 3")), "thresholds")
+    return rounded(reports.horizon_metrics(s.filter("capture_id >= 3"), chosen).join(chosen, "step").select("step", "threshold", "n", "tp", "fp", "fn", "f1"))
+
+
+@query(_SC + "g AS (SELECT stage_true AS true_stage, stage_pred AS predicted_stage, count(*) AS windows, count(*) FILTER (score >= 0.6) AS alerts FROM s WHERE stage_true IN (0, 3) GROUP BY 1, 2) SELECT *, round(alerts / windows, 6) AS alert_share FROM g", "scores_v")
+def holdout_names(spark, sf_dir):
+    return rounded(reports.holdout_names(_scores(spark, sf_dir), 0.6, 3))
+
+
+@query(
+    _LONG + """f AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM l GROUP BY 1),
+    z AS (SELECT l.*, (value - m) / s AS z, value < lo OR value > hi AS far FROM l JOIN f USING (feature)), w AS (SELECT capture_id, win, sum(CAST(far AS INTEGER)) AS n FROM z GROUP BY 1, 2),
+    a AS (SELECT capture_id, round(quantile_cont(abs(z), 0.5), 6) AS median_abs_z FROM z GROUP BY 1), b AS (SELECT capture_id, round(avg(CASE WHEN n >= 14 THEN 1.0 ELSE 0.0 END), 6) AS share_outside, count(*) FILTER (win % 3 = 0) AS confirmed FROM w GROUP BY 1) SELECT * FROM a JOIN b USING (capture_id)"""
+)
+def capture_standing(spark, sf_dir):
+    long = materialised(_long(spark, sf_dir), "long")
+    fit = long.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    edges = profile.quantiles(long, ["feature"], "value", (0.1, 0.9)).groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    z = materialised(long.join(fit, "feature").withColumn("z", (F.col("value") - F.col("m")) / F.col("s")), "z")
+    levels = long.select("capture_id", "window").distinct().withColumn("level", F.when(F.col("window") % 3 == 0, "CONFIRMED").otherwise("CLEAR"))
+    return rounded(reports.capture_standing(z, levels, edges, 14))
+
+
 @query(_SC + "g AS (SELECT capture_id, count(*) AS n_windows, count(*) FILTER (score >= 0.9) AS alerts FROM s WHERE y = 0 GROUP BY 1) SELECT *, round(alerts / (n_windows * 30.0::DOUBLE / 3600), 6) AS alerts_per_hour FROM g", "scores_v")
 def background_false_alarms(spark, sf_dir):
     return rounded(reports.background_false_alarms(_scores(spark, sf_dir).filter("y = 0"), 0.9))

@@ -10,7 +10,7 @@ from ..operators import profile, studies
 from ..sources import flow_files, shared
 from ..sources.shared import materialised
 from ..streaming import live
-from .registry import _EP, _LONG, _ON, _SC, _STD, W, _long, _onsets, _scores, _stage_sql, _w, _windowed, query, rounded
+from .registry import _EP, _LONG, _ON, _SC, _STD, _TL, W, _long, _onsets, _scores, _stage_sql, _timeline, _w, _windowed, query, rounded
 from .states import FLOWS, WHOLE_FLOWS, whole_flows
 
 
@@ -103,6 +103,18 @@ def find_best_threshold(spark, sf_dir):
     return rounded(studies.find_best_threshold(s))
 
 
+@query(
+    """WITH s AS (SELECT y, floor(score_milli / 10) / 100 AS score FROM scores_v), t AS (SELECT sum(y) AS np, sum(1 - y) AS nn FROM s), g AS (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY 1),
+    r AS (SELECT score AS threshold, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM g), m AS (SELECT threshold, tp / (tp + fp) AS precision, tp / np AS recall, fp / nn AS fpr FROM r, t),
+    f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)
+    SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(f1, 6) AS f1 FROM f WHERE fpr <= 0.1 ORDER BY recall DESC, threshold LIMIT 1""",
+    "scores_v",
+)
+def find_best_threshold_limited(spark, sf_dir):
+    s = fixtures.view(spark, sf_dir, "scores_v").select("y", (F.floor(F.col("score_milli") / 10) / 100).alias("score"))
+    return rounded(studies.find_best_threshold(s, "recall", max_fpr=0.1))
+
+
 _PPV = ", ".join(f"round(CASE WHEN tpr * {p} + fpr * {1 - p!r} > 0 THEN tpr * {p} / (tpr * {p} + fpr * {1 - p!r}) END, 6) AS ppv_{k}" for k, p in enumerate(studies.PREVALENCES, 2))
 
 
@@ -111,6 +123,21 @@ def operating_points(spark, sf_dir):
     return rounded(studies.operating_points(_scores(spark, sf_dir), (0.6, 0.8, 0.95, 1.2)))
 
 
+@query(_ON + "SELECT capture_id % 3 AS split, count(*) AS samples, CAST(sum(CASE WHEN onset IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS positives, count(DISTINCT CASE WHEN onset IS NOT NULL THEN concat(capture_id, '|', onset) END) AS onsets FROM o3 GROUP BY 1", "flows_v", "timeline_v")
+def label_distribution_by_split(spark, sf_dir):
+    return studies.label_distribution(_onsets(spark, sf_dir).withColumn("split", F.col("capture_id") % 3), "split")
+
+
+@query(_TL + "SELECT capture_id % 3 AS split, stage, count(*) AS windows FROM lw WHERE win % 7 <> 0 GROUP BY 1, 2", "flows_v", "timeline_v")
+def stage_distribution(spark, sf_dir):
+    return studies.stage_distribution(_timeline(spark, sf_dir).withColumns({"valid": F.col("window") % 7 != 0, "split": F.col("capture_id") % 3}), "split")
+
+
+@query(_ON + ", s AS (SELECT capture_id, onset, onset - win AS steps, (win * 37 % 100) / 100.0 AS score FROM o3 WHERE onset IS NOT NULL), c AS (SELECT unnest([0.3, 0.6, 0.9]::DOUBLE[]) AS threshold), p AS (SELECT threshold, capture_id, onset, max(CASE WHEN score >= threshold THEN steps END) * 30.0::DOUBLE AS lead FROM s, c GROUP BY 1, 2, 3) SELECT threshold, count(*) AS n_events, round(count(lead) / count(*), 6) AS event_recall, round(quantile_cont(lead, 0.5), 6) AS median_lead_s FROM p GROUP BY 1", "flows_v", "timeline_v")
+def event_points(spark, sf_dir):
+    return rounded(studies.event_points(_onsets(spark, sf_dir).withColumn("score", F.col("window") * 37 % 100 / 100), (0.3, 0.6, 0.9)))
+
+
 @query(_ON + "SELECT capture_id, count(*) AS samples, CAST(sum(CASE WHEN onset IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS positives, count(DISTINCT onset) AS onsets FROM o3 GROUP BY 1", "flows_v", "timeline_v")
 def label_distribution(spark, sf_dir):
     return studies.label_distribution(_onsets(spark, sf_dir))
