@@ -264,3 +264,11 @@ def test_every_isolation_tree_has_its_rows(spark):
     scored = models.isolation_score(table, models.fit_isolation(table, 40)).collect()
     common, rare = ([r.score for r in scored if (r.context[0][1] == 0) == same] for same in (True, False))
     assert max(common) < min(rare)
+
+
+def test_tables_of_features_are_kept(spark, tmp_path):
+    long = spark.createDataFrame([(1, w, f, float(w * f)) for w in range(9) for f in range(3)], "capture_id long, window long, feature int, value double")
+    fitted = profile.fit_profile(long)
+    models.save_table(fitted, str(tmp_path / "p"))
+    again = models.load_table(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, again.select(*fitted.columns).collect())) == sorted(map(tuple, fitted.collect()))

@@ -317,12 +317,16 @@ def fit_mahalanobis(train: DataFrame) -> dict:
 
 
 def mahalanobis_score(samples: DataFrame, model: dict) -> DataFrame:
-    """Add score: the squared distance of the last window, as one native quadratic form."""
-    z = F.transform(F.arrays_zip(F.element_at("context", -1).alias("x"), F.array(*map(F.lit, model["mean"].tolist())).alias("m"), F.array(*map(F.lit, model["scale"].tolist())).alias("s")), lambda t: (t["x"] - t["m"]) / t["s"])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    p = F.array(*(F.array(*map(F.lit, row)) for row in model["precision"].tolist()))
-    quad = F.element_at(F.transform(F.array(z), lambda v: dot(v, F.transform(p, lambda row: dot(row, v)))), 1)
-    return samples.withColumn("score", quad)
+    """Add score: the squared distance of the last window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                last = np.array([c[-1].as_py() for c in b.column("context")], float)
+                z = (last - model["mean"]) / model["scale"]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(((z @ model["precision"]) * z).sum(axis=1))], names=[*b.schema.names, "score"])
+
+    return samples.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in samples.dtypes) + ", score double")
 
 
 TREES, TREE_ROWS = 200, 256

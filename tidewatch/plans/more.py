@@ -116,6 +116,12 @@ def describe_features(spark, sf_dir):
     return e.withColumn("description", words.describe_feature(F.col("feature")))
 
 
+@query("SELECT DISTINCT stage, concat(stage, ' (', CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.TACTICS.items()) + " ELSE '-' END, ') - ', CASE WHEN stage = 'Impact' THEN 'T1486' ELSE '' END) AS description FROM timeline_v", "timeline_v")
+def describe_stages(spark, sf_dir):
+    t = fixtures.view(spark, sf_dir, "timeline_v").select("stage").distinct()
+    return t.withColumn("description", words.describe_stage(F.col("stage"), {"Impact": "T1486"}))
+
+
 def _frames(spark, sf_dir):
     """Ethernet frames of the packets, as captures hold them."""
     p = fixtures.view(spark, sf_dir, "packets_v")
@@ -260,6 +266,18 @@ m AS (SELECT f, avg(v) AS m FROM (SELECT unnest(range(8)) AS f, unnest(y) AS v F
 _LW = "[" + ", ".join(f"{w}::DOUBLE" for w in _WEIGHTS) + "]"
 
 
+@query(
+    _LIN + f""", x AS (SELECT capture_id, win, context[4][1] AS a, context[4][2] AS b FROM k), mo AS (SELECT avg(a) AS ma, stddev_pop(a) + 1e-6::DOUBLE AS sa, avg(b) AS mb, stddev_pop(b) + 1e-6::DOUBLE AS sb FROM x WHERE a <= 0),
+    z AS (SELECT capture_id, win, a <= 0 AS benign, (a - ma) / sa AS u, (b - mb) / sb AS v FROM x, mo), cv AS (SELECT avg(u * u) AS s11, avg(u * v) AS s12, avg(v * v) AS s22, count(*) AS n FROM z WHERE benign),
+    q AS (SELECT s11, s12, s22, (s11 + s22) / 2 AS mu, n, (SELECT avg(pow(u * u - s11, 2) + 2 * pow(u * v - s12, 2) + pow(v * v - s22, 2)) FROM z, cv WHERE benign) / n AS noise FROM cv), h AS (SELECT *, pow(s11 - mu, 2) + 2 * s12 * s12 + pow(s22 - mu, 2) AS spread FROM q),
+    r AS (SELECT least(noise, spread) / spread AS k, * FROM h), p AS (SELECT (1 - k) * s11 + k * mu AS p11, (1 - k) * s12 AS p12, (1 - k) * s22 + k * mu AS p22 FROM r)
+    SELECT {_V}, {STEADY('(u * u * p22 - 2 * u * v * p12 + v * v * p11) / (p11 * p22 - p12 * p12)')} AS score FROM z, p"""
+)
+def mahalanobis_of_two(spark, sf_dir):
+    s = materialised(_onset_contexts(spark, sf_dir).withColumn("context", F.transform("context", lambda row: F.slice(row, 1, 2))), "contexts")
+    return steady(models.mahalanobis_score(s, models.fit_mahalanobis(s)).select("capture_id", "window", "score"))
+
+
 @query(
     _LIN + f""", b AS (SELECT sum(m * ({_LW})[f + 1]) AS b FROM m), d AS (SELECT capture_id, win, abs(list_dot_product(context[4], {_LW}) - b) AS d0, abs(list_dot_product(context[1], {_LW}) - b) * 0.1 AS d3 FROM k, b)
     SELECT {_V}, lag, floor(CASE WHEN d0 + d3 = 0 THEN 0 ELSE CASE lag WHEN 0 THEN d0 WHEN 3 THEN d3 ELSE 0 END / (d0 + d3) END * 1e5 + 0.37771234::DOUBLE) / 1e5 AS share FROM d, (SELECT unnest([0, 1, 2, 3]) AS lag)"""

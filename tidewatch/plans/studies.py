@@ -211,6 +211,17 @@ def corpus_round_trip(spark, sf_dir):
     return flow_files.read_corpus(spark, path)
 
 
+@query("SELECT start_us, end_us, stage, concat('10.20.', capture_id) AS attacker, CAST(NULL AS VARCHAR) AS victim FROM timeline_v", "timeline_v")
+def timeline_round_trip(spark, sf_dir):
+    """Each capture's timeline written as one document and read back."""
+    path = shared.scratch(spark, "timeline")
+    t = fixtures.view(spark, sf_dir, "timeline_v")
+    one = F.struct((F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"), "stage", F.concat(F.lit("10.20."), F.col("capture_id")).alias("attacker"))
+    docs = t.groupBy("capture_id").agg(F.to_json(F.struct(F.collect_list(one).alias("timeline"))).alias("value"))
+    docs.write.partitionBy("capture_id").text(path)
+    return flow_files.read_timeline(spark, f"{path}/*/*.txt").select("start_us", "end_us", "stage", "attacker", "victim")
+
+
 def _stream(spark, sf_dir, view: str, micros: str):
     path = f"{sf_dir}/events.parquet"
     rows = live.stream_rows(spark, f"{path}*", spark.read.parquet(path).schema)
