@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import keyed_texts, labelled_sample
 
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 6 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 5 << 20
 FOLDS, HELD_OUT, CUT, TAG = 5, 0, 0.5, 0.5
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 SEED_SHARE = 0.8
 SHINGLE, MARKS = 5, 8
 STEPS, RATE, RIDGE = 50, 0.25, 1e-4
@@ -36,9 +36,9 @@ WORD = re.compile(r"\S+")
 
 
 def features(word: str) -> list[str]:
-    """The features of a word in lower case: itself, without punctuation around it, and its beginnings."""
+    """The features of a word in lower case: itself, without punctuation around it, and its beginnings, if it is longer."""
     word = word.strip(EDGES)
-    return [f"={word}", *(word[:k] for k in BEGINNINGS if len(word) >= k)] if word else []
+    return [f"={word}", *(word[:k] for k in BEGINNINGS if len(word) > k)] if word else []
 
 
 class Chain:
