@@ -1,6 +1,7 @@
 """Models on made-up samples with known answers, and sums that must not depend on partitions."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -272,3 +273,19 @@ def test_tables_of_features_are_kept(spark, tmp_path):
     models.save_table(fitted, str(tmp_path / "p"))
     again = models.load_table(spark, str(tmp_path / "p"))
     assert sorted(map(tuple, again.select(*fitted.columns).collect())) == sorted(map(tuple, fitted.collect()))
+
+
+def test_quantiles_see_one_sketch(spark, tmp_path, monkeypatch):
+    """A sketch of many pieces comes out otherwise each time that it is made."""
+    values = np.random.default_rng(3).normal(size=2000)
+    rows = [(0, k, f, float(x) * (f + 1)) for f in range(3) for k, x in enumerate(values)]
+    spark.createDataFrame(rows, "capture_id long, window long, feature int, value double").repartition(8).write.parquet(str(tmp_path / "long"))
+    sketch, shaken = F.percentile_approx, F.udf(lambda cuts: sorted(c + random.SystemRandom().uniform(-0.3, 0.3) for c in cuts), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: shaken(sketch(*a)))
+    got = profile.fit_profile(spark.read.parquet(str(tmp_path / "long"))).collect()
+    assert len(got) == 3
+    for r in got:
+        v = values * (r.feature + 1)
+        centre = np.median(v)
+        scale = max(1.4826 * np.median(abs(v - centre)), 0.5 * v.std(), 1e-3 + 0.01 * abs(centre))
+        assert (r.centre, r.scale) == pytest.approx((centre, scale), abs=1e-12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialised
 
 PARTS = 64
 
@@ -14,9 +15,11 @@ def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...])
 
     A sketch cuts each group's range into PARTS; counts of the parts tell in which of them the wanted
     ranks lie, and only these are ordered, value by value with its count. Null values are left out.
+    A sketch depends on the order in which its pieces arrive, so it is written: counts and ordered
+    values must see the same cuts.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
+    sketch = materialised(rows.groupBy(*by).agg(F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts")), "cuts")
     part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
     counted = rows.join(sketch, by).groupBy(*by, part.alias("_part"), "_x").agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*by)
