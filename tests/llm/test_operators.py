@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -189,6 +190,18 @@ def test_buckets_split_by_later_bands(docs, monkeypatch):
     assert want == sorted(minhash.near_duplicates(docs).collect())
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Pairs that share one band, in a bucket of others, are found whatever the bucket's size."""
+    draw = random.Random(5)
+    rows = [(k, " ".join(f"w{i}" for i in range(300) if draw.random() < 2 / 3)) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(minhash.near_duplicates(table, 58, 1).collect())
+    assert sum(r.doc_id != r.component_id for r in want) > 10
+    monkeypatch.setattr(minhash, "SPLIT", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 1)
+    assert want == sorted(minhash.near_duplicates(table, 58, 1).collect())
+
+
 def test_layouts_agree(docs, odd):
     for op in (mixing.op6, training_order.op10):
         assert sorted(op(docs.repartition(3)).collect()) == sorted(op(docs.repartition(5)).collect())

@@ -9,9 +9,9 @@ same words in the same order meet the others as one.
 
 With BANDS bands of ROWS registers a pair at a threshold of 0.85 is missed with probability
 (1 - 0.85**ROWS)**BANDS = 5e-9 (2e-5 at 0.8), one at 0.4 becomes a candidate with 0.04. An
-estimate is MARGIN below the threshold by chance with about 2e-6. A bucket whose members, more than
-SPLIT of them, are still apart is split by their other bands: a pair needs two common bands there,
-which one at 0.85 lacks with 1e-7 (2e-4 at 0.8).
+estimate is MARGIN below the threshold by chance with about 2e-6. All members of a bucket that are
+still apart meet, however many: blocks grow with the bucket from BLOCK to SPLIT members, so that up
+to 16 * SPLIT of them are copied at most 16 times; the comparisons grow with the square of those apart.
 """
 
 from __future__ import annotations
@@ -144,12 +144,11 @@ def _far(threshold: float):
 def _blocks(threshold: float):
     """Pairs of different components within (bucket, block pair) runs of sorted rows, on registers.
 
-    A pair that shares several buckets is told in that of its first common band alone; where the
-    bucket was split by a further band, in the part of its second.
+    A pair that shares several buckets is told in that of its first common band alone.
     """
 
     def pairs(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, part, ids, comp, bucket, other_bucket, regs = (np.concatenate([r[k] for r in rows]) for k in range(7))
+        key, part, ids, comp, bucket, regs = (np.concatenate([r[k] for r in rows]) for k in range(6))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for a, z in zip(edge[:-1], edge[1:]):
             left = np.flatnonzero(part[a:z] != 2) + a
@@ -160,11 +159,7 @@ def _blocks(threshold: float):
                 if len(near):
                     own = _buckets(regs[i])
                     common = (regs[near].reshape(len(near), BANDS, ROWS) == regs[i].reshape(BANDS, ROWS)).all(axis=2)
-                    told = own[np.argmax(common, axis=1)] == bucket[a]
-                    if other_bucket[a]:
-                        common[np.arange(len(near)), np.argmax(common, axis=1)] = False
-                        told &= own[np.argmax(common, axis=1)] == other_bucket[a]
-                    near = near[told]
+                    near = near[own[np.argmax(common, axis=1)] == bucket[a]]
                 if len(near):
                     yield np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])
 
@@ -178,7 +173,7 @@ def _blocks(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("bucket").to_numpy(), b.column("other").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
+            cols = (b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("bucket").to_numpy(), np.frombuffer(b"".join(v.as_py() for v in b.column("registers")), "<u2").reshape(-1, HASHES))
             last = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1]
             if held and held[-1][0][-1] != cols[0][0]:
                 yield from out(held)
@@ -219,13 +214,13 @@ def _normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(rows: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """Candidates among rows (doc_id, component, bucket, other, m) of a bucket, or of its part by ``other``: its m rows meet in blocks."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    entries = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    entries = entries.select("bucket", "other", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second"))
+    """Candidates among rows (doc_id, component, bucket, m) of a bucket: its m rows meet in blocks of BLOCK to SPLIT rows."""
+    size = F.least(F.lit(SPLIT), F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 16)))
+    entries = rows.withColumn("blocks", F.ceil(F.col("m") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    entries = entries.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second"))
     side = F.when(F.col("block") == F.col("second"), 0).when(F.col("block") < F.col("second"), 1).otherwise(2)
-    entries = entries.select("doc_id", "component", "bucket", "other", F.xxhash64("bucket", "other", F.least("block", "second"), F.greatest("block", "second")).alias("key"), side.alias("side"))
-    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "bucket", "other", "registers")
+    entries = entries.select("doc_id", "component", "bucket", F.xxhash64("bucket", F.least("block", "second"), F.greatest("block", "second")).alias("key"), side.alias("side"))
+    met = entries.join(heads, "doc_id").select("key", "side", "doc_id", "component", "bucket", "registers")
     return met.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "x long, y long")
 
 
@@ -263,14 +258,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     # buckets whose members are still apart: their members meet in blocks
     placed = band.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("bucket", "m")
-    placed = written(placed.select("bucket", "doc_id", "component").join(apart, "bucket"), "apart")
-    few = placed.filter(F.col("m") <= SPLIT).withColumn("other", F.lit(0).cast("long"))
-    # a bucket that many share is split by their later bands: near copies share several bands
-    later = F.explode(F.slice("buckets", F.array_position("buckets", F.col("bucket")).cast("int") + 1, BANDS)).alias("other")
-    many = placed.filter(F.col("m") > SPLIT).join(signed.select("doc_id", "buckets"), "doc_id").select("bucket", "doc_id", "component", later)
-    parted = many.groupBy("bucket", "other").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("bucket", "other", "m")
-    many = many.join(parted, ["bucket", "other"])
-    more = confirmed(_met(few.unionByName(many), heads, percent / 100))
+    placed = placed.select("bucket", "doc_id", "component").join(apart, "bucket")
+    more = confirmed(_met(placed, heads, percent / 100))
 
     copies = grouped().filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     found = components(links.unionByName(more).unionByName(copies))
