@@ -123,6 +123,8 @@ def _sweep(docs: DataFrame, gaps: DataFrame, slots: Column, rows: int) -> tuple[
     ranges = max(1, -(-rows // RANGE_ROWS))
     dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.repartition(1)  # a shuffle: a merged scan would hold all its readers open
     swept = written(dealt.sortWithinPartitions(*order, "id", "slot").mapInArrow(_match, SWEPT_SQL), "pack-sweep")
+    if ranges == 1:
+        swept = swept.coalesce(1)  # what one task has swept needs no shuffle to be counted and summed up
     tally = swept.groupBy("part", "state").agg(F.count("*").alias("n"), F.min("size").alias("least")).collect()  # three rows a range
     count = lambda state: {r.part: r.n for r in tally if r.state == state}
     spans = _between_ranges(count(DOC), count(GAP))
@@ -157,6 +159,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     half = todo[0][0]
     of_batch = sum((F.when(F.col("size") <= high, 1).otherwise(0) for _, high in rest), F.lit(0))
     amounts = {r[0]: r[1] for r in lengths.groupBy(of_batch.alias("b")).count().collect()}  # a row per batch
+    files = max(1, -(-sum(amounts.values()) // RANGE_ROWS))
     # the longest open a sequence each, named by the item
     alone = lengths.filter(F.col("size") > half)
     write(alone.select(F.col("item").alias("sequence"), "item", "size", F.lit(0).cast("long").alias("offset"), (capacity - F.col("size")).alias("left"), F.lit(True).alias("head")), f"{folder}/step=0")
@@ -181,7 +184,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             placed = met.select("sequence", "item", "size", (capacity - F.col("free") + before).alias("offset"), (F.col("free") - F.coalesce(F.sum("size").over(of), F.lit(0))).alias("left"), (F.row_number().over(of.orderBy("slot")) == 1).alias("head"))
             write(placed, f"{folder}/step={step}")
             changed = spark.read.schema(PLACED).parquet(f"{folder}/step={step}").filter("head").select("sequence", F.col("left").alias("free"))
-            gaps = written(gaps.filter((F.col("free") < least) & (F.col("free") > 0)).unionByName(changed.filter("free > 0")), "pack-gaps")
+            gaps = written(gaps.filter((F.col("free") < least) & (F.col("free") > 0)).unionByName(changed.filter("free > 0")).coalesce(files), "pack-gaps")
             least = least_left
     placed = spark.read.schema(PLACED).parquet(folder).filter("item IS NOT NULL").select(F.col("item").alias("_pack_item"), F.col("sequence").alias("sequence_id"), "offset")
     return items.join(placed, "_pack_item").select(*[F.col(f"`{c}`") for c in columns], "sequence_id", "offset")
