@@ -1,13 +1,15 @@
-"""Packet captures: their two formats, read record by record from any place, and frames decoded by column expressions."""
+"""Packet captures: their two formats, read record by record from any place, and frames decoded batch by batch."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import store_of
 
@@ -22,7 +24,11 @@ TCP, UDP, ICMP, ICMPV6 = 6, 17, 1, 58
 # -------------------------------------------------------------------------------------------------
 
 FRAMES = "capture_id long, packet_no long, ts_us long, linktype int, frame binary, error string"
-PACKET_COLUMNS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ip_ttl", "ip_id", "ip_flags", "frag_offset", "ip_len", "ihl", "tcp_flags", "tcp_window", "tcp_seq", "tcp_ack", "tcp_doff", "payload_len", "frame_len")
+PACKETS = (
+    "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, ip_ttl int, ip_id int, ip_flags int, frag_offset int, ip_len long, ihl int, "
+    "tcp_flags int, tcp_window long, tcp_seq long, tcp_ack long, tcp_doff int, payload_len long, frame_len long"
+)
+PACKET_COLUMNS = tuple(c.split()[0] for c in PACKETS.split(", "))
 
 
 class MalformedCapture(ValueError):
@@ -187,65 +193,87 @@ def frame_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _TYPES)], names=_NAMES)
 
 
-def _number(data: Column, at: Column | int, size: int) -> Column:
-    """Big-endian number of ``size`` bytes at a 0-based place; null past the end."""
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.when(F.length(data) >= at + size, F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("long"))
-
-
-def _dotted(data: Column, at: int) -> Column:
-    return F.concat_ws(".", *(_number(data, at + k, 1).cast("string") for k in range(4)))
-
-
-def _colons(data: Column, at: int) -> Column:
-    return F.concat_ws(":", *(F.lower(F.hex(_number(data, at + k, 2))) for k in range(0, 16, 2)))
-
-
-def _step(rows: DataFrame, kept: list[str], *made: Column) -> DataFrame:
-    """``kept`` and the columns made from a row, computed once: a generator keeps them from being written out wherever they are used."""
-    return rows.select(*kept, F.inline(F.array(F.struct(*made))))
+HEAD = 128  # tags, the longest IP header and the longest header beyond it that is read take 102
+
+
+def _addresses(data: np.ndarray, at: np.ndarray, six: np.ndarray) -> pa.Array:
+    """Addresses as texts: of 16 bytes where ``six``, else of 4; each distinct one is written out once."""
+    out = np.empty(len(at), object)
+    for of, size in ((~six, 4), (six, 16)):
+        if of.any():
+            raw = np.ascontiguousarray(data[at[of][:, None] + np.arange(size)])
+            distinct, which = np.unique(raw.view(f"V{size}").ravel(), return_inverse=True)
+            texts = [".".join(map(str, v.tobytes())) if size == 4 else ":".join(f"{g:x}" for g in struct.unpack(">8H", v.tobytes())) for v in distinct]
+            out[of] = np.array(texts, object)[which.ravel()]
+    return pa.array(out, pa.string())
+
+
+def _decoded(b: pa.RecordBatch, rest: list[str]) -> pa.RecordBatch:
+    """The packets of a batch of ``rest``, _link, _size (of the frame) and _head (its first HEAD bytes)."""
+    heads = b.column("_head").cast(pa.binary())
+    starts = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset : heads.offset + len(heads)].astype(np.int64)
+    data = np.r_[np.frombuffer(heads.buffers()[2] or b"", np.uint8), np.zeros(4 * HEAD, np.uint8)]
+    link, size = b.column("_link").fill_null(-1).to_numpy(zero_copy_only=False), b.column("_size").to_numpy()
+    for strange in link[~np.isin(link, (ETHERNET, SLL, SLL2, *RAW))]:
+        raise ValueError(f"unsupported link type {strange}")
+
+    def number(at: np.ndarray, n: int) -> np.ndarray:
+        """Big-endian numbers; past a frame's end they mean nothing."""
+        out = np.zeros(len(at), np.int64)
+        for k in range(n):
+            out = out << 8 | data[at + k]
+        return out
+
+    first, second, third = (number(starts + k, 2) for k in (12, 16, 20))
+    two = (size >= 22) & np.isin(first, TAGS) & np.isin(second, TAGS)
+    one = (size >= 18) & np.isin(first, TAGS)
+    ether = np.where(two, third, np.where(one, second, np.where(size >= 14, first, -1)))
+    version = np.where(size >= 1, number(starts, 1) >> 4, 0)
+    raw = np.where(version == 4, IPV4, np.where(version == 6, IPV6, -1))
+    kind = np.select([link == ETHERNET, link == SLL, link == SLL2], [ether, np.where(size >= 16, number(starts + 14, 2), -1), np.where(size >= 20, number(starts, 2), -1)], raw)
+    skip = np.select([link == ETHERNET, link == SLL, link == SLL2], [np.where(two, 22, np.where(one, 18, 14)), 16, 20], 0)
+    six, ip, held = kind == IPV6, starts + skip, np.maximum(0, size - skip)
+    lead = number(ip, 1)
+    ihl = np.where(six, 40, (lead & 15) * 4)
+    fine = np.where(six, (held >= 40) & (lead >> 4 == 6), (kind == IPV4) & (held >= 20) & (lead >> 4 == 4) & (ihl >= 20) & (held >= ihl))
+    b, size, six, ip, held, ihl = b.filter(pa.array(fine)), size[fine], six[fine], ip[fine], held[fine], ihl[fine]
+
+    zero = lambda x: np.where(six, 0, x)
+    stated, part = number(ip + 2, 2), number(ip + 6, 2)
+    length = np.where(six, number(ip + 4, 2) + 40, np.where(stated > 0, stated, held))
+    protocol, ttl, frag = number(ip + np.where(six, 6, 9), 1), number(ip + np.where(six, 7, 8), 1), zero(part & 0x1FFF)
+    l4, beyond, left = ip + ihl, held - ihl, np.maximum(0, length - ihl)
+    head = frag == 0
+    tcp, udp, icmp = head & (protocol == TCP) & (beyond >= 20), head & (protocol == UDP) & (beyond >= 8), head & np.isin(protocol, (ICMP, ICMPV6)) & (beyond >= 4)
+    offset, stated = np.maximum(20, (number(l4 + 12, 1) >> 4) * 4), number(l4 + 4, 2)
+    of_tcp = lambda at, n: np.where(tcp, number(l4 + at, n), 0)
+    port = lambda at, k: np.where(tcp | udp, number(l4 + at, 2), np.where(icmp, number(l4 + k, 1), 0))
+    payload = np.select([tcp, udp, icmp], [left - offset, np.where(stated >= 8, stated, left) - 8, left - 8], left)
+    made = [
+        _addresses(data, ip + np.where(six, 8, 12), six), _addresses(data, ip + np.where(six, 24, 16), six), port(0, 0), port(2, 1), protocol, ttl, zero(number(ip + 4, 2)), zero(part >> 13), frag, length, ihl,
+        of_tcp(13, 1), of_tcp(14, 2), of_tcp(4, 4), of_tcp(8, 4), np.where(tcp, offset, np.where(udp | icmp, 8, 0)), np.maximum(0, payload), size,
+    ]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    types = [kinds[c.split()[1]] for c in PACKETS.split(", ")]
+    return pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(x, t) for x, t in zip(made, types)], names=[*rest, *PACKET_COLUMNS])
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
     """``frames`` (linktype, frame and any others) with the packet's columns in place of the two.
 
     Frames that hold no readable IPv4 or IPv6 packet go. Ethernet may carry two tags; fragments after
-    the first have lengths only; ICMP shows type and code as ports. Other link types raise.
+    the first have lengths only; ICMP shows type and code as ports. Other link types raise. Batches
+    are decoded column by column, and hold only the headers of their frames.
     """
-    link, frame = F.col("linktype"), F.col("frame")
-    first, second, third = (_number(frame, k, 2) for k in (12, 16, 20))
-    one, two = first.isin(*TAGS) & second.isNotNull(), first.isin(*TAGS) & second.isin(*TAGS) & third.isNotNull()
-    version = F.shiftright(_number(frame, 0, 1), 4)
-    kind = F.when(link == ETHERNET, F.when(two, third).when(one, second).otherwise(first)).when(link == SLL, _number(frame, 14, 2)).when(link == SLL2, F.when(F.length(frame) >= 20, _number(frame, 0, 2)))
-    kind = kind.when(link.isin(*RAW), F.when(version == 4, IPV4).when(version == 6, IPV6)).otherwise(F.raise_error(F.concat(F.lit("unsupported link type "), link.cast("string"))))
-    skip = F.when(link == ETHERNET, F.when(two, 22).when(one, 18).otherwise(14)).when(link == SLL, 16).when(link == SLL2, 20).otherwise(0)
     rest = [c for c in frames.columns if c not in ("linktype", "frame", "error")]
-    rows = _step(frames.filter(frame.isNotNull()), rest, F.length(frame).cast("long").alias("frame_len"), kind.alias("_kind"), F.substring(frame, skip + 1, F.length(frame)).alias("_ip"))
-    ip = F.col("_ip")
-    six = F.col("_kind") == IPV6
-    size, lead = F.length(ip), _number(ip, 0, 1)
-    ihl = F.when(six, 40).otherwise(lead.bitwiseAND(15) * 4)
-    fine = F.when(six, (size >= 40) & (F.shiftright(lead, 4) == 6)).otherwise((size >= 20) & (F.shiftright(lead, 4) == 4) & (ihl >= 20) & (size >= ihl))
-    rows = rows.filter(F.col("_kind").isin(IPV4, IPV6)).filter(fine)
-    stated, part = _number(ip, 2, 2), _number(ip, 6, 2)
-    length = F.when(six, _number(ip, 4, 2) + 40).when(stated > 0, stated).otherwise(size)
-    zero = lambda c: F.when(six, 0).otherwise(c)
-    rows = _step(
-        rows, [*rest, "frame_len"], F.substring(ip, ihl + 1, size).alias("_l4"), ihl.cast("int").alias("ihl"), length.cast("long").alias("ip_len"),
-        F.when(six, _colons(ip, 8)).otherwise(_dotted(ip, 12)).alias("src_ip"), F.when(six, _colons(ip, 24)).otherwise(_dotted(ip, 16)).alias("dst_ip"),
-        F.when(six, _number(ip, 6, 1)).otherwise(_number(ip, 9, 1)).cast("int").alias("protocol"), F.when(six, _number(ip, 7, 1)).otherwise(_number(ip, 8, 1)).cast("int").alias("ip_ttl"),
-        zero(_number(ip, 4, 2)).cast("int").alias("ip_id"), zero(F.shiftright(part, 13)).cast("int").alias("ip_flags"), zero(part.bitwiseAND(0x1FFF)).cast("int").alias("frag_offset"),
-    )
-    l4, proto, left = F.col("_l4"), F.col("protocol"), F.greatest(F.lit(0), F.col("ip_len") - F.col("ihl"))
-    head = F.col("frag_offset") == 0
-    tcp, udp, icmp = head & (proto == TCP) & (F.length(l4) >= 20), head & (proto == UDP) & (F.length(l4) >= 8), head & proto.isin(ICMP, ICMPV6) & (F.length(l4) >= 4)
-    offset = F.greatest(F.lit(20), F.shiftright(_number(l4, 12, 1), 4) * 4)
-    stated = _number(l4, 4, 2)
-    of_tcp = lambda at, n: F.coalesce(F.when(tcp, _number(l4, at, n)), F.lit(0))
-    port = lambda at, k: F.coalesce(F.when(tcp | udp, _number(l4, at, 2)).when(icmp, _number(l4, k, 1)), F.lit(0)).cast("int")
-    payload = F.when(tcp, left - offset).when(udp, F.when(stated >= 8, stated).otherwise(left) - 8).when(icmp, left - 8).otherwise(left)
-    return rows.select(
-        *rest, "src_ip", "dst_ip", port(0, 0).alias("src_port"), port(2, 1).alias("dst_port"), "protocol", "ip_ttl", "ip_id", "ip_flags", "frag_offset", "ip_len", "ihl",
-        of_tcp(13, 1).cast("int").alias("tcp_flags"), of_tcp(14, 2).alias("tcp_window"), of_tcp(4, 4).alias("tcp_seq"), of_tcp(8, 4).alias("tcp_ack"),
-        F.when(tcp, offset).when(udp | icmp, 8).otherwise(0).cast("int").alias("tcp_doff"), F.greatest(F.lit(0), payload).cast("long").alias("payload_len"), "frame_len",
-    )
+    # a generator keeps a frame's expression from being written out wherever the frame is used
+    once = frames.select(*rest, F.inline(F.array(F.struct(F.col("linktype").cast("int").alias("_link"), F.col("frame").alias("_frame"))))).filter("_frame IS NOT NULL")
+    heads = once.select(*rest, "_link", F.length("_frame").cast("long").alias("_size"), F.substring("_frame", 1, HEAD).alias("_head"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _decoded(b, rest)
+
+    schema = StructType([*(f for f in heads.schema if f.name in rest), *StructType.fromDDL(PACKETS)])
+    return heads.mapInArrow(decode, schema)
