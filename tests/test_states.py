@@ -1,5 +1,8 @@
 """The composed path from packets to verdicts, and hand-computed values of its parts."""
 
+import random
+import statistics
+
 import pytest
 
 from tidewatch import schema
@@ -74,3 +77,30 @@ def test_splits(spark):
         samples.holdout_split(many, stages, "Exfiltration")
     with pytest.raises(ValueError):
         samples.group_split(many.filter("capture_id < 2"), 0.2, 0.2, 1)
+
+
+def test_beacons_sum_up_a_window_of_flows_before_they_are_spread(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 2), n, rng.randint(0, 900) * 500_000, "10.0.0.1", f"93.184.0.{rng.randint(1, 2)}", 443) for n in range(300)]
+    rows += [(1, 1000 + k, k * 20_000_000, "10.0.0.2", "93.184.0.9", 80) for k in range(20)]
+    made = windows.assign_windows(spark.createDataFrame(rows, "capture_id long, flow_no long, start_us long, src_ip string, dst_ip string, dst_port int"))
+    for history in (100_000_000, 600_000_000):  # the first is no whole number of windows
+        got = windows.detect_beacons(made, 30_000_000, history)
+        want = {}
+        for r in made.collect():
+            low, high = (r.start_us - r.t0) // 30_000_000, min((r.start_us - r.t0 + history) // 30_000_000 - 1, r.n_windows - 1)
+            for k in range(low, high + 1):
+                want.setdefault((r.capture_id, k), {}).setdefault((r.src_ip, r.dst_ip, r.dst_port), []).append((r.start_us, r.flow_no))
+        for r in got.collect():
+            best = []
+            for flows_ in want[r.capture_id, r.window].values():
+                flows_.sort()
+                gaps = [(b[0] - a[0]) / 1e6 for a, b in zip(flows_, flows_[1:]) if b[0] > a[0]]
+                if len(flows_) >= 4 and flows_[-1][0] - flows_[0][0] >= 10_000_000 and len(gaps) >= 3 and statistics.mean(gaps) >= 1:
+                    best.append((-round(1 / (1 + statistics.pstdev(gaps) / statistics.mean(gaps)), 9), flows_[0], len(flows_)))
+            assert (r.beacon_regularity, r.beacon_flow_count) == ((-min(best)[0], min(best)[2]) if best else (None, None)), (history, r)
+        plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        at = next(k for k, line in enumerate(plan) if "lag(start_us" in line)
+        below = next((k for k in range(at + 1, len(plan)) if depth(plan[k]) <= depth(plan[at])), len(plan))
+        assert not any("Generate" in line for line in plan[at:below])  # each flow is ordered once

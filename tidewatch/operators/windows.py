@@ -189,23 +189,38 @@ def history_expand(w: DataFrame, stride_us: int = WINDOW_US, history_us: int = H
 def detect_beacons(w: DataFrame, stride_us: int = WINDOW_US, history_us: int = HISTORY_US) -> DataFrame:
     """Regularity of the most regular contact over the lookback, its flows, and external hosts contacted again.
 
-    A lookback holds a contact's flows in a row, so gaps are taken once, before flows are spread over
-    windows: a flow's gap counts in the windows that hold the flow before it too. So that a busy
-    contact isn't one task, its flows are dealt by stretches of time as long as the lookback, each
-    with the stretches before and after it as guests: no lookback of a flow reaches further.
+    A lookback holds a contact's flows in a row, so gaps are taken once, before anything is spread over
+    windows. Flows with the same first and last window are summed up first, with the gaps between
+    them; what meets other flows of the contact are these sums. A gap to the sum before counts in the
+    windows that hold that one too. So that a busy contact isn't one task, sums are dealt by stretches
+    of time as long as the lookback, each with the stretches before and after it as guests: no lookback
+    reaches further. Gaps are microseconds, so sums are exact; their squares fit a long up to 50 minutes.
     """
     triple = ["capture_id", "src_ip", "dst_ip", "dst_port"]
+    exact = "long" if max(stride_us, history_us) <= 3_000_000_000 else "decimal(38,0)"
+    square = lambda c: F.col(c).cast(exact) * F.col(c).cast(exact)
     low, high = lookback(stride_us, history_us)
+    h = w.select(*triple, "start_us", "flow_no", low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    near = [*triple, "_low", "_high"]
+    gap = F.col("start_us") - F.lag("start_us").over(Window.partitionBy(*near).orderBy("start_us", "flow_no"))
+    h = h.withColumn("_gap", F.when(gap > 0, gap))
+    # first_no: the first in the order of the gaps
+    c = h.groupBy(*near).agg(F.count("*").alias("c"), F.min("start_us").alias("a"), F.max("start_us").alias("z"), F.min_by("flow_no", F.struct("start_us", "flow_no")).alias("no"), F.count("_gap").alias("gaps"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("s1"), F.coalesce(F.sum(square("_gap")), F.lit(0)).alias("s2"))
+    own = F.floor(F.col("_low") * stride_us / history_us)
     stretch = Window.partitionBy(*triple, "_seat")
-    order = stretch.orderBy("start_us", "flow_no")
-    own = F.floor((F.col("start_us") - F.col("t0")) / history_us)
-    h = w.select(*triple, "start_us", "flow_no", low.alias("_low"), high.alias("_high"), own.alias("_own"), F.explode(F.sequence(own - 1, own + 1)).alias("_seat"))
-    h = h.select("*", ((F.col("start_us") - F.lag("start_us").over(order)) / 1e6).alias("_gap"), F.coalesce(F.lag("_high").over(order), F.lit(-1)).alias("_before"), F.count("*").over(stretch).alias("_near"))
-    h = h.filter("_own = _seat AND _near >= 4 AND _low <= _high").withColumn("window", F.explode(F.sequence("_low", "_high")))
-    later = F.col("window") <= F.col("_before")
-    h = h.withColumn("gap", F.when(later & (F.col("_gap") > 0), F.col("_gap")))
-    per = h.groupBy(*KEY, *triple[1:]).agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), (F.max("start_us") - F.min("start_us")).alias("span"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.max(F.when(~later, F.col("flow_no"))).alias("first_no"))
-    per = per.filter("n >= 4 AND span >= 10000000 AND gaps >= 3 AND mean >= 1").withColumn("regularity", F.round(1 / (1 + F.col("std") / F.col("mean")), 9))
+    order = stretch.orderBy("_low", "_high")
+    c = c.withColumn("_own", own).withColumn("_seat", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+    since = F.col("a") - F.lag("z").over(order)
+    c = c.select("*", F.when(since > 0, since).alias("_gap"), F.coalesce(F.lag("_high").over(order), F.lit(-1)).alias("_before"), F.sum("c").over(stretch).alias("_near"))
+    c = c.filter("_own = _seat AND _near >= 4").withColumn("window", F.explode(F.sequence("_low", "_high")))
+    c = c.withColumn("_gap", F.when(F.col("window") <= F.col("_before"), F.col("_gap")))
+    total = lambda inside, between: F.sum(F.col(inside) + F.coalesce(between, F.lit(0))).alias(inside)
+    per = c.groupBy(*KEY, *triple[1:]).agg(F.sum("c").alias("n"), F.min("a").alias("first_us"), (F.max("z") - F.min("a")).alias("span"), total("gaps", F.when(F.col("_gap").isNotNull(), 1)), total("s1", F.col("_gap")), total("s2", square("_gap")), F.min_by("no", "a").alias("first_no"))
+    per = per.filter("n >= 4 AND span >= 10000000 AND gaps >= 3 AND s1 >= gaps * 1000000")
+    whole = lambda name: F.col(name).cast("decimal(38,0)")
+    mean = F.col("s1") / F.col("gaps")
+    std = F.sqrt((whole("gaps") * whole("s2") - whole("s1") * whole("s1")).cast("double")) / F.col("gaps")
+    per = per.withColumn("regularity", F.round(1 / (1 + std / mean), 9))
     best = per.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("regularity"), "first_us", "first_no"))).filter("r = 1").select(*KEY, F.col("regularity").alias("beacon_regularity"), F.col("n").alias("beacon_flow_count"))
     # flows with the same first and last window are counted before they are spread
     far = w.filter("src_in AND NOT dst_in").groupBy("capture_id", "dst_ip", low.alias("_low"), high.alias("_high")).agg(F.count("*").alias("c"))
