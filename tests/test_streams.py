@@ -5,6 +5,7 @@ import random
 import time
 
 import pandas
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,83 @@ def test_history_past_the_lookback_goes(spark, tmp_path):
     assert seen == [[1, 2], [1, 2, 3], [3, 4], [5], [5, 6]]
     kept = sorted(p.name for p in (tmp_path / "out" / "flows").glob("bucket=*"))
     assert kept == ["bucket=10"]
+
+
+class Handle:
+    """State of one conversation, which counts how often its map is asked or emptied."""
+
+    def __init__(self):
+        self.kept, self.calls, self.timers = {}, 0, []
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return State(self, name)
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def exists(self):
+        return self.name in self.handle.kept
+
+    def get(self):
+        return self.handle.kept.get(self.name, [])
+
+    def put(self, value):
+        self.handle.kept[self.name] = value
+
+    update = put
+
+    def clear(self):
+        self.handle.calls += self.name == "sent"
+        self.handle.kept.pop(self.name, None)
+
+    def containsKey(self, key):  # noqa: N802
+        self.handle.calls += 1
+        return key in self.handle.kept.get(self.name, {})
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.handle.kept.setdefault(self.name, {})[key] = value
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+@pytest.mark.parametrize("cuts", [(), (700,), (100, 101, 400, 900)])
+def test_flows_of_one_call_are_made_without_state_and_alike(monkeypatch, cuts):
+    rng = random.Random(5)
+    rows = [packet(rng, n, s, 1, rng.random() < 0.4) for n, s in enumerate(sorted(rng.random() * 20_000 * (n % 3 + 1) for n in range(1000)))]
+    names = [c.split()[0] for c in PACKETS.split(", ")]
+    frame = pd.DataFrame(rows, columns=names)
+    made = []
+    for few in (0, 10_000):
+        monkeypatch.setattr(live, "ARRAY_ROWS", few)
+        handle, out = Handle(), []
+        processor = live.FlowProcessor(60_000_000, 200_000_000, True, 300_000_000)
+        processor.init(handle)
+        for a, b in zip((0, *cuts), (*cuts, 1000)):
+            out += processor.handleInputRows((1, 2, 3, 4, 5, 6), iter([frame[a:b]]), Clock(a and int(frame.ts_us[a]) // 1000))
+        out += processor.handleExpiredTimer((1, 2, 3, 4, 5, 6), Clock(10**9), None)
+        made.append(pd.concat(out).sort_values("flow_no").reset_index(drop=True))
+        if not cuts:
+            assert handle.calls == 0  # nothing was open before
+        assert not handle.kept and not handle.timers
+    assert len(made[0]) > 300 and made[0].retransmission_count.sum() > 0 and made[0].out_of_order_count.sum() > 0 and made[0].dup_ack_count.sum() > 0
+    assert made[0].total_packets.sum() == 1000 and (made[0].columns == made[1].columns).all()
+    pandas.testing.assert_frame_equal(*made, check_dtype=False, rtol=1e-9, atol=1e-9)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,6 +77,7 @@ def drain(stream: DataFrame, path: str) -> DataFrame:
 
 FLOW_ROW = f"capture_id long, ip_a long, port_a int, ip_b long, port_b int, protocol int, {flow_state.ROW}"
 FORGET_US = 86_400_000_000
+ARRAY_ROWS = 64  # below, arrays take longer than packets one by one
 
 
 class FlowProcessor(StatefulProcessor):
@@ -84,6 +86,7 @@ class FlowProcessor(StatefulProcessor):
     What is kept is the conversation's first sender, the packets that wait, the open flow's sums and,
     as a map, the data that it has sent. A flow is given out when a packet closes it or the watermark
     passes its idle gap. Once the watermark is ``forget_us`` past the last packet, nothing is kept.
+    Flows that begin and end within one call never meet the state; of many packets, they are made by arrays, all at once.
     """
 
     def __init__(self, idle_us: int, active_us: int, close_on_teardown: bool, forget_us: int):
@@ -92,80 +95,105 @@ class FlowProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", "src_ip string, src_port int, latest_us long")
-        self.waiting = handle.getListState("waiting", flow_state.PACKET)
+        self.waiting = handle.getListState("waiting", flow_state.WAITING)
         self.open = handle.getValueState("open", flow_state.STATE)
         self.sent = handle.getMapState("sent", "fwd boolean, seq long, length long", "known boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        names = list(flow_state.PACKET_NAMES)
-        fresh = [tuple(r) for frame in rows for r in frame[names].astype(object).itertuples(index=False)]
-        waiting = [tuple(r) for r in self.waiting.get()] + [tuple(int(v) if hasattr(v, "item") else v for v in r) for r in fresh]
-        yield from self._advance(key, waiting, timerValues)
+        fresh = [flow_state.Packets.of(frame) for frame in rows]
+        yield from self._advance(key, flow_state.Packets.joined([flow_state.Packets.of_values(self.waiting.get()), *fresh]), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        yield from self._advance(key, [tuple(r) for r in self.waiting.get()], timerValues)
+        yield from self._advance(key, flow_state.Packets.of_values(self.waiting.get()), timerValues)
 
-    def _seen(self, kept: set) -> Callable:
-        """Whether data came before in the flow: ``kept`` holds what this call has added, the map what is older."""
+    def _seen(self, new: set, older: bool) -> Callable:
+        """Whether data came before in the flow: ``new`` takes what this call adds, the map holds what is ``older``."""
+        known = set()
 
         def seen(*data) -> bool:
-            if data in kept or self.sent.containsKey(data):
+            if data in new or data in known:
                 return True
-            kept.add(data)
+            if older and self.sent.containsKey(data):
+                known.add(data)
+                return True
+            new.add(data)
             return False
 
         return seen
 
+    def _directions(self, p: flow_state.Packets, first: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Which packets come from the conversation's first sender, and that sender with the latest time."""
+        fwd = np.zeros(len(p), bool)
+        cuts = [0, *(np.flatnonzero(np.diff(p.ts_us) > self.forget_us) + 1).tolist(), len(p)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a or first is None or int(p.ts_us[0]) - first[2] > self.forget_us:
+                first = (p.ips[p.src_ip[a]], int(p.src_port[a]), 0)
+            ip = p.ips.index(first[0]) if first[0] in p.ips else -1
+            fwd[a:b] = (p.src_ip[a:b] == ip) & (p.src_port[a:b] == first[1])
+        return fwd, (*first[:2], int(p.ts_us[-1]))
+
     def _advance(self, key, waiting, timers):
         mark = timers.getCurrentWatermarkInMs() * 1000
-        ready = sorted((r for r in waiting if r[1] < mark), key=lambda r: (r[1], r[0]))
-        later = [r for r in waiting if r[1] >= mark]
+        due_now = waiting.ts_us < mark
+        ready, later = waiting[due_now].sorted(), waiting[~due_now]
         flow = flow_state.OpenFlow.of(tuple(self.open.get())) if self.open.exists() else None
         first = tuple(self.first.get()) if self.first.exists() else None
-        done, kept = [], set()
-        seen = self._seen(kept)
+        done, whole, new, kept = [], [], set(), bool(flow)
 
         def close() -> None:
+            nonlocal kept
             done.append(flow.row())
-            kept.clear()
-            self.sent.clear()
-
-        for r in ready:
-            p = dict(zip(flow_state.PACKET_NAMES, r))
-            ts = p["ts_us"]
-            if first is None or ts - first[2] > self.forget_us:
-                first = (p["src_ip"], p["src_port"], ts)
-            first = (*first[:2], ts)
+            new.clear()
+            if kept:
+                self.sent.clear()
+                kept = False
+
+        if len(ready):
+            fwd, first = self._directions(ready, first)
+            ts = int(ready.ts_us[0])
             if flow and (flow.marks["closed"] or ts - flow.end_us > self.idle_us or ts - flow.start_us > self.active_us):
                 close()
                 flow = None
-            if flow is None:
-                flow = flow_state.OpenFlow((p["src_ip"], p["dst_ip"], p["src_port"], p["dst_port"], p["packet_no"], ts))
-            flow.add(p, (p["src_ip"], p["src_port"]) == first[:2], self.teardown, seen)
+            for i, j, over in flow_state.cut(ready, fwd, flow, self.idle_us, self.active_us, self.teardown):
+                if flow is None and len(ready) >= ARRAY_ROWS and (over or int(ready.ts_us[j - 1]) + self.idle_us < mark):
+                    whole.append((i, j))
+                    continue
+                flow = flow or ready.opening(i)
+                seen = self._seen(new, kept)
+                for p, ahead in zip(ready[i:j].dicts(), fwd[i:j].tolist()):
+                    flow.add(p, ahead, self.teardown, seen)
+                if over:
+                    close()
+                    flow = None
         if flow and (flow.marks["closed"] or flow.end_us + self.idle_us < mark):
             close()
             flow = None
-        for data in kept:
+        for data in new:
             self.sent.updateValue(data, (True,))
         self.waiting.clear()
-        if later:
-            self.waiting.put(later)
+        if len(later):
+            self.waiting.put(later.values())
         if flow:
             self.open.update(flow.values())
         else:
             self.open.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if first and not later and not flow and first[2] + self.forget_us < mark:
+        if first and not len(later) and not flow and first[2] + self.forget_us < mark:
             self.first.clear()
             first = None
         if first:
             self.first.update(first)
-        due = [r[1] for r in later] + ([flow.end_us + self.idle_us] if flow else []) + ([first[2] + self.forget_us] if first else [])
+        due = ([int(later.ts_us.min())] if len(later) else []) + ([flow.end_us + self.idle_us] if flow else []) + ([first[2] + self.forget_us] if first else [])
         if due:
             self.handle.registerTimer(max(min(due) // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
+        names = [c.split()[0] for c in FLOW_ROW.split(", ")]
         if done:
-            yield pd.DataFrame([(*key, *row) for row in done], columns=[c.split()[0] for c in FLOW_ROW.split(", ")])
+            yield pd.DataFrame([(*key, *row) for row in done], columns=names)
+        if whole:  # a row of flows: only the first and the last of a call may be others
+            a, b = whole[0][0], whole[-1][1]
+            made = flow_state.closed_flows(ready[a:b], fwd[a:b], np.array([i - a for i, _ in whole]))
+            yield made.assign(**dict(zip(names, key)))[names]
 
 
 def stream_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True, forget_us: int = FORGET_US) -> DataFrame:
@@ -177,7 +205,7 @@ def stream_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = AC
     by Spark and counted in its progress.
     """
     known = canonical_key(packets)
-    fields = [(F.coalesce(F.col(c).cast(t), F.lit(0 if t != "string" else "").cast(t)) if c != "packet_no" else F.col(c).cast(t)).alias(c) for c, t in (f.split() for f in flow_state.PACKET.split(", ")) if c != "protocol"]
+    fields = [F.coalesce(F.col(c).cast(t), F.lit(0 if t != "string" else "").cast(t)).alias(c) for c, t in (f.split() for f in flow_state.PACKET.split(", ")) if c != "protocol"]
     keyed = known.select(*(F.col(c).cast(t).alias(c) for c, t in zip(CONVERSATION, ("long", "long", "int", "long", "int", "int"))), *fields, "ts")
     rows = keyed.groupBy(*CONVERSATION).transformWithStateInPandas(FlowProcessor(idle_us, active_us, close_on_teardown, forget_us), outputStructType=FLOW_ROW, outputMode="Append", timeMode="EventTime")
     return derived_features(rows)
