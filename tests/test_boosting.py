@@ -80,3 +80,18 @@ def test_little_to_learn(spark):
     none = rows.limit(0)
     assert boosting.fit(none).trees == [] and boosting.score(none, boosting.fit(none)).count() == 0
     assert boosting.fit(rows.withColumn("label", F.lit(1)), 3).base > 10
+
+
+def test_a_pass_is_dealt_to_cores_before_parts_grow_large(spark, monkeypatch):
+    x, y, w = table(20_000, 4)
+    parts, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda data, *rest: parts.append(data.rdd.getNumPartitions()) or level(data, *rest))
+    model = boosting.fit(frame(spark, x, y, w, 1), rounds=2)
+    assert min(parts) > 1
+    bins = model.bins(x)
+    for tree in model.trees:
+        for row in range(0, len(x), 499):
+            at = 0
+            while tree[at, 0] >= 0:
+                at = int(tree[at, 2] if bins[row, int(tree[at, 0])] <= tree[at, 1] else tree[at, 3])
+            assert boosting.leaves(tree, bins[row : row + 1])[0] == at

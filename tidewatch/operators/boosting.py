@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialised
 
-BINS, BLOCK, WRITE_EVERY, PART_BYTES = 255, 16, 16, 32 << 20
+BINS, BLOCK, WRITE_EVERY, PART_BYTES, PART_ROWS = 255, 16, 16, 32 << 20, 8192
 LEAST_CURVATURE = 1e-3
 
 
@@ -47,13 +47,14 @@ class Boosted:
 
 def leaves(tree: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """The node at which each row ends."""
-    at, rows = np.zeros(len(bins), int), np.arange(len(bins))
-    live = tree[at, 0] >= 0
-    while live.any():
-        node = tree[at[live]]
-        left = bins[rows[live], node[:, 0].astype(int)] <= node[:, 1]
-        at[live] = np.where(left, node[:, 2], node[:, 3]).astype(int)
-        live = tree[at, 0] >= 0
+    own = np.arange(len(tree))
+    leaf = tree[:, 0] < 0
+    feature, cut = np.where(leaf, 0, tree[:, 0]).astype(int), tree[:, 1]
+    left, right = (np.where(leaf, own, tree[:, k]).astype(int) for k in (2, 3))
+    at, first = np.zeros(len(bins), int), np.arange(len(bins)) * bins.shape[1]
+    flat = bins.ravel()
+    while not leaf[at].all():  # rows at a leaf stay there
+        at = np.where(flat[first + feature[at]] <= cut[at], left[at], right[at])
     return at
 
 
@@ -100,9 +101,11 @@ def _level(data: DataFrame, model: Boosted, since: int, tree: np.ndarray, nodes:
             where[nodes] = range(len(nodes))
             node = where[at]
             live = node >= 0
-            index = ((node[live, None] * width + np.arange(width)) * n_bins + bins[live]).ravel()
+            here, columns = node[live] * n_bins, np.ascontiguousarray(bins[live].T)
             for k, v in enumerate((w * (p - y), w * p * (1 - p), np.ones(len(y)))):
-                total[k] += np.bincount(index, np.repeat(v[live], width), len(nodes) * width * n_bins).reshape(len(nodes), width, n_bins)
+                v = v[live]
+                for f in range(width):
+                    total[k, :, f] += np.bincount(here + columns[f], v, len(nodes) * n_bins).reshape(len(nodes), n_bins)
         if total[2].any():
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([np.ascontiguousarray(total[:, :, k * BLOCK : (k + 1) * BLOCK]).tobytes() for k in range(blocks)], pa.binary())], names=["block", "sums"])
 
@@ -145,8 +148,10 @@ def fit(rows: DataFrame, rounds: int = 150, depth: int = 3, rate: float = 0.05,
 
     schema = "bins binary, y double, w double, margin double"
     chosen = rows.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"))
-    count = rows.count()
-    data = materialised(chosen.mapInArrow(binned, schema).coalesce(max(1, count * (len(edges) + 24) // PART_BYTES)), "bins")
+    # a pass is dealt to all cores as soon as a part has PART_ROWS; more parts than that only where they grow large
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(count // PART_ROWS, cores), count * (len(edges) + 24) // PART_BYTES, 1)
+    data = materialised(chosen.mapInArrow(binned, schema).repartition(parts), "bins")
     since = 0
     for _ in range(rounds):
         tree, level = np.array([[-1.0, 0, 0, 0, 0]]), [0]
