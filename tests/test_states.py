@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.operators import flows, labels, samples, windows
@@ -104,3 +105,10 @@ def test_beacons_sum_up_a_window_of_flows_before_they_are_spread(spark):
         at = next(k for k, line in enumerate(plan) if "lag(start_us" in line)
         below = next((k for k in range(at + 1, len(plan)) if depth(plan[k]) <= depth(plan[at])), len(plan))
         assert not any("Generate" in line for line in plan[at:below])  # each flow is ordered once
+
+
+def test_packets_are_made_and_parsed_once_for_their_episodes(spark):
+    rows = [packet(k, 3 * k, flags=4 if k == 2 else 16) for k in range(5)]
+    got = flows.packets_in_episodes(spark.createDataFrame(rows, PACKET).withColumn("src_ip", F.concat(F.lit("10.0.0."), F.col("packet_no") * 0 + 1)))
+    assert [(r.src_ip, r.fwd, r.episode) for r in got.orderBy("packet_no").collect()] == [("10.0.0.1", True, int(k > 2)) for k in range(5)]
+    assert "concat" not in got._jdf.queryExecution().optimizedPlan().toString()

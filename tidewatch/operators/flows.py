@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import flow_id, ip_to_int, is_internal, safe_div
 from ..schema import ACTIVE_US, IDLE_US, TCP, TCP_FLAGS, WELL_KNOWN_PORTS
+from ..sources.shared import materialised
 
 CONVERSATION = ["capture_id", "ip_a", "port_a", "ip_b", "port_b", "protocol"]
 
@@ -151,7 +152,9 @@ def derived_features(out: DataFrame) -> DataFrame:
 
 
 def packets_in_episodes(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
-    return split_episodes(split_idle(flow_direction(canonical_key(packets.filter(F.col("ts_us").isNotNull()))), idle_us), active_us, close_on_teardown)
+    """Packets with fwd, island and episode. They are written with their keys first: islands and their cuts both read them, and to make and parse them is dear."""
+    keyed = materialised(canonical_key(packets.filter(F.col("ts_us").isNotNull())), "packets")
+    return split_episodes(split_idle(flow_direction(keyed), idle_us), active_us, close_on_teardown)
 
 
 def assemble_flows(packets: DataFrame, idle_us: int = IDLE_US, active_us: int = ACTIVE_US, close_on_teardown: bool = True) -> DataFrame:
