@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution, evaluation, models, profile, protocol
+from tidewatch.plans import more
+from tidewatch.schema import STATE_FEATURES
 
 SAMPLE = "capture_id long, window long, context array<array<double>>, target_state array<double>, target_stage array<int>, target_infil array<int>, target_mask array<boolean>"
 
@@ -51,6 +53,50 @@ def test_dynamics_beat_persistence_and_can_be_saved(spark, samples, tmp_path):
     assert np.allclose(again.weights, model.weights) and again.alpha == model.alpha and np.allclose(again.bias, model.bias)
 
 
+def test_the_query_forecasts_every_feature_after_every_context(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    f, n = len(STATE_FEATURES), 40
+    x = {c: np.cumsum(rng.normal(size=(n, f)), axis=0) for c in range(4)}
+    x = {c: np.where(np.arange(f) == 50, 7.0, v) for c, v in x.items()}  # a feature that never changes
+    rows = [(c, t, *map(float, v[t])) for c, v in x.items() for t in range(n)]
+    made = spark.createDataFrame(rows, ", ".join(["capture_id long", "window long", *(f"`{c}` double" for c in STATE_FEATURES)])).withColumn("rst_share", F.lit(0.0)).repartition(3)
+    monkeypatch.setattr(more, "states_of_packets", lambda spark, sf_dir: made)
+    got = more.predict_next(spark, "").toPandas()
+    assert len(got) == 4 * (n - 15) * f and not got.duplicated(["capture_id", "window", "feature"]).any()
+    assert set(got["window"]) == set(range(15, n)) and set(got["feature"]) == set(range(f))
+    # the same in the dual form, over samples with five windows ahead; einsum needs no threads of BLAS
+    dot = lambda a, b: np.einsum("ik,kj->ij", a, b)
+    cut = lambda c, last: np.array([x[c][t - 15 : t + 1] for t in range(15, last)])
+    train = np.concatenate([cut(c, n - 5) for c in (0, 1)])
+    mean, scale = train.reshape(-1, f).mean(0), train.reshape(-1, f).std(0)
+    scale = np.where(scale < 1e-8, 1.0, scale)
+    flat = lambda a: ((a - mean) / scale).reshape(len(a), -1)
+    change = lambda *captures: np.concatenate([(x[c][16 : n - 4] - x[c][15 : n - 5]) / scale for c in captures])
+    xc, yc = flat(train) - flat(train).mean(0), change(0, 1) - change(0, 1).mean(0)
+    tried = []
+    for alpha in models.ALPHAS:
+        weights = dot(xc.T, np.linalg.solve(dot(xc, xc.T) + alpha * np.eye(len(xc)), yc))
+        bias = change(0, 1).mean(0) - dot(flat(train).mean(0)[None], weights)[0]
+        tried.append((((dot(flat(cut(2, n - 5)), weights) + bias - change(2)) ** 2).sum(), weights, bias))
+    _, weights, bias = min(tried, key=lambda m: m[0])
+    for c in range(4):
+        whole = cut(c, n)
+        want = whole[:, -1] + (dot(flat(whole), weights) + bias) * scale
+        mine = got[got["capture_id"] == c].sort_values(["window", "feature"])["value"].to_numpy().reshape(-1, f)
+        assert np.allclose(mine, want, rtol=1e-6, atol=1e-6)
+
+
+def test_standardiser_counts_a_window_as_often_as_contexts_hold_it(spark):
+    x = np.cumsum(np.random.default_rng(4).normal(size=(60, 3)), axis=0)
+    x[:, 1] = 1e9 + 0.1
+    rows = [x[t - 3 : t + 1] for t in range(3, 60)]
+    mean, scale, lo, hi = models.standardiser(spark.createDataFrame([(r.tolist(),) for r in rows], "context array<array<double>>"))
+    every = np.concatenate(rows)
+    assert np.allclose(mean, every.mean(0)) and np.allclose(scale, [every[:, 0].std(), 1.0, every[:, 2].std()])
+    assert np.allclose(lo, (np.quantile(every, 0.005, axis=0) - mean) / scale - 1) and np.allclose(hi, (np.quantile(every, 0.995, axis=0) - mean) / scale + 1)
+    assert mean[1] == 1e9 + 0.1
+
+
 def test_gram_does_not_depend_on_partitions(samples):
     make = lambda b: models._matrix(b.column("target_state"))
     one = models.gram(samples.select("target_state"), 3, make)

@@ -3,7 +3,7 @@
 Samples have ``context`` (windows x features, oldest first), ``target_state`` (features) and arrays
 ``target_stage``, ``target_infil`` and ``target_mask`` over the horizon. Sums over samples are made in
 the tasks and added up by Spark in blocks of rows; only matrices whose size is set by the features go
-to the driver, to be solved there.
+to the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from . import samples as samples_
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 STRENGTHS = (0.003, 0.01, 0.03, 0.1, 0.5)
 GRAM_ROWS = 64
+BATCH_ROWS = 1024  # rows of a batch that are a matrix at once
 
 
 def sequence_samples(states: DataFrame, labels: DataFrame, features: list[str], length: int = 16, horizon: int = 5) -> DataFrame:
@@ -41,11 +42,14 @@ def sequence_samples(states: DataFrame, labels: DataFrame, features: list[str],
 
 
 def standardiser(samples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, lo, hi) of each feature over all windows of the contexts; lo and hi on standardised values. One row a feature comes to the driver."""
+    """(mean, scale, lo, hi) of each feature over all windows of the contexts; lo and hi on standardised values. One row a feature comes to the driver.
+
+    A window is in as many contexts as they are long: equal ones are counted before their features are taken apart.
+    """
     from .profile import fit_standardiser
 
-    long = samples.select(F.explode("context").alias("x")).select(F.posexplode("x").alias("feature", "value"))
-    rows = fit_standardiser(long).orderBy("feature").collect()  # a row per feature
+    windows = materialised(samples.select(F.explode("context").alias("x")).groupBy("x").agg(F.count("*").alias("n")), "windows")
+    rows = fit_standardiser(windows.select(F.posexplode("x").alias("feature", "value"), "n"), "n").orderBy("feature").collect()  # a row per feature
     return tuple(np.array([r[c] for r in rows]) for c in ("mean", "scale", "lo", "hi"))
 
 
@@ -61,17 +65,19 @@ def gram(rows: DataFrame, width: int, make) -> np.ndarray:
     """Sum over all rows of z'z, where ``make`` turns an Arrow batch into a matrix z of ``width`` columns.
 
     Tasks add up their own rows; their sums meet in blocks of GRAM_ROWS matrix rows, in two steps, so
-    that no task holds more than some blocks. The whole comes to the driver: 8 * width**2 bytes.
+    that no task holds more than some blocks. Half of it comes to the driver: 4 * width**2 bytes.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = None
         for b in batches:
-            if b.num_rows:
-                z = make(b)
-                total += z.T @ z
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                z = make(b.slice(k, BATCH_ROWS))
+                total = z.T @ z if total is None else np.add(total, z.T @ z, out=total)
+        if total is None:  # a task without rows has no sums to send
+            return
         blocks = range(0, width, GRAM_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array([k // GRAM_ROWS for k in blocks], pa.int32()), pa.array([0] * len(blocks), pa.int32()), pa.array([total[k : k + GRAM_ROWS].tobytes() for k in blocks], pa.binary())], names=["block", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([k // GRAM_ROWS for k in blocks], pa.int32()), pa.array([0] * len(blocks), pa.int32()), pa.array([total[k : k + GRAM_ROWS, k:].tobytes() for k in blocks], pa.binary())], names=["block", "part", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v.as_py()) for v in group.column("sums"))
@@ -81,7 +87,13 @@ def gram(rows: DataFrame, width: int, make) -> np.ndarray:
     some = rows.mapInArrow(partial, schema).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).cast("int"))
     once = some.groupBy("block", "part").applyInArrow(add, schema)
     found = once.groupBy("block").applyInArrow(add, schema).orderBy("block").collect()
-    return np.concatenate([np.frombuffer(r.sums).reshape(-1, width) for r in found]) if found else np.zeros((width, width))
+    out = np.zeros((width, width))
+    for r in found:  # from the diagonal on; what lies below it is the same
+        k = r.block * GRAM_ROWS
+        sums = np.frombuffer(r.sums).reshape(-1, width - k)
+        out[k : k + len(sums), k:] = sums
+        out[k:, k : k + len(sums)] = sums.T
+    return out
 
 
 class Dynamics:
@@ -113,7 +125,7 @@ class Dynamics:
 
 
 def fit_dynamics(train: DataFrame, val: DataFrame | None = None, alphas: tuple[float, ...] = ALPHAS) -> Dynamics:
-    """The strength of the ridge is that with the least squared error on ``val``, by sums of one pass; the first one without ``val``."""
+    """The strength of the ridge is that with the least squared error on ``val``, in one pass for all; the first one without ``val``."""
     scaling = standardiser(train)
     mean, scale = scaling[:2]
     f = len(mean)
@@ -122,30 +134,41 @@ def fit_dynamics(train: DataFrame, val: DataFrame | None = None, alphas: tuple[f
         raise ValueError("no samples to fit on")
     width = first.n * f
 
-    def make(b: pa.RecordBatch) -> np.ndarray:
+    def scaled(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         x = ((_matrix(b.column("context")).reshape(b.num_rows, -1, f) - mean) / scale).reshape(b.num_rows, -1)
-        y = (_matrix(b.column("target_state")) - mean) / scale - x[:, -f:]
-        return np.concatenate([np.ones((len(x), 1)), x, y], axis=1)
+        return x, (_matrix(b.column("target_state")) - mean) / scale - x[:, -f:]
 
-    sums = lambda d: gram(d.select("context", "target_state"), 1 + width + f, make)
-    g = sums(train)
+    g = gram(train.select("context", "target_state"), 1 + width + f, lambda b: np.concatenate([np.ones((b.num_rows, 1)), *scaled(b)], axis=1))
     n = g[0, 0]
     ax, ay = g[0, 1 : 1 + width] / n, g[0, 1 + width :] / n
     xx = g[1 : 1 + width, 1 : 1 + width] - n * np.outer(ax, ax)
     xy = g[1 : 1 + width, 1 + width :] - n * np.outer(ax, ay)
-    v = sums(val) if val is not None else None
-    best: tuple = (np.inf, None)
-    for alpha in alphas if v is not None and v[0, 0] else alphas[:1]:
-        weights = np.linalg.solve(xx + alpha * np.eye(width), xy)
-        bias = ay - ax @ weights
-        error = 0.0
-        if v is not None:
-            beta = np.concatenate([bias[None], weights])
-            xx_v, xy_v = v[: 1 + width, : 1 + width], v[: 1 + width, 1 + width :]
-            error = np.trace(v[1 + width :, 1 + width :]) - 2 * (beta * xy_v).sum() + (beta * (xx_v @ beta)).sum()
-        if error < best[0]:
-            best = (error, Dynamics(scaling, weights, bias, alpha))
-    return best[1]
+    used = tuple(alphas) if val is not None else tuple(alphas[:1])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place in b.column("id").to_pylist():
+                weights = np.linalg.solve(xx + used[place] * np.eye(width), xy)
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([weights.tobytes()], pa.binary()), pa.array([(ay - ax @ weights).tobytes()], pa.binary())], names=["id", "weights", "bias"])
+
+    # in one task, which alone gets the sums: in the driver, whose process has forked Spark's, BLAS may wait for its threads for ever
+    solved = train.sparkSession.range(0, len(used), 1, 1).mapInArrow(solve, "id long, weights binary, bias binary").orderBy("id").collect()  # a row per strength, each of the model's size
+    tried = [(np.frombuffer(r.weights).reshape(width, f), np.frombuffer(r.bias)) for r in solved]
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                x, y = scaled(b.slice(k, BATCH_ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(tried)), pa.int32()), pa.array([float(((x @ w + c - y) ** 2).sum()) for w, c in tried])], names=["place", "error"])
+
+    best = 0
+    if len(tried) > 1:
+        errors = val.select("context", "target_state").mapInArrow(squares, "place int, error double").groupBy("place").agg(F.sum("error").alias("error")).collect()  # a row per strength
+        finite = [r for r in errors if r.error < np.inf]
+        if errors and not finite:
+            raise ValueError("samples hold values that are not finite")
+        best = min(finite, key=lambda r: (r.error, r.place)).place if errors else 0
+    return Dynamics(scaling, *tried[best], used[best])
 
 
 def _flat(samples: DataFrame, name: str = "features") -> DataFrame:
@@ -212,9 +235,10 @@ def predict_next(samples: DataFrame, model: Dynamics, clamp: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = model.next_state(_matrix(b.column("context")), clamp)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(out), pa.list_(pa.float64()))], names=[*columns, "forecast"])
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(k, BATCH_ROWS)
+                out = model.next_state(_matrix(part.column("context")), clamp)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(out), pa.list_(pa.float64()))], names=[*columns, "forecast"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in samples.dtypes)
     return samples.mapInArrow(run, f"{schema}, forecast array<double>")

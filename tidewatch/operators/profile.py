@@ -10,18 +10,18 @@ from ..sources.shared import materialised
 PARTS = 64
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
-    """(by..., q, v): exact, linearly interpolated quantiles of each group, however large.
+def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...], times: str | None = None) -> DataFrame:
+    """(by..., q, v): exact, linearly interpolated quantiles of each group, however large; a row counts as often as its ``times`` says.
 
     A sketch cuts each group's range into PARTS; counts of the parts tell in which of them the wanted
     ranks lie, and only these are ordered, value by value with its count. Null values are left out.
     A sketch depends on the order in which its pieces arrive, so it is written: counts and ordered
     values must see the same cuts.
     """
-    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"), *([F.col(times).alias("_times")] if times else []))
     sketch = materialised(rows.groupBy(*by).agg(F.percentile_approx("_x", [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts")), "cuts")
     part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    counted = rows.join(sketch, by).groupBy(*by, part.alias("_part"), "_x").agg(F.count("*").alias("_c"))
+    counted = rows.join(sketch, by).groupBy(*by, part.alias("_part"), "_x").agg((F.sum("_times") if times else F.count("*")).alias("_c"))
     group = Window.partitionBy(*by)
     parts = counted.groupBy(*by, "_part").agg(F.sum("_c").alias("_n"))
     parts = parts.select(*by, "_part", "_n", (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_all"))
@@ -40,10 +40,21 @@ def _side_by_side(found: DataFrame, by: list[str], names: dict[float, str]) -> D
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("q") == q, F.col("v"))).alias(n) for q, n in names.items()))
 
 
-def fit_standardiser(long: DataFrame) -> DataFrame:
-    """(feature, mean, scale, lo, hi, constant); lo and hi are on standardised values."""
-    ends = _side_by_side(quantiles(long, ["feature"], "value", (0.005, 0.995)), ["feature"], {0.005: "a", 0.995: "b"})
-    s = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).join(ends, "feature")
+def _moments(long: DataFrame, times: str | None) -> DataFrame:
+    """(feature, mean, std); a feature of one value has that value and 0, whatever sums of it round to."""
+    if not times:
+        return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    long = long.filter("value IS NOT NULL")
+    mean = F.sum(F.col("value") * F.col(times)) / F.sum(times)
+    means = long.groupBy("feature").agg(F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(mean).alias("mean"))
+    off = F.col("value") - F.col("mean")
+    return long.join(means, "feature").groupBy("feature", "mean").agg(F.sqrt(F.sum(off * off * F.col(times)) / F.sum(times)).alias("std"))
+
+
+def fit_standardiser(long: DataFrame, times: str | None = None) -> DataFrame:
+    """(feature, mean, scale, lo, hi, constant); lo and hi are on standardised values. A row counts as often as its ``times`` says."""
+    ends = _side_by_side(quantiles(long, ["feature"], "value", (0.005, 0.995), times), ["feature"], {0.005: "a", 0.995: "b"})
+    s = _moments(long, times).join(ends, "feature")
     scale = F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std"))
     z = lambda c: (F.col(c) - F.col("mean")) / scale
     return s.select("feature", "mean", scale.alias("scale"), (z("a") - 1).alias("lo"), (z("b") + 1).alias("hi"), (F.col("std") < 1e-8).alias("constant"))

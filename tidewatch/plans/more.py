@@ -162,12 +162,12 @@ def read_captures(spark, sf_dir):
 _FEW = ["log_n_flows", "log_n_bytes", "tcp_share", "half_open_ratio", "new_dst_ratio", "graph_max_degree"]
 
 
-def _model_samples(spark, sf_dir, length=8, horizon=3):
+def _model_samples(spark, sf_dir, length=8, horizon=3, features=_FEW):
     """Samples over the packets' states, labelled by the share of resets of the window; and whole captures dealt to splits."""
     s = materialised(states_of_packets(spark, sf_dir), "states")
     stage = F.when(F.col("half_open_ratio") > 0.5, 6).when(F.col("rst_share") > 0.2, 1).otherwise(0)
     lab = s.select("capture_id", "window", stage.alias("stage"), F.lit(True).alias("valid"))
-    out = materialised(models.sequence_samples(s, lab, _FEW, length, horizon), "samples")
+    out = materialised(models.sequence_samples(s, lab, features, length, horizon), "samples")
     split = s.select("capture_id").distinct().withColumn("split", F.when(F.col("capture_id") == 3, "test").when(F.col("capture_id") == 2, "val").otherwise("train"))
     return s, lab, out, split
 
@@ -179,9 +179,13 @@ def _parts(samples_, split):
 
 @query()
 def predict_next(spark, sf_dir):
-    _, _, x, split = _model_samples(spark, sf_dir)
-    train, val, test = _parts(x, split)
-    return models.predict_next(test, models.fit_dynamics(train, val)).select("capture_id", "window", F.posexplode("forecast").alias("feature", "value"))
+    """All features after every whole context of every capture, the last ones too; learnt on the samples of the first two splits."""
+    length, features = 16, list(schema.STATE_FEATURES)
+    s, _, x, split = _model_samples(spark, sf_dir, length, 5, features)
+    train, val, _ = _parts(x, split)
+    every = samples.contexts(s.select("capture_id", "window", F.array(*(F.col(c).cast("double") for c in features)).alias("x")), length, "x")
+    forecasts = models.predict_next(every.select("capture_id", "window", "context"), models.fit_dynamics(train, val))
+    return forecasts.select("capture_id", "window", F.posexplode("forecast").alias("feature", "value"))
 
 
 @query()
